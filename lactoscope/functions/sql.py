@@ -8,8 +8,13 @@ as short as the number of days.
 
 from __future__ import annotations
 
+import dataclasses
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,9 @@ from lactoscope.settings import (
     FitSettings,
 )
 
+for _module in (solver, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 
 def register_functions(spark: SparkSession, settings: FitSettings = GROUP_FIT) -> None:
     """Make energy_corrected, error_sigma, group_name, curve_yield and fit_curve known."""
@@ -45,14 +53,16 @@ def register_functions(spark: SparkSession, settings: FitSettings = GROUP_FIT) -
     for signature, body in bodies.items():
         spark.sql(f"create or replace temporary function {signature} return {body}")
 
+    limits = SimpleNamespace(**dataclasses.asdict(settings))
+
     @F.pandas_udf("array<double>")
     def fit_curve(t: pd.Series, y: pd.Series, sigma: pd.Series) -> pd.Series:
-        return _fit_lists(t, y, sigma, settings)
+        return _fit_lists(t, y, sigma, limits)
 
     spark.udf.register("fit_curve", fit_curve)
 
 
-def _fit_lists(t: pd.Series, y: pd.Series, sigma: pd.Series, settings: FitSettings) -> pd.Series:
+def _fit_lists(t: pd.Series, y: pd.Series, sigma: pd.Series, settings: SimpleNamespace) -> pd.Series:
     results = []
     for days, values, errors in zip(t, y, sigma):
         order = np.argsort(np.asarray(days, dtype=float), kind="stable")

@@ -9,8 +9,10 @@ Groups travel as rows of arrays, and each Arrow batch of groups is solved at onc
 
 from __future__ import annotations
 
+import dataclasses
 import sys
 from collections.abc import Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from lactoscope.settings import GROUP_FIT, HERD_CODE, FitSettings
 for _module in (solver, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
-_POINT = ("t", "sigma", "n", "mean", "spread", "peak")
+_POINT = ("t", "sigma", "records", "n", "mean", "spread", "peak")
 _CELLS_PER_CHUNK = 1 << 19
 
 FIT_FIELDS = [
@@ -34,7 +36,9 @@ FIT_FIELDS = [
     T.StructField("b", T.DoubleType()),
     T.StructField("c", T.DoubleType()),
     T.StructField("d", T.DoubleType()),
+    T.StructField("records", T.LongType()),
     T.StructField("npoints", T.LongType()),
+    T.StructField("last_dim", T.IntegerType()),
     T.StructField("weighted_sse", T.DoubleType()),
     T.StructField("rmse", T.DoubleType()),
     T.StructField("status", T.IntegerType()),
@@ -46,13 +50,16 @@ FIT_FIELDS = [
 def day_points(
     records: DataFrame, keys: Sequence[str], value: str = "ECM", dim: str = "DIM", sigma: str = "SIGMA"
 ) -> DataFrame:
-    """One row per key, day and sigma: count, mean, squared spread and peak."""
-    known = F.col(value).isNotNull() & F.col(dim).isNotNull() & F.col(sigma).isNotNull()
-    n = F.count(F.lit(1))
+    """One row per key, day and sigma: counts, mean, squared spread and peak.
+
+    ``records`` counts all records of the day and ``n`` those with a value.
+    """
+    n = F.count(value)
     return (
-        records.where(known)
+        records.where(F.col(dim).isNotNull() & F.col(sigma).isNotNull())
         .groupBy(*keys, F.col(dim).alias("t"), F.col(sigma).cast("double").alias("sigma"))
         .agg(
+            F.count(F.lit(1)).alias("records"),
             n.alias("n"),
             F.avg(value).alias("mean"),
             (F.var_pop(value) * n).alias("spread"),
@@ -71,10 +78,10 @@ def with_herd_level(points: DataFrame, by: Sequence[str] = (), group: str = "LAG
     mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
     # Spread about the common mean: within points plus between them.
     between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean
-    total = F.col("n")
     levels = (
         points.groupingSets([[*day, group], day], *day, group)
         .agg(
+            F.sum("records").alias("records_"),
             F.sum("n").alias("n_"),
             mean.alias("mean_"),
             F.greatest(F.sum("spread") + between, F.lit(0.0)).alias("spread_"),
@@ -88,6 +95,7 @@ def with_herd_level(points: DataFrame, by: Sequence[str] = (), group: str = "LAG
         group,
         "t",
         "sigma",
+        F.col("records_").alias("records"),
         F.col("n_").alias("n"),
         F.col("mean_").alias("mean"),
         F.col("spread_").alias("spread"),
@@ -113,22 +121,22 @@ def fit_points(
     if starts is not None:
         packed = packed.join(starts.select(*keys, F.array("a", "b", "c", "d").alias("start")), keys, "left")
         own_start = F.col("start")
-    casts = {"t": "double", "n": "double"}
-    arrays = [
-        F.col(f"series.{name}").cast(f"array<{casts.get(name, 'double')}>").alias(f"_{name}") for name in _POINT
-    ]
+    arrays = [F.col(f"series.{name}").cast("array<double>").alias(f"_{name}") for name in _POINT]
     packed = packed.select(*keys, *arrays, own_start.alias("_start"))
     schema = T.StructType([*packed.select(*keys).schema.fields, *FIT_FIELDS])
 
+    # A plain object: tasks need no class of this package.
+    limits = SimpleNamespace(**dataclasses.asdict(settings))
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _solve_batch(batch, len(keys), settings)
+                yield _solve_batch(batch, len(keys), limits)
 
     return packed.mapInArrow(solve, schema)
 
 
-def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: FitSettings) -> pa.RecordBatch:
+def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespace) -> pa.RecordBatch:
     column = {name: batch.column(key_count + i) for i, name in enumerate(_POINT)}
     offsets = column["t"].offsets.to_numpy()
     lengths = np.diff(offsets)
@@ -139,7 +147,8 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: FitSettings) -
     bounded = bool(np.isfinite([settings.lower, settings.upper]).any())
     p = np.full((groups, 4), np.nan)
     loss, rmse = np.full(groups, np.nan), np.full(groups, np.nan)
-    points, iterations = np.zeros(groups, dtype=np.int64), np.zeros(groups, dtype=np.int32)
+    points, records = np.zeros(groups, dtype=np.int64), np.zeros(groups, dtype=np.int64)
+    last_day, iterations = np.full(groups, np.nan), np.zeros(groups, dtype=np.int32)
     status = np.full(groups, solver.TOO_FEW, dtype=np.int32)
     spread_matrix = np.full((groups, 4, 4), np.nan)
 
@@ -160,17 +169,21 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: FitSettings) -
             values[inside] = flat[name][source]
             return values
 
-        n, mean = matrix("n"), matrix("mean")
+        n = matrix("n")
+        known = n > 0
+        mean, within = np.where(known, matrix("mean"), 0.0), np.where(known, matrix("spread"), 0.0)
         sigma = np.where(inside, matrix("sigma"), 1.0)
         points[rows] = n.sum(axis=1).astype(np.int64)
+        records[rows] = matrix("records").sum(axis=1).astype(np.int64)
+        last_day[rows] = np.where(known, matrix("t"), -np.inf).max(axis=1)
         start = np.tile(np.asarray(settings.start, dtype=float), (len(rows), 1))
         if settings.start_at_peak:
-            start[:, 0] = np.where(inside, matrix("peak"), -np.inf).max(axis=1)
+            start[:, 0] = np.where(known, matrix("peak"), -np.inf).max(axis=1)
         for i, row in enumerate(rows):
             if own[row] is not None and None not in own[row]:
                 start[i] = own[row]
 
-        enough = points[rows] >= max(1, settings.min_points)
+        enough = (records[rows] >= settings.min_points) & (points[rows] > 0)
         if not enough.any():
             continue
         rows, start = rows[enough], start[enough]
@@ -178,7 +191,7 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: FitSettings) -
         fitted, mean_loss, used, converged, jacobian = solver.fit_batch(
             t, y, weight, start, np.asarray(settings.lower), np.asarray(settings.upper), settings.max_iterations
         )
-        within = matrix("spread")[enough]
+        within = within[enough]
         total = mean_loss + (within / sigma[enough] ** 2).sum(axis=1)
         matrices = solver.covariance(jacobian, total, points[rows], bounded)
         good = converged & np.isfinite(fitted).all(axis=1)
@@ -197,13 +210,15 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: FitSettings) -
     def nullable(values):
         return pa.array(values, mask=~np.isfinite(values))
 
-    known = np.isfinite(spread_matrix).all(axis=(1, 2))
+    estimated = np.isfinite(spread_matrix).all(axis=(1, 2))
     covariances = pa.array(
-        [m.ravel().tolist() if ok else None for m, ok in zip(spread_matrix, known)], pa.list_(pa.float64())
+        [m.ravel().tolist() if ok else None for m, ok in zip(spread_matrix, estimated)], pa.list_(pa.float64())
     )
     results = [
         *[nullable(p[:, i].copy()) for i in range(4)],
+        pa.array(records),
         pa.array(points),
+        pa.array(np.nan_to_num(last_day, neginf=0.0).astype(np.int32), mask=~np.isfinite(last_day)),
         nullable(loss),
         nullable(rmse),
         pa.array(status),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.settings import Settings
@@ -50,34 +50,33 @@ def keep_accepted(records: DataFrame, accepted: DataFrame, keys: Sequence[str] =
     return records.join(accepted, list(keys), "left_semi")
 
 
-def fit_records(records: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def fit_records(records: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Records for the group fits: lactations seen late enough, inside the fit window."""
-    keys = settings.lactation_keys
+    keys = [*by, *settings.lactation_keys]
     accepted = accepted_lactations(
         records, (settings.accept_ecm, settings.accept_dim), settings.accept_count, keys
     )
     return keep_accepted(records.where(settings.fit_rows), accepted, keys)
 
 
-def individual_records(records: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def individual_records(records: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Records for individual scaling: lactations with enough usable test days."""
-    keys = settings.lactation_keys
+    keys = [*by, *settings.lactation_keys]
     accepted = accepted_lactations(records, (settings.accept_ecm,), settings.individual_count, keys)
     return keep_accepted(records.where(settings.individual_rows), accepted, keys)
 
 
-def history_bounds(
-    records: DataFrame,
-    keys: Sequence[str] = ("BDAT", "ID", "LAGR"),
-    first: int = 0,
-    last: tuple[int, int] = (200, 350),
-) -> DataFrame:
+def history_columns() -> list[Column]:
+    return [F.min("DIM").alias("DIM_MIN"), F.max("DIM").alias("DIM_MAX")]
+
+
+def long_enough(first: int = 0, last: tuple[int, int] = (200, 350)) -> Column:
+    return (F.col("DIM_MIN") >= first) & (F.col("DIM_MAX") >= last[0]) & (F.col("DIM_MAX") < last[1])
+
+
+def history_bounds(records: DataFrame, keys: Sequence[str] = ("BDAT", "ID", "LAGR")) -> DataFrame:
     """First and last day per key, where the last one is late enough but in range."""
-    return (
-        records.groupBy(*keys)
-        .agg(F.min("DIM").alias("DIM_MIN"), F.max("DIM").alias("DIM_MAX"))
-        .where((F.col("DIM_MIN") >= first) & (F.col("DIM_MAX") >= last[0]) & (F.col("DIM_MAX") < last[1]))
-    )
+    return records.groupBy(*keys).agg(*history_columns()).where(long_enough())
 
 
 def with_history_bounds(records: DataFrame, bounds: DataFrame, keys: Sequence[str] = ("BDAT", "ID", "LAGR")) -> DataFrame:

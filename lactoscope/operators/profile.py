@@ -47,7 +47,11 @@ def median_by_day(
 def animal_means(
     records: DataFrame, value: str = "ECM", keys: Sequence[str] = ("BDAT", "ID", "LAGR")
 ) -> DataFrame:
-    return records.groupBy(*keys).agg(F.avg(value).alias(f"{value.lower()}_avg"))
+    return records.groupBy(*keys).agg(mean_of(value))
+
+
+def mean_of(value: str) -> Column:
+    return F.avg(value).alias(f"{value.lower()}_avg")
 
 
 def quantile_cuts(frame: DataFrame, column: str, buckets: int = 4, relative_error: float = 0.01) -> DataFrame:

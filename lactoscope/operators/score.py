@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.functions.expressions import PARAMETERS, curve, group_name, pack, yield_to_day
-from lactoscope.operators.history import individual_records
 from lactoscope.settings import Settings
 from lactoscope.sources.tables import grid_days
 
@@ -94,12 +93,23 @@ def individual_scale(
     """Geometric mean of observed over group yield per lactation, and scaled curves.
 
     Records without a positive value or estimate have no logarithm and are skipped.
+    The rule on the number of usable test days is counted in the same aggregation,
+    so records are reduced before they move and no join on lactations is needed.
     """
     keys = [*by, group, *settings.lactation_keys]
-    rows = predict(individual_records(records, settings), parameters, [*by, group], output="ecm_est0")
+    rows = predict(records.dropna(subset=list(settings.lactation_keys)), parameters, [*by, group], output="ecm_est0")
     ratio = F.try_divide(F.col("ECM"), F.col("ecm_est0"))
-    log_ratio = F.when(ratio > 0, F.log(ratio))
-    scale = rows.groupBy(*keys).agg(F.exp(F.avg(log_ratio)).alias("geom_mean_ratio"))
+    log_ratio = F.when(F.expr(settings.individual_rows) & (ratio > 0), F.log(ratio))
+    scale = (
+        rows.groupBy(*keys)
+        .agg(
+            F.count_if(F.expr(settings.accept_ecm)).alias("count"),
+            F.count_if(F.expr(settings.individual_rows)).alias("used"),
+            F.exp(F.avg(log_ratio)).alias("geom_mean_ratio"),
+        )
+        .where(settings.individual_count)
+        .where("used > 0")
+    )
     return (
         scale.join(parameters.select(*by, group, *PARAMETERS), [*by, group])
         .withColumn("a", F.col("geom_mean_ratio") * F.col("a"))

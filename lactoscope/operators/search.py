@@ -8,7 +8,7 @@ round lays a finer grid around the best cell of the round before.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +63,9 @@ def _axes(grid: Grid, names: Sequence[str], around: bool, round_: int) -> dict[s
     return axes
 
 
-def _best(points: DataFrame, keys: list[str], grid: Grid, loss: str, round_: int) -> DataFrame:
+def _best(
+    points: DataFrame, keys: list[str], grid: Grid, loss: str, round_: int, per: Sequence[str] = ()
+) -> DataFrame:
     around = round_ > 0
     if loss == "mse":
         cells = _explode_axes(points, _axes(grid, ("b", "c", "d"), around, round_), grid)
@@ -86,7 +88,7 @@ def _best(points: DataFrame, keys: list[str], grid: Grid, loss: str, round_: int
             loss_of(loss, F.col("y"), curve("t"), F.col("n")).alias("loss")
         )
     least = F.min(F.struct("loss", *PARAMETERS))
-    return scored.where(F.col("loss").isNotNull() & ~F.isnan("loss")).groupBy(*keys).agg(least.alias("best"))
+    return scored.where(F.col("loss").isNotNull() & ~F.isnan("loss")).groupBy(*keys, *per).agg(least.alias("best"))
 
 
 def grid_search(
@@ -113,7 +115,7 @@ def grid_search(
 
 def _points(records: DataFrame, keys: list[str], loss: str, value: str, dim: str) -> DataFrame:
     if loss == "mse":
-        return day_points(records.withColumn("_one", F.lit(1.0)), keys, value, dim, "_one")
+        return _unweighted(records, keys, value, dim)
     # Other losses need each value; equal ones on a day are counted together.
     known = F.col(value).isNotNull() & F.col(dim).isNotNull()
     return (
@@ -123,20 +125,69 @@ def _points(records: DataFrame, keys: list[str], loss: str, value: str, dim: str
     )
 
 
-def global_search(
+def _unweighted(records: DataFrame, keys: list[str], value: str, dim: str) -> DataFrame:
+    known = records.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1.0))
+    return day_points(known, keys, value, dim, "_one")
+
+
+def constrained_minimum(
     records: DataFrame,
     keys: Sequence[str],
-    grid: Grid,
+    grid: Grid = Grid(),
+    loss: str = "mse",
+    rounds: int = 6,
     value: str = "ECM",
     dim: str = "DIM",
 ) -> DataFrame:
-    """Least squared loss inside the grid's bounds: best cell, then a fit from there."""
+    """Least loss under the bounds and the limit on b * d.
+
+    The zoomed grid gives the answer for any loss. For the squared loss a fit from
+    the best cell replaces it where that fit is better and keeps the limit.
+    """
     keys = list(keys)
-    unbounded_product = Grid(grid.a, grid.b, grid.c, grid.d, None)
-    starts = grid_search(records, keys, unbounded_product, "mse", 1, value, dim)
-    bounds = FitSettings(
+    coarse = grid_search(records, keys, grid, loss, rounds, value, dim)
+    if loss != "mse":
+        return coarse
+    coarse = cut_lineage(coarse)
+    fits = fit_points(_unweighted(records, keys, value, dim), keys, _bounds(grid), coarse)
+    fine = F.try_divide(F.col("fit.weighted_sse"), F.col("fit.npoints"))
+    better = F.coalesce(fine < F.col("loss"), F.lit(False))
+    if grid.product_limit is not None:
+        better = better & (F.col("fit.b") * F.col("fit.d") <= grid.product_limit)
+    joined = coarse.join(fits.select(*keys, F.struct(*PARAMETERS, "weighted_sse", "npoints").alias("fit")), keys)
+    return joined.select(
+        *keys,
+        *[F.when(better, F.col(f"fit.{p}")).otherwise(F.col(p)).alias(p) for p in PARAMETERS],
+        F.when(better, fine).otherwise(F.col("loss")).alias("loss"),
+    )
+
+
+def _bounds(grid: Grid) -> FitSettings:
+    return FitSettings(
         lower=tuple(getattr(grid, p)[0] for p in PARAMETERS),
         upper=tuple(getattr(grid, p)[1] for p in PARAMETERS),
     )
-    points = day_points(records.withColumn("_one", F.lit(1.0)), keys, value, dim, "_one")
-    return fit_points(points, keys, bounds, starts)
+
+
+def global_search(
+    records: DataFrame,
+    keys: Sequence[str],
+    grid: Grid,
+    value: str = "ECM",
+    dim: str = "DIM",
+) -> DataFrame:
+    """Least squared loss inside the grid's bounds, by fits from many starts.
+
+    The best cell of every b on the grid starts a fit; the best fit is kept. So a
+    valley that looks poor on the grid is still followed to its floor.
+    """
+    keys = list(keys)
+    points = _unweighted(records, keys, value, dim)
+    cells = _best(points, keys, replace(grid, product_limit=None), "mse", 0, per=("b",))
+    starts = cells.select(*keys, F.col("b").alias("_b"), *[F.col(f"best.{p}").alias(p) for p in PARAMETERS])
+    trials = points.join(starts.select(*keys, "_b"), keys)
+    fits = fit_points(trials, [*keys, "_b"], _bounds(grid), starts)
+    results = [c for c in fits.columns if c not in (*keys, "_b")]
+    return fits.groupBy(*keys).agg(F.min_by(F.struct(*results), F.struct("weighted_sse", "_b")).alias("best")).select(
+        *keys, "best.*"
+    )

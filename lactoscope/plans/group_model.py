@@ -34,7 +34,7 @@ class GroupModel:
 
 def group_parameters(inputs: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Fitted curve of each lactation group and of the herd (group 0)."""
-    rows = fit_records(inputs, settings).withColumn("SIGMA", error_sigma())
+    rows = fit_records(inputs, settings, by).withColumn("SIGMA", error_sigma())
     return fit_herd_and_groups(rows, settings.fit, by).withColumn("grp", group_name("LAGR"))
 
 

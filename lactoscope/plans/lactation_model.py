@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lactoscope.functions.expressions import energy_corrected, error_sigma
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.fit import day_points, fit_points, fit_records_by
-from lactoscope.operators.history import complete_components, coverage, point_counts, valid_yields, with_point_count
+from lactoscope.operators.history import complete_components, valid_yields, with_point_count
 from lactoscope.operators.score import predict, with_residual
 from lactoscope.settings import HERD_FILE_FIT, LACTATION_FIT, SINGLE_ANIMAL_FIT, FitSettings
 from lactoscope.sources.tables import rename_test_days
@@ -34,12 +34,14 @@ def lactation_records(events: DataFrame, at_least: int = 4) -> DataFrame:
 
 
 def fit_lactations(events: DataFrame, settings: FitSettings = LACTATION_FIT) -> DataFrame:
-    """Fit of every lactation with more than four records, with its coverage."""
-    rows = lactation_records(events).where("npoints > 4")
-    # The count rule was applied above, on records before component checks.
-    anything = FitSettings(settings.start, settings.lower, settings.upper, settings.start_at_peak, 1, settings.max_iterations)
-    fits = fit_points(day_points(rows, KEYS), KEYS, anything)
-    return fits.join(coverage(rows, KEYS).select(*KEYS, "last_dim"), list(KEYS))
+    """Fit of every lactation with enough records and some usable value.
+
+    The count rule is applied to the records per lactation that the day points
+    carry along, so no record has to be joined to its lactation's count.
+    """
+    rows = filled_lactations(events).withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()})
+    fits = fit_points(day_points(rows, KEYS), KEYS, settings)
+    return fits.where((F.col("records") >= settings.min_points) & (F.col("npoints") > 0))
 
 
 def fit_residuals(events: DataFrame, fits: DataFrame) -> DataFrame:
@@ -55,11 +57,7 @@ def herd_file_fits(records: DataFrame, settings: FitSettings = HERD_FILE_FIT, ke
     """
     rows = fill_components(records, keys, backward_first=True)
     rows = rows.withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()})
-    fits = fit_records_by(rows, keys, settings)
-    # A lactation without any usable value has no points, but is still a case.
-    return point_counts(rows, keys, "records").join(fits, list(keys), "left").withColumn(
-        "status", F.coalesce("status", F.lit(3))
-    )
+    return fit_records_by(rows, keys, settings)
 
 
 def single_animal_fits(

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from lactoscope.functions.expressions import energy_corrected, error_sigma, group_label
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.fit import fit_records_by
-from lactoscope.operators.history import complete_components, history_bounds, valid_yields, with_history_bounds
-from lactoscope.operators.profile import animal_means, median_by_day, quantile_buckets
+from lactoscope.operators.history import (
+    complete_components,
+    history_bounds,
+    history_columns,
+    long_enough,
+    valid_yields,
+    with_history_bounds,
+)
+from lactoscope.operators.profile import mean_of, median_by_day, quantile_buckets
 from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, FitSettings
 from lactoscope.sources.tables import rename_test_days
 
@@ -54,11 +61,12 @@ def fit_all_records(records: DataFrame, settings: FitSettings = GROUP_FIT) -> Da
 
 def animal_quartiles(records: DataFrame, relative_error: float = 0.01) -> DataFrame:
     """Animals with long enough history, in four buckets of mean yield."""
-    means = animal_means(records_with_history(records), keys=KEYS)
+    # Means and bounds come from one aggregation over the records.
+    means = records.groupBy(*KEYS).agg(*history_columns(), mean_of("ECM")).where(long_enough())
     return quantile_buckets(means, "ecm_avg", 4, relative_error, "ecm_qtile")
 
 
 def records_with_quartile(records: DataFrame, relative_error: float = 0.01) -> DataFrame:
     """Records beside the yield quartile of their animal."""
-    quartiles = animal_quartiles(records, relative_error).select(*KEYS, "ecm_qtile")
-    return records_with_history(records).join(quartiles, list(KEYS))
+    quartiles = animal_quartiles(records, relative_error).select(*KEYS, "DIM_MIN", "DIM_MAX", "ecm_qtile")
+    return records.join(quartiles, list(KEYS))

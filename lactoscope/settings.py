@@ -33,7 +33,7 @@ class FitSettings:
     lower: tuple[float, float, float, float] = (0.0, 10.0, -5.0, 0.0001)
     upper: tuple[float, float, float, float] = (500.0, 50.0, 5.0, 0.002)
     start_at_peak: bool = False
-    min_points: int = 1
+    min_points: int = 1  # records a group needs, known value or not
     max_iterations: int = 500
 
 
