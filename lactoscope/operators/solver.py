@@ -13,6 +13,7 @@ import numpy as np
 FITTED, FAILED, NO_COVARIANCE, TOO_FEW = 0, 1, 2, 3
 
 _TOLERANCE = 1e-11
+_STALL = (50, 1e-8)  # turns without a gain of this share end a fit on flat ground
 _DAMPING = (1e-3, 1e-12, 1e14)
 
 
@@ -62,7 +63,8 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
     with np.errstate(all="ignore"):
         loss, _ = _loss(p, t, y, w)
         todo = np.flatnonzero(np.isfinite(loss))
-        for _ in range(max_iterations):
+        earlier = loss.copy()
+        for turn in range(1, max_iterations + 1):
             if not len(todo):
                 break
             pk, tk, wk, yk = p[todo], t[todo], w[todo], y[todo]
@@ -78,15 +80,24 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
             old_loss = loss[todo]
             better = new_loss < old_loss
             gain = np.where(better, old_loss - new_loss, 0.0)
-            small = gain <= _TOLERANCE * old_loss
+            # How far the linear model foretold the gain decides the next damping.
+            moved = trial - pk
+            foretold = 2.0 * np.einsum("gi,gi->g", moved, gradient) - np.einsum("gi,gij,gj->g", moved, normal, moved)
+            flat = (trial == pk + step).all(axis=1) & (foretold >= 0)
+            small = np.where(better, gain, np.where(flat, foretold, np.inf)) <= _TOLERANCE * old_loss
+            trust = gain / np.where(foretold > 0, foretold, np.inf)
+            factor = np.where(trust > 0.75, 0.2, np.where(trust > 0.25, 0.7, 3.0))
             p[todo[better]] = trial[better]
             loss[todo[better]] = new_loss[better]
             damping[todo] = np.clip(
-                np.where(better, damping[todo] / 5.0, damping[todo] * 4.0), _DAMPING[1], None
+                damping[todo] * np.where(better, factor, 4.0), _DAMPING[1], None
             )
             iterations[todo] += 1
-            quiet[todo] = np.where(better & small, quiet[todo] + 1, np.where(better, 0, quiet[todo]))
+            quiet[todo] = np.where(small, quiet[todo] + 1, np.where(better, 0, quiet[todo]))
             done = (quiet[todo] >= 3) | (damping[todo] > _DAMPING[2]) | (loss[todo] == 0) | held.all(axis=1)
+            if turn % _STALL[0] == 0:
+                done |= earlier[todo] - loss[todo] <= _STALL[1] * loss[todo]
+                earlier[todo] = loss[todo]
             converged[todo[done]] = True
             todo = todo[~done]
         jac = _derivatives(p, t) * np.sqrt(w)[:, None, :]
