@@ -226,11 +226,11 @@ def distinct_parameter_union(spark, sf_dir):
     groups = rows.groupBy("LAGR").agg(F.max("ECM").alias("peak"))
     herd = rows.agg(F.max("ECM").alias("peak")).select(F.lit(0).alias("LAGR"), "peak")
 
-    def packed(frame):
-        array = X.pack(F.col("peak") / 2)
-        return frame.join(fixed_parameters(spark), ["LAGR"]).select(X.group_name().alias("grp"), array.alias("p"))
-
-    both = packed(groups).unionByName(packed(herd)).unionByName(packed(groups)).distinct()
+    peaks = groups.unionByName(herd).unionByName(groups)
+    arrays = peaks.join(fixed_parameters(spark), ["LAGR"]).select(
+        X.group_name().alias("grp"), X.pack(F.col("peak") / 2).alias("p")
+    )
+    both = arrays.distinct()
     names = ("a", "b", "c", "d")
     return rounded(both.select("grp", *[v.alias(n) for v, n in zip(X.unpack("p"), names)]))
 

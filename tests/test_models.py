@@ -229,7 +229,7 @@ def test_sources_and_sinks(spark, sample, tmp_path):
     orc = str(tmp_path / "herds")
     herds.write.format("orc").save(orc)
     assert sorted(tables.read_herds(spark, orc, "orc").collect()) == sorted(herds.collect())
-    saved = tables.save_table(herds, "saved_herds")
-    assert tables.save_table(herds.limit(2), "saved_herds").count() == 2 and saved.schema == herds.schema
+    assert tables.save_table(herds, "saved_herds").count() == herds.count()
+    assert tables.save_table(herds.limit(2), "saved_herds").count() == 2
     grid = [r.DIM for r in tables.day_grid(spark, 0, 345, 5).collect()]
     assert grid == list(range(0, 350, 5))
