@@ -19,13 +19,15 @@ from catalog.base import (
     MEDIAN,
     NAMES,
     RAW,
+    RUN,
     TO_FILL_1_399,
     check,
     inputs_of,
     query,
     rounded,
+    tables,
 )
-from lactoscope.functions.expressions import PARAMETERS, error_sigma, group_name, level_too_low, no_convergence
+from lactoscope.functions.expressions import PARAMETERS, group_name, level_too_low, no_convergence
 from lactoscope.operators import fit, history
 from lactoscope.operators.profile import summary
 from lactoscope.operators.score import select_fits
@@ -88,12 +90,11 @@ _SHOWN = "round(a, 3) as a, round(b, 2) as b, round(c, 2) as c, round(d, 6) as d
 _SHOWN_WIDE = _SHOWN.replace("round(b, 2)", "round(b, 1)").replace("round(c, 2)", "round(c, 1)")
 
 
-def _shown(fits, points, keys, digits=2):
+def _shown(fits, digits=2):
     """Fits with the part of the loss that a curve can change."""
-    within = points.groupBy(*keys).agg(F.sum(F.col("spread") / F.col("sigma") ** 2).alias("within"))
-    between = F.col("weighted_sse") - F.col("within")
+    between = F.col("weighted_sse") - F.col("within_days")
     return rounded(
-        fits.join(within, list(keys)).select(*keys, *PARAMETERS, between.alias("between_days")),
+        fits.select("LAGR", *PARAMETERS, between.alias("between_days")),
         3,
         b=digits,
         c=digits,
@@ -113,8 +114,7 @@ def _shown(fits, points, keys, digits=2):
 )
 def day_points(spark, sf_dir):
     """Herd and group records reduced to one row per day."""
-    rows = history.fit_records(inputs_of(spark, sf_dir)).withColumn("SIGMA", error_sigma())
-    points = fit.with_herd_level(fit.day_points(rows, ["LAGR"]))
+    points = group_plan.group_points(inputs_of(spark, sf_dir))
     # Yields have one decimal, so that means of 32 lie half-way between roundings.
     return rounded(points.withColumns({"mean": F.col("mean") + 1e-8, "spread": F.col("spread") + 1e-6}), spread=4)
 
@@ -134,9 +134,8 @@ def peak_starts(spark, sf_dir):
 )
 def fit_herd_and_groups(spark, sf_dir):
     """Curve of each lactation group and of all records together."""
-    rows = history.fit_records(inputs_of(spark, sf_dir)).withColumn("SIGMA", error_sigma())
-    points = fit.with_herd_level(fit.day_points(rows, ["LAGR"]))
-    shown = _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT), points, ["LAGR"])
+    points = group_plan.group_points(inputs_of(spark, sf_dir))
+    shown = _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT))
     return shown.select(group_name().alias("grp"), "*")
 
 
@@ -152,9 +151,9 @@ _MEDIANS = "medians as (select LAGR, DIM, quantile_disc(ECM, 0.5) as y from with
     )
 )
 def fit_median_curve(spark, sf_dir):
-    records = median_model.filled_records(mapped_test_days(spark, sf_dir))
+    records = median_model.records_of(mapped_test_days(spark, sf_dir))
     points = fit.day_points(median_model.median_curve(records), ["LAGR"], "ECM_MEDIAN")
-    return _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT), points, ["LAGR"])
+    return _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT))
 
 
 @query(
@@ -167,10 +166,10 @@ def fit_median_curve(spark, sf_dir):
 )
 def fit_median_curve_wide(spark, sf_dir):
     """Unweighted median curve on wide bounds."""
-    records = median_model.filled_records(mapped_test_days(spark, sf_dir))
+    records = median_model.records_of(mapped_test_days(spark, sf_dir))
     medians = median_model.median_curve(records).withColumn("SIGMA", F.lit(1.0))
     points = fit.day_points(medians, ["LAGR"], "ECM_MEDIAN")
-    return _shown(fit.fit_points(points, ["LAGR"], EARLY_MEDIAN_FIT), points, ["LAGR"], 1)
+    return _shown(fit.fit_points(points, ["LAGR"], EARLY_MEDIAN_FIT), 1)
 
 
 @query(
@@ -184,9 +183,9 @@ def fit_median_curve_wide(spark, sf_dir):
 )
 def fit_all_records(spark, sf_dir):
     """Group fits on all records of animals with long histories."""
-    records = median_model.records_with_history(median_model.filled_records(mapped_test_days(spark, sf_dir)))
+    records = median_model.records_of(mapped_test_days(spark, sf_dir))
     points = fit.day_points(records, ["LAGR"])
-    return _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT), points, ["LAGR"])
+    return _shown(fit.fit_points(points, ["LAGR"], GROUP_FIT))
 
 
 _FREE = FitSettings(
@@ -204,9 +203,8 @@ _FREE = FitSettings(
     )
 )
 def fit_unbounded(spark, sf_dir):
-    rows = history.fit_records(inputs_of(spark, sf_dir)).withColumn("SIGMA", error_sigma())
-    points = fit.with_herd_level(fit.day_points(rows, ["LAGR"]))
-    return _shown(fit.fit_points(points, ["LAGR"], UNBOUNDED_FIT), points, ["LAGR"], 1)
+    points = group_plan.group_points(inputs_of(spark, sf_dir))
+    return _shown(fit.fit_points(points, ["LAGR"], UNBOUNDED_FIT), 1)
 
 
 @query()
@@ -379,9 +377,8 @@ def global_search(spark, sf_dir):
 @query()
 def group_model_yields(spark, sf_dir):
     """The whole model: selection, group fits, individual scale, 305-day yield."""
-    inputs = inputs_of(spark, sf_dir)
-    scaled = group_plan.individual_scale(inputs, group_plan.group_parameters(inputs))
-    return rounded(group_plan.yields(scaled, ["grp", "BDAT", "ID", "LACT"]), 2)
+    model = group_plan.group_model(*tables(spark, sf_dir), RUN)
+    return rounded(model.yields, 2)
 
 
 @query()

@@ -156,7 +156,7 @@ def history_bounds(spark, sf_dir):
 
 @query(check(*MEDIAN, select="select LAGR, count(*) as n from bounds group by LAGR"))
 def long_histories_per_group(spark, sf_dir):
-    bounds = history.history_bounds(median_model.filled_records(mapped_test_days(spark, sf_dir)))
+    bounds = median_model.bounds_of(mapped_test_days(spark, sf_dir))
     return history.point_counts(bounds, ["LAGR"], "n")
 
 
@@ -168,7 +168,7 @@ def long_histories_per_group(spark, sf_dir):
     )
 )
 def records_with_history(spark, sf_dir):
-    return rounded(median_model.records_with_history(median_model.filled_records(mapped_test_days(spark, sf_dir))))
+    return rounded(median_model.records_of(mapped_test_days(spark, sf_dir)))
 
 
 @query(
@@ -180,7 +180,7 @@ where BDAT = date '2015-02-01' and LAGR = '1'""",
 )
 def selected_birth_date(spark, sf_dir):
     """First lactations of the animals born on one day."""
-    rows = median_model.records_with_history(median_model.filled_records(mapped_test_days(spark, sf_dir)))
+    rows = median_model.records_of(mapped_test_days(spark, sf_dir))
     chosen = rows.where((F.col("BDAT") == F.lit("2015-02-01").cast("date")) & (F.col("LAGR") == "1"))
     return rounded(chosen.select("BDAT", "ID", "LAGR", "DIM", "ECM"))
 
@@ -265,7 +265,7 @@ def smoothed_components(spark, sf_dir):
     )
 )
 def median_curve(spark, sf_dir):
-    return rounded(median_model.median_curve(median_model.filled_records(mapped_test_days(spark, sf_dir))))
+    return rounded(median_model.median_curve(median_model.records_of(mapped_test_days(spark, sf_dir))))
 
 
 _QUARTILES = """means as (select BDAT, ID, LAGR, avg(ECM) as ecm_avg from with_history group by BDAT, ID, LAGR),

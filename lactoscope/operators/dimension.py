@@ -1,0 +1,42 @@
+"""Joins with a table that is usually, but not surely, small."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def join_dimension(
+    records: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    salt: Column | None = None,
+    salts: int = SALTS,
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join with a dimension whose size is looked at first.
+
+    Up to ``limit`` rows it is computed once, held and broadcast, and records do
+    not move. Beyond, both sides are shuffled on the keys and the salt: the rows
+    of a key are dealt to ``salts`` tasks and the dimension is repeated for each.
+    Without a salt the plain join is left to the adaptive skew handling.
+    """
+    keys = list(keys)
+    head = dimension.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        held = records.sparkSession.createDataFrame(head, dimension.schema)
+        return records.join(F.broadcast(held), keys)
+    if salt is None:
+        return records.join(dimension, keys)
+    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return records.withColumn("_salt", salt.cast("int")).join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
+def salt_of(columns: Sequence[str | Column], salts: int = SALTS) -> Column:
+    """A number below ``salts`` from the values of some columns, the same on every run."""
+    return F.pmod(F.xxhash64(*columns), F.lit(salts))

@@ -17,12 +17,13 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lactoscope.operators import solver
-from lactoscope.settings import GROUP_FIT, HERD_CODE, FitSettings
+from lactoscope.settings import GROUP_FIT, HERD_CODE, FitSettings, Settings
 
 # Executors get the solver with the task and need no installed copy of it.
 for _module in (solver, sys.modules[__name__]):
@@ -40,6 +41,7 @@ FIT_FIELDS = [
     T.StructField("npoints", T.LongType()),
     T.StructField("last_dim", T.IntegerType()),
     T.StructField("weighted_sse", T.DoubleType()),
+    T.StructField("within_days", T.DoubleType()),
     T.StructField("rmse", T.DoubleType()),
     T.StructField("status", T.IntegerType()),
     T.StructField("iterations", T.IntegerType()),
@@ -48,11 +50,17 @@ FIT_FIELDS = [
 
 
 def day_points(
-    records: DataFrame, keys: Sequence[str], value: str = "ECM", dim: str = "DIM", sigma: str = "SIGMA"
+    records: DataFrame,
+    keys: Sequence[str],
+    value: str = "ECM",
+    dim: str = "DIM",
+    sigma: str = "SIGMA",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per key, day and sigma: counts, mean, squared spread and peak.
 
-    ``records`` counts all records of the day and ``n`` those with a value.
+    ``records`` counts all records of the day and ``n`` those with a value;
+    ``also`` adds aggregates.
     """
     n = F.count(value)
     return (
@@ -64,6 +72,7 @@ def day_points(
             F.avg(value).alias("mean"),
             (F.var_pop(value) * n).alias("spread"),
             F.max(value).alias("peak"),
+            *also,
         )
     )
 
@@ -75,32 +84,67 @@ def with_herd_level(points: DataFrame, by: Sequence[str] = (), group: str = "LAG
     the herd level from a missing group by its grouping id.
     """
     day = [*by, "t", "sigma"]
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
-    # Spread about the common mean: within points plus between them.
-    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean
     levels = (
         points.groupingSets([[*day, group], day], *day, group)
-        .agg(
-            F.sum("records").alias("records_"),
-            F.sum("n").alias("n_"),
-            mean.alias("mean_"),
-            F.greatest(F.sum("spread") + between, F.lit(0.0)).alias("spread_"),
-            F.max("peak").alias("peak_"),
-            F.grouping(group).alias("all_groups"),
-        )
+        .agg(*_merged(), F.grouping(group).alias("all_groups"))
         .withColumn(group, F.when(F.col("all_groups") == 1, F.lit(HERD_CODE)).otherwise(F.col(group)))
     )
-    return levels.select(
-        *by,
-        group,
-        "t",
-        "sigma",
-        F.col("records_").alias("records"),
-        F.col("n_").alias("n"),
-        F.col("mean_").alias("mean"),
-        F.col("spread_").alias("spread"),
-        F.col("peak_").alias("peak"),
+    return levels.select(*by, group, *[_unmarked(name) for name in _POINT])
+
+
+def merge_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points of finer keys put together to points per key, day and sigma."""
+    merged = points.groupBy(*keys, "t", "sigma").agg(*_merged())
+    return merged.select(*keys, *[_unmarked(name) for name in _POINT])
+
+
+def _merged() -> list[Column]:
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
+    # Spread about the common mean: within points plus between them.
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean
+    return [
+        F.sum("records").alias("records_"),
+        F.sum("n").alias("n_"),
+        mean.alias("mean_"),
+        F.greatest(F.sum("spread") + between, F.lit(0.0)).alias("spread_"),
+        F.max("peak").alias("peak_"),
+    ]
+
+
+def _unmarked(name: str) -> Column:
+    return F.col(name) if name in ("t", "sigma") else F.col(f"{name}_").alias(name)
+
+
+def accepted_points(
+    records: DataFrame,
+    group: str,
+    settings: Settings = Settings(),
+    by: Sequence[str] = (),
+    value: str = "ECM",
+    dim: str = "DIM",
+    sigma: str = "SIGMA",
+) -> DataFrame:
+    """Points per group from the lactations that are accepted for group fits.
+
+    Records are reduced to lactation days first. How often a lactation meets the
+    acceptance rules is then a sum over its few days, so the records are read once
+    and need not be joined to the list of accepted lactations.
+    """
+    lactation = [*by, *settings.lactation_keys]
+    accepts = F.count_if(F.expr(f"({settings.accept_ecm}) and ({settings.accept_dim})"))
+    usable = F.expr(settings.fit_rows)
+    days = day_points(
+        records.dropna(subset=lactation).withColumn("_value", F.when(usable, F.col(value))),
+        [*lactation, group],
+        "_value",
+        dim,
+        sigma,
+        [accepts.alias("accepted_rows")],
     )
+    accepted = F.sum("accepted_rows").over(W.partitionBy(*lactation))
+    rows = days.withColumn("count", accepted).where(settings.accept_count).where("n > 0")
+    # Only records with a value take part in the fit.
+    return merge_points(rows.withColumn("records", F.col("n")), [*by, group])
 
 
 def fit_points(
@@ -113,6 +157,7 @@ def fit_points(
 
     Every key gives one row: with parameters, or with null ones and the reason in
     ``status`` (0 fitted, 1 failed, 2 fitted without covariance, 3 too few points).
+    ``within_days`` is the part of ``weighted_sse`` that no curve can remove.
     """
     keys = list(keys)
     series = F.array_sort(F.collect_list(F.struct(*_POINT)))
@@ -146,7 +191,7 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
     groups = batch.num_rows
     bounded = bool(np.isfinite([settings.lower, settings.upper]).any())
     p = np.full((groups, 4), np.nan)
-    loss, rmse = np.full(groups, np.nan), np.full(groups, np.nan)
+    loss, pure, rmse = (np.full(groups, np.nan) for _ in range(3))
     points, records = np.zeros(groups, dtype=np.int64), np.zeros(groups, dtype=np.int64)
     last_day, iterations = np.full(groups, np.nan), np.zeros(groups, dtype=np.int32)
     status = np.full(groups, solver.TOO_FEW, dtype=np.int32)
@@ -192,7 +237,8 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
             t, y, weight, start, np.asarray(settings.lower), np.asarray(settings.upper), settings.max_iterations
         )
         within = within[enough]
-        total = mean_loss + (within / sigma[enough] ** 2).sum(axis=1)
+        pure[rows] = (within / sigma[enough] ** 2).sum(axis=1)
+        total = mean_loss + pure[rows]
         matrices = solver.covariance(jacobian, total, points[rows], bounded)
         good = converged & np.isfinite(fitted).all(axis=1)
         estimable = np.isfinite(matrices).all(axis=(1, 2))
@@ -220,6 +266,7 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
         pa.array(points),
         pa.array(np.nan_to_num(last_day, neginf=0.0).astype(np.int32), mask=~np.isfinite(last_day)),
         nullable(loss),
+        nullable(pure),
         nullable(rmse),
         pa.array(status),
         pa.array(iterations),

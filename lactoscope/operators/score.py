@@ -1,8 +1,7 @@
 """Scores of curves: predictions, residuals, losses, individual scale, yields.
 
-Parameter tables hold one row per group (or per lactation) with columns a, b, c, d.
-Whether they are broadcast is left to the optimizer and its size threshold, since
-with many herds such a table grows.
+Parameter tables hold one row per group with columns a, b, c, d. With many herds
+such a table grows, so its size is checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.functions.expressions import PARAMETERS, curve, group_name, pack, yield_to_day
+from lactoscope.operators.dimension import join_dimension, salt_of
 from lactoscope.settings import Settings
 from lactoscope.sources.tables import grid_days
 
@@ -20,13 +20,23 @@ EPSILON = 2.220446049250313e-16
 
 
 def predict(
-    records: DataFrame, parameters: DataFrame, keys: Sequence[str] = ("LAGR",), dim: str = "DIM", output: str = "ecm_est"
+    records: DataFrame,
+    parameters: DataFrame,
+    keys: Sequence[str] = ("LAGR",),
+    dim: str = "DIM",
+    output: str = "ecm_est",
+    salt: Column | None = None,
 ) -> DataFrame:
     """Attach the parameters of each record's group and the curve value of its day."""
-    joined = records.join(parameters.select(*keys, *PARAMETERS), list(keys))
+    joined = join_dimension(records, parameters.select(*keys, *PARAMETERS), keys, salt)
     return joined.withColumn(output, curve(dim))
 
 
+def predict_each(records: DataFrame, parameters: DataFrame, keys: Sequence[str], output: str = "ecm_est") -> DataFrame:
+    """The same for parameters per lactation, of which there are too many to check."""
+    return records.join(parameters.select(*keys, *PARAMETERS), list(keys)).withColumn(output, curve())
+
+
 def curves_on_grid(
     parameters: DataFrame, keys: Sequence[str] = ("LAGR",), first: int = 0, last: int = 349, step: int = 5
 ) -> DataFrame:
@@ -97,7 +107,9 @@ def individual_scale(
     so records are reduced before they move and no join on lactations is needed.
     """
     keys = [*by, group, *settings.lactation_keys]
-    rows = predict(records.dropna(subset=list(settings.lactation_keys)), parameters, [*by, group], output="ecm_est0")
+    known = records.dropna(subset=list(settings.lactation_keys))
+    salt = salt_of(settings.lactation_keys)
+    rows = predict(known, parameters, [*by, group], output="ecm_est0", salt=salt)
     ratio = F.try_divide(F.col("ECM"), F.col("ecm_est0"))
     log_ratio = F.when(F.expr(settings.individual_rows) & (ratio > 0), F.log(ratio))
     scale = (
@@ -106,13 +118,14 @@ def individual_scale(
             F.count_if(F.expr(settings.accept_ecm)).alias("count"),
             F.count_if(F.expr(settings.individual_rows)).alias("used"),
             F.exp(F.avg(log_ratio)).alias("geom_mean_ratio"),
+            # The curve is the same for all records of a lactation.
+            *[F.max(p).alias(p) for p in PARAMETERS],
         )
         .where(settings.individual_count)
         .where("used > 0")
     )
     return (
-        scale.join(parameters.select(*by, group, *PARAMETERS), [*by, group])
-        .withColumn("a", F.col("geom_mean_ratio") * F.col("a"))
+        scale.withColumn("a", F.col("geom_mean_ratio") * F.col("a"))
         .select(group_name(group).alias("grp"), *keys, "geom_mean_ratio", *PARAMETERS)
     )
 

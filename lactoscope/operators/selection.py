@@ -15,11 +15,14 @@ thousands of cells, each ranked in its own task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lactoscope.functions.expressions import energy_corrected_reported, group_code
+from lactoscope.operators.dimension import join_dimension
 from lactoscope.settings import RunParameters, Settings
 
 SLOTS = 61
@@ -37,8 +40,8 @@ def primary_records(
 ) -> DataFrame:
     """Valid test days of the herds due, inside each herd's look-back period.
 
-    Whether the herd side is broadcast is left to the optimizer, which compares
-    its size with the broadcast threshold and else splits skewed herds.
+    The herds due are few enough to broadcast in most runs; their number is
+    checked, and a larger table is joined on herd and slot, which splits big herds.
     """
     low, high = settings.dim_range
     valid = events.where(
@@ -54,7 +57,9 @@ def primary_records(
     else:
         earliest = F.date_sub(last, settings.lookback_days)
     return (
-        valid.join(due.select(*settings.herd_keys, "LastTestDayEventDate"), list(settings.herd_keys))
+        join_dimension(
+            valid, due.select(*settings.herd_keys, "LastTestDayEventDate"), settings.herd_keys, _slot(), SLOTS
+        )
         .withColumn("TestDate", F.to_date("EventDateTime"))
         .where(F.col("TestDate") >= earliest)
         .select(
@@ -81,16 +86,18 @@ def _slot() -> Column:
     return F.pmod(F.coalesce(F.col("SourceAnimalID"), F.lit(0)), F.lit(SLOTS)).cast("int")
 
 
-def _cells(records: DataFrame, cell: list[str]) -> DataFrame:
-    """Cells with the number of records before them and in their whole group."""
+def _cells(records: DataFrame, cell: list[str], together: Sequence[str] = RANK_GROUP) -> DataFrame:
+    """Cells with their records, the records before them and those of their whole group."""
     group = W.partitionBy(*RANK_GROUP)
     before = group.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
     return (
         records.groupBy(*RANK_GROUP, *cell)
         .agg(F.count(F.lit(1)).alias("cell_rows"))
+        .repartition(*together)
         .select(
             *RANK_GROUP,
             *cell,
+            "cell_rows",
             F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("rows_before"),
             F.sum("cell_rows").over(group).alias("group_rows"),
         )
@@ -107,6 +114,11 @@ def ntile_of(place: str, rows: str, buckets: int) -> Column:
     )
 
 
+def _percent_rank() -> Column:
+    # Records of one day are peers and share the rank of the first of them.
+    return F.when(F.col("group_rows") > 1, F.col("rows_before") / (F.col("group_rows") - 1)).otherwise(F.lit(0.0))
+
+
 def _kept_by_ntile(rows: str, settings: Settings) -> Column:
     # Records of a group in the first buckets follow from its row count alone.
     b, limit = settings.percentile_buckets, settings.percentile_limit
@@ -119,10 +131,9 @@ def with_percentile(
     """Add PercentileDIM: the ntile bucket 1..100, or the percent rank 0..1."""
     if method == "percent_rank":
         cells = _cells(records, ["DIM"]) if cells is None else cells
-        rank = F.when(F.col("group_rows") > 1, F.col("rows_before") / (F.col("group_rows") - 1)).otherwise(0.0)
         return (
             records.join(cells, [*RANK_GROUP, "DIM"])
-            .withColumn("PercentileDIM", rank)
+            .withColumn("PercentileDIM", _percent_rank())
             .select(*records.columns, "PercentileDIM")
         )
     if method != "ntile":
@@ -141,12 +152,13 @@ def with_percentile(
     )
 
 
-def _enough(kept: DataFrame, rows: Column, settings: Settings) -> DataFrame:
-    return (
-        kept.groupBy(*TEST_DATE_KEYS)
-        .agg(rows.cast("bigint").alias("N"))
-        .where(F.col("N") >= settings.min_rows_per_test_date)
-    )
+def _kept_in_cell(settings: Settings, method: str) -> Column:
+    """How many records of a cell are at or below the percentile limit."""
+    if method == "percent_rank":
+        share = settings.percentile_limit / settings.percentile_buckets
+        return F.when(_percent_rank() <= share, F.col("cell_rows")).otherwise(F.lit(0))
+    left = F.least(_kept_by_ntile("group_rows", settings) - F.col("rows_before"), F.col("cell_rows"))
+    return F.greatest(left, F.lit(0))
 
 
 def selected_test_dates(
@@ -154,11 +166,16 @@ def selected_test_dates(
 ) -> DataFrame:
     """Herd test dates with enough records after the percentile trim."""
     if method == "percent_rank":
-        share = settings.percentile_limit / settings.percentile_buckets
-        kept = with_percentile(records, settings, method).where(F.col("PercentileDIM") <= share)
-        return _enough(kept, F.count(F.lit(1)), settings)
-    groups = records.groupBy(*RANK_GROUP).agg(F.count(F.lit(1)).alias("group_rows"))
-    return _enough(groups, F.sum(_kept_by_ntile("group_rows", settings)), settings)
+        groups = _cells(records, ["DIM"], TEST_DATE_KEYS)
+        kept = _kept_in_cell(settings, method)
+    else:
+        groups = records.groupBy(*RANK_GROUP).agg(F.count(F.lit(1)).alias("group_rows"))
+        kept = _kept_by_ntile("group_rows", settings)
+    return (
+        groups.groupBy(*TEST_DATE_KEYS)
+        .agg(F.sum(kept).cast("bigint").alias("N"))
+        .where(F.col("N") >= settings.min_rows_per_test_date)
+    )
 
 
 def qualifying_records(
@@ -170,21 +187,23 @@ def qualifying_records(
 ) -> DataFrame:
     """Records at or below the percentile limit on test dates with enough of them.
 
-    Test dates are chosen on the cells, so the wide records move once: to their cell.
+    How many records of a cell are kept follows from its place, so test dates are
+    chosen on the cells and the wide records move once: to their cell.
     """
     records = primary_records(events, herds, run, settings)
-    if method == "percent_rank":
-        share = settings.percentile_limit / settings.percentile_buckets
-        ranked = with_percentile(records, settings, method).where(F.col("PercentileDIM") <= share)
-        dates = selected_test_dates(records, settings, method)
-        return ranked.join(dates, list(TEST_DATE_KEYS), "left_semi")
-    cells = _cells(records.withColumn("slot", _slot()), ["DIM", "slot"])
-    first_bucket = ntile_of("(rows_before + 1)", "group_rows", settings.percentile_buckets)
-    dates = _enough(
-        cells.groupBy(*RANK_GROUP).agg(F.max("group_rows").alias("group_rows")),
-        F.sum(_kept_by_ntile("group_rows", settings)),
-        settings,
+    if method == "ntile":
+        cells = _cells(records.withColumn("slot", _slot()), ["DIM", "slot"], TEST_DATE_KEYS)
+    else:
+        cells = _cells(records, ["DIM"], TEST_DATE_KEYS)
+    # Test dates are whole inside a partition, so one shuffle of cells serves both windows.
+    on_date = F.sum("kept").over(W.partitionBy(*TEST_DATE_KEYS))
+    wanted = (
+        cells.withColumn("kept", _kept_in_cell(settings, method))
+        .withColumn("N", on_date)
+        .where((F.col("kept") > 0) & (F.col("N") >= settings.min_rows_per_test_date))
+        .drop("cell_rows", "kept", "N")
     )
-    wanted = cells.where(first_bucket <= settings.percentile_limit).join(dates, list(TEST_DATE_KEYS), "left_semi")
     ranked = with_percentile(records, settings, method, wanted)
+    if method == "percent_rank":
+        return ranked
     return ranked.where(F.col("PercentileDIM") <= settings.percentile_limit)

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lactoscope.functions.expressions import error_sigma, group_name
-from lactoscope.operators.fit import fit_herd_and_groups
-from lactoscope.operators.history import fit_records
+from lactoscope.operators.fit import accepted_points, fit_points, with_herd_level
 from lactoscope.operators.score import curves_on_grid, individual_scale, yields
 from lactoscope.operators.selection import qualifying_records
 from lactoscope.settings import RunParameters, Settings
@@ -34,8 +33,14 @@ class GroupModel:
 
 def group_parameters(inputs: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Fitted curve of each lactation group and of the herd (group 0)."""
-    rows = fit_records(inputs, settings, by).withColumn("SIGMA", error_sigma())
-    return fit_herd_and_groups(rows, settings.fit, by).withColumn("grp", group_name("LAGR"))
+    points = group_points(inputs, settings, by)
+    return fit_points(points, [*by, "LAGR"], settings.fit).withColumn("grp", group_name("LAGR"))
+
+
+def group_points(inputs: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
+    """Day points of accepted lactations per group, and over all groups as group 0."""
+    rows = inputs.withColumn("SIGMA", error_sigma())
+    return with_herd_level(accepted_points(rows, "LAGR", settings, by), by)
 
 
 def group_model(
@@ -44,7 +49,7 @@ def group_model(
     run: RunParameters,
     settings: Settings = Settings(),
     by: Sequence[str] = (),
-    store_stages: bool = False,
+    store_stages: bool = True,
 ) -> GroupModel:
     """The whole model for one herd, or for all herds due when ``by`` names the herd keys.
 

@@ -11,7 +11,7 @@ from lactoscope.functions.expressions import energy_corrected, error_sigma
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.fit import day_points, fit_points, fit_records_by
 from lactoscope.operators.history import complete_components, valid_yields, with_point_count
-from lactoscope.operators.score import predict, with_residual
+from lactoscope.operators.score import predict_each, with_residual
 from lactoscope.settings import HERD_FILE_FIT, LACTATION_FIT, SINGLE_ANIMAL_FIT, FitSettings
 from lactoscope.sources.tables import rename_test_days
 
@@ -47,7 +47,7 @@ def fit_lactations(events: DataFrame, settings: FitSettings = LACTATION_FIT) ->
 def fit_residuals(events: DataFrame, fits: DataFrame) -> DataFrame:
     """One row per record with the residual to its lactation's curve."""
     rows = lactation_records(events).where("npoints > 4").select(*KEYS, "DIM", "ECM")
-    return with_residual(predict(rows, fits.where(F.col("a") > 1.0), KEYS)).select(*KEYS, "DIM", "ECM", "ecm_est", "error")
+    return with_residual(predict_each(rows, fits.where(F.col("a") > 1.0), KEYS)).select(*KEYS, "DIM", "ECM", "ecm_est", "error")
 
 
 def herd_file_fits(records: DataFrame, settings: FitSettings = HERD_FILE_FIT, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -33,13 +33,41 @@ def filled_records(events: DataFrame) -> DataFrame:
     )
 
 
-def records_with_history(records: DataFrame) -> DataFrame:
-    return with_history_bounds(records, history_bounds(records, KEYS), KEYS)
+def bounds_of(events: DataFrame) -> DataFrame:
+    """History bounds of the filled records, found without filling them.
+
+    A lactation is complete after filling if each component is known at least
+    once, and else has no complete record at all.
+    """
+    rows = valid_yields(rename_test_days(events), None, None).withColumn("LAGR", group_label())
+    lactations = rows.groupBy(*KEYS, "LACT").agg(
+        *history_columns(), F.count("PCTF").alias("fat"), F.count("PCTP").alias("protein")
+    )
+    known = lactations.where((F.col("fat") > 0) & (F.col("protein") > 0))
+    return (
+        known.groupBy(*KEYS)
+        .agg(F.min("DIM_MIN").alias("DIM_MIN"), F.max("DIM_MAX").alias("DIM_MAX"))
+        .where(long_enough())
+    )
+
+
+def records_with_history(records: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Records of animals with long enough history; ``bounds`` saves a pass over the fills."""
+    bounds = history_bounds(records, KEYS) if bounds is None else bounds
+    return with_history_bounds(records, bounds, KEYS)
+
+
+def records_of(events: DataFrame) -> DataFrame:
+    """Filled records of animals with long enough history."""
+    return records_with_history(filled_records(events), bounds_of(events))
 
 
 def median_curve(records: DataFrame) -> DataFrame:
-    """Median yield per group and day with its own error weight."""
-    medians = median_by_day(records_with_history(records))
+    """Median yield per group and day with its own error weight.
+
+    This and the fits take records that have passed the history rule.
+    """
+    medians = median_by_day(records)
     return medians.withColumn("SIGMA", error_sigma("DIM", MEDIAN_SIGMA_DAYS, strict=True))
 
 
@@ -56,11 +84,14 @@ def fit_wide_median_curve(records: DataFrame) -> DataFrame:
 
 
 def fit_all_records(records: DataFrame, settings: FitSettings = GROUP_FIT) -> DataFrame:
-    return fit_records_by(records_with_history(records), ["LAGR"], settings)
+    return fit_records_by(records, ["LAGR"], settings)
 
 
 def animal_quartiles(records: DataFrame, relative_error: float = 0.01) -> DataFrame:
-    """Animals with long enough history, in four buckets of mean yield."""
+    """Animals with long enough history, in four buckets of mean yield.
+
+    This and the next take filled records of all animals.
+    """
     # Means and bounds come from one aggregation over the records.
     means = records.groupBy(*KEYS).agg(*history_columns(), mean_of("ECM")).where(long_enough())
     return quantile_buckets(means, "ecm_avg", 4, relative_error, "ecm_qtile")

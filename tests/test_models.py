@@ -89,7 +89,9 @@ def test_single_animal_file(spark):
 
 def test_median_model(sample):
     records = median_model.filled_records(sample[0])
-    fits = {r.LAGR: r for r in median_model.fit_wide_median_curve(records).collect()}
+    kept = median_model.records_of(sample[0])
+    assert sorted(kept.collect()) == sorted(median_model.records_with_history(records).collect())
+    fits = {r.LAGR: r for r in median_model.fit_wide_median_curve(kept).collect()}
     assert sorted(fits) == ["1", "2", "3", "4+"]
     quartiles = {r.ecm_qtile: r["count"] for r in median_model.animal_quartiles(records).groupBy("ecm_qtile").count().collect()}
     assert sorted(quartiles) == [0.0, 1.0, 2.0, 3.0]
