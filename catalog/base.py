@@ -162,6 +162,16 @@ with_history as (
     on l.BDAT = b.BDAT and l.ID = b.ID and l.LAGR = b.LAGR)"""
 
 
+SCALES = f"""enough as (select BDAT, ID, LACT from inputs where ECM is not null and ECM > 0
+  group by BDAT, ID, LACT having count(*) >= 5),
+scales as (
+  select i.LAGR, i.BDAT, i.ID, i.LACT, exp(avg(case when ECM / {CURVE} > 0 then ln(ECM / {CURVE}) end)) as geom_mean_ratio
+  from inputs i join enough k on i.BDAT = k.BDAT and i.ID = k.ID and i.LACT = k.LACT
+  join parameters p on i.LAGR = p.LAGR
+  where ECM is not null and DIM > 5 group by i.LAGR, i.BDAT, i.ID, i.LACT),
+scaled as (select s.*, geom_mean_ratio * a as a, b, c, d from scales s join parameters p on s.LAGR = p.LAGR)"""
+
+
 def check(*parts: str, select: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + select
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     BACKWARD_FIRST,
+    CURVE,
     FIT_ROWS,
     FORWARD_FIRST,
     INPUTS,
@@ -20,6 +21,7 @@ from catalog.base import (
     NAMES,
     RAW,
     RUN,
+    SCALES,
     TO_FILL_1_399,
     check,
     inputs_of,
@@ -207,10 +209,50 @@ def fit_unbounded(spark, sf_dir):
     return _shown(fit.fit_points(points, ["LAGR"], UNBOUNDED_FIT), 1)
 
 
-@query()
+def _minor(i: int, j: int) -> str:
+    """Signed cofactor (i, j) of the symmetric 4 x 4 matrix with entries h00 to h33."""
+    rows = [r for r in range(4) if r != i]
+    cols = [c for c in range(4) if c != j]
+
+    def h(r, c):
+        return f"h{min(rows[r], cols[c])}{max(rows[r], cols[c])}"
+
+    terms = [
+        f"{h(0, x)} * ({h(1, y)} * {h(2, z)} - {h(1, z)} * {h(2, y)})" for x, y, z in ((0, 1, 2), (1, 0, 2), (2, 0, 1))
+    ]
+    sign = "" if (i + j) % 2 == 0 else "-"
+    return f"{sign}({terms[0]} - {terms[1]} + {terms[2]})"
+
+
+_GROUP_POINTS = (
+    "select LAGR as g, DIM as t, count(*) / (SIGMA * SIGMA) as w, avg(ECM) as y from levels group by LAGR, DIM, SIGMA"
+)
+_SLOPES = """slopes as (select g, w, f as j0, a * (t - c) / (b * b) * -half * decay as j1, -a * half * decay / b as j2,
+    -t * a * f as j3
+  from (select *, (1 - half) * decay as f from (
+    select p.g, t, w, a, b, c, exp((c - t) / b) / 2 as half, exp(-d * t) as decay from points p join fitted q on p.g = q.g)))"""
+_NORMAL = "normal as (select g, {} from slopes group by g)".format(
+    # Columns are scaled to like size before sums are multiplied.
+    ", ".join(f"sum(w * j{i} * j{j}) * {(1, 1e1, 1e1, 1e-4)[i] * (1, 1e1, 1e1, 1e-4)[j]!r} as h{i}{j}" for i in range(4) for j in range(i, 4))
+)
+_CORRELATIONS = " union all ".join(
+    f"select g as LAGR, {i} as i, {j} as j, round(({_minor(i, j)}) / sqrt(({_minor(i, i)}) * ({_minor(j, j)})), 3) as correlation from normal"
+    for i in range(4)
+    for j in range(4)
+)
+
+
+@query(
+    "with recursive "
+    + ",\n".join(
+        [*INPUTS, FIT_ROWS, LEVELS, pattern_search(_GROUP_POINTS, GROUP_FIT, 1500), _SLOPES, _NORMAL]
+    )
+    + "\n"
+    + _CORRELATIONS
+)
 def fit_correlations(spark, sf_dir):
     """Correlations of the parameters of each group fit."""
-    return rounded(fit.correlations(group_plan.group_parameters(inputs_of(spark, sf_dir)), ["LAGR"]))
+    return rounded(fit.correlations(group_plan.group_parameters(inputs_of(spark, sf_dir)), ["LAGR"]), 3)
 
 
 _LACTATIONS = """select BDAT, ID as EarTag, LACT, count(*) as records,
@@ -267,6 +309,7 @@ def _file_records(spark, sf_dir):
         *RAW,
         "to_fill as (select * from named where MILK is not null)",
         BACKWARD_FIRST,
+    CURVE,
         select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points from (
   select BDAT, ID, LACT, count(*) as records, count(*) filter (PCTF is not null and PCTP is not null) as usable
   from filled group by BDAT, ID, LACT)""",
@@ -277,9 +320,19 @@ def fit_case_counts(spark, sf_dir):
     return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir))).select("cases", "too_few_points")
 
 
-@query()
+@query(
+    check(
+        *RAW,
+        "to_fill as (select * from named where MILK is not null)",
+        BACKWARD_FIRST,
+        select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points,
+  cast(0 as bigint) as failed, count(*) filter (records >= 4 and usable between 1 and 4) as no_covariance from (
+  select BDAT, ID, LACT, count(*) as records, count(*) filter (PCTF is not null and PCTP is not null) as usable
+  from filled group by BDAT, ID, LACT)""",
+    )
+)
 def fit_outcomes(spark, sf_dir):
-    """Outcome counts of the herd file fits: failed and without covariance, too."""
+    """Outcome counts of the herd file fits. All but the failed ones follow from point counts."""
     return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir)))
 
 
@@ -374,15 +427,30 @@ def global_search(spark, sf_dir):
     return rounded(found.select("LAGR", *PARAMETERS, loss), 4, a=3, b=2, c=2, d=6)
 
 
-@query()
+_MODEL_YIELDS = "with recursive " + ",\n".join(
+    [
+        *INPUTS,
+        FIT_ROWS,
+        LEVELS,
+        pattern_search(_GROUP_POINTS, GROUP_FIT, 1500),
+        "parameters as (select g as LAGR, a, b, c, d from fitted)",
+        SCALES,
+    ]
+)
+_MODEL_YIELDS += f"""
+select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE})) as m305
+from (select *, unnest(range(1, 306)) as DIM from scaled) group by LAGR, BDAT, ID, LACT"""
+
+
+@query(_MODEL_YIELDS)
 def group_model_yields(spark, sf_dir):
     """The whole model: selection, group fits, individual scale, 305-day yield."""
     model = group_plan.group_model(*tables(spark, sf_dir), RUN)
-    return rounded(model.yields, 2)
+    return rounded(model.yields.select("grp", "BDAT", "ID", "LACT", "m305"), 0)
 
 
-@query()
+@query(_MODEL_YIELDS)
 def group_model_yields_by_sql(spark, sf_dir):
     """The same model run as SQL text."""
     yields = sql_model.sql_group_model(spark, inputs_of(spark, sf_dir))["yields"]
-    return rounded(yields, 2)
+    return rounded(yields, 0)

@@ -10,6 +10,7 @@ from catalog.base import (
     INPUTS,
     NAMES,
     PARAMETERS,
+    SCALES,
     check,
     fixed_parameters,
     inputs_of,
@@ -18,6 +19,8 @@ from catalog.base import (
 )
 from lactoscope.functions import expressions as X
 from lactoscope.operators import history, score
+from lactoscope.operators.dimension import join_dimension
+from lactoscope.operators.fit import daily_series
 from lactoscope.operators.profile import summary
 
 PREDICTED = f"""predicted as (
@@ -100,20 +103,19 @@ def residual_summary(spark, sf_dir):
     check(
         *INPUTS,
         PARAMETERS,
-        f"""series as (select BDAT, ID, LACT, any_value(a) as a, any_value(b) as b, any_value(c) as c, any_value(d) as d,
-  list([DIM, ECM]) as points from inputs i join parameters p on i.LAGR = p.LAGR where ECM is not null
-  group by BDAT, ID, LACT),
-single as (select BDAT, ID, LACT, a, b, c, d, p[1] as DIM, p[2] as ECM from (select *, unnest(points) as p from series))""",
-        select=f"select BDAT, ID, LACT, DIM::int as DIM, round(ECM - {CURVE}, 6) as error from single",
+        """days as (select BDAT, ID, LACT, LAGR, DIM, count(*) as n, avg(ECM) as mean from inputs
+  where ECM is not null group by BDAT, ID, LACT, LAGR, DIM)""",
+        select=f"""select BDAT, ID, LACT, DIM, n, round(mean - {CURVE} + 1e-8, 6) as error
+from days i join parameters p on i.LAGR = p.LAGR""",
     )
 )
 def exploded_residuals(spark, sf_dir):
-    """Residuals kept as an array per lactation and day, then exploded to rows."""
-    rows = inputs_of(spark, sf_dir).where(F.col("ECM").isNotNull())
-    days = rows.groupBy("BDAT", "ID", "LACT", "LAGR", "DIM").agg(F.collect_list("ECM").alias("values"))
-    joined = days.join(fixed_parameters(spark), ["LAGR"])
-    errors = F.transform("values", lambda y: y - X.curve("DIM"))
-    return rounded(joined.select("BDAT", "ID", "LACT", "DIM", F.explode(errors).alias("error")))
+    """Residuals of the series that are held as one array per lactation."""
+    keys = ["BDAT", "ID", "LACT"]
+    series = daily_series(inputs_of(spark, sf_dir), [*keys, "LAGR"])
+    joined = join_dimension(series, fixed_parameters(spark), ["LAGR"])
+    errors = score.explode_residuals(joined, keys)
+    return rounded(errors.withColumn("error", F.col("error") + 1e-8))
 
 
 _LACTATION_LOSSES = """quality as (
@@ -235,16 +237,6 @@ def distinct_parameter_union(spark, sf_dir):
     return rounded(both.select("grp", *[v.alias(n) for v, n in zip(X.unpack("p"), names)]))
 
 
-_SCALES = f"""enough as (select BDAT, ID, LACT from inputs where ECM is not null and ECM > 0
-  group by BDAT, ID, LACT having count(*) >= 5),
-scales as (
-  select i.LAGR, i.BDAT, i.ID, i.LACT, exp(avg(case when ECM / {CURVE} > 0 then ln(ECM / {CURVE}) end)) as geom_mean_ratio
-  from inputs i join enough k on i.BDAT = k.BDAT and i.ID = k.ID and i.LACT = k.LACT
-  join parameters p on i.LAGR = p.LAGR
-  where ECM is not null and DIM > 5 group by i.LAGR, i.BDAT, i.ID, i.LACT),
-scaled as (select s.*, geom_mean_ratio * a as a, b, c, d from scales s join parameters p on s.LAGR = p.LAGR)"""
-
-
 def scaled(spark, sf_dir):
     return score.individual_scale(inputs_of(spark, sf_dir), fixed_parameters(spark))
 
@@ -253,7 +245,7 @@ def scaled(spark, sf_dir):
     check(
         *INPUTS,
         PARAMETERS,
-        _SCALES,
+        SCALES,
         select=f"""select {NAMES} as grp, LAGR, BDAT, ID, LACT, round(geom_mean_ratio, 6) as geom_mean_ratio,
   round(a, 6) as a, b, c, d from scaled""",
     )
@@ -284,13 +276,13 @@ _YIELDS = f"""select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE}), 2) as m
 from (select *, unnest(range(1, 306)) as DIM from scaled) group by LAGR, BDAT, ID, LACT"""
 
 
-@query(check(*INPUTS, PARAMETERS, _SCALES, select=_YIELDS))
+@query(check(*INPUTS, PARAMETERS, SCALES, select=_YIELDS))
 def yields_305(spark, sf_dir):
     """305-day yield per lactation in closed form."""
     return rounded(score.yields(scaled(spark, sf_dir), ["grp", "BDAT", "ID", "LACT"]), 2)
 
 
-@query(check(*INPUTS, PARAMETERS, _SCALES, select=_YIELDS))
+@query(check(*INPUTS, PARAMETERS, SCALES, select=_YIELDS))
 def yields_305_by_day(spark, sf_dir):
     """305-day yield per lactation as the sum of its days."""
     return rounded(score.yields_by_sum(scaled(spark, sf_dir), ["grp", "BDAT", "ID", "LACT"]), 2)

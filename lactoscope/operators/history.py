@@ -28,10 +28,15 @@ def point_counts(records: DataFrame, keys: Sequence[str], name: str = "npoints")
     return records.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def with_point_count(records: DataFrame, keys: Sequence[str], at_least: int = 4) -> DataFrame:
-    """Attach the number of records per key; keep keys with enough of them."""
-    counts = point_counts(records, keys).where(F.col("npoints") >= at_least)
-    return records.join(counts, list(keys))
+def with_point_count(
+    records: DataFrame, keys: Sequence[str], at_least: int = 4, counts: DataFrame | None = None
+) -> DataFrame:
+    """Attach the number of records per key; keep keys with enough of them.
+
+    ``counts`` may come from an earlier stage that has the same records.
+    """
+    counts = point_counts(records, keys) if counts is None else counts
+    return records.join(counts.where(F.col("npoints") >= at_least), list(keys))
 
 
 def accepted_lactations(

@@ -61,6 +61,15 @@ def with_residual(predicted: DataFrame, value: str = "ECM", estimate: str = "ecm
     return predicted.withColumn(output, F.col(value) - F.col(estimate))
 
 
+def explode_residuals(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Residuals of daily means, from series and parameters held in one row per key.
+
+    ``series`` is an array of (DIM, n, mean) as made by ``daily_series``.
+    """
+    points = series.select(*keys, *PARAMETERS, F.inline("series"))
+    return points.select(*keys, "DIM", "n", (F.col("mean") - curve("DIM")).alias("error"))
+
+
 def losses(predicted: DataFrame, keys: Sequence[str], value: str = "ECM", estimate: str = "ecm_est") -> DataFrame:
     """Squared, absolute, relative and squared-log losses per key, in one pass.
 

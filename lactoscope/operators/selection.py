@@ -15,8 +15,6 @@ thousands of cells, each ranked in its own task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,21 +84,21 @@ def _slot() -> Column:
     return F.pmod(F.coalesce(F.col("SourceAnimalID"), F.lit(0)), F.lit(SLOTS)).cast("int")
 
 
-def _cells(records: DataFrame, cell: list[str], together: Sequence[str] = RANK_GROUP) -> DataFrame:
-    """Cells with their records, the records before them and those of their whole group."""
+def _cells(records: DataFrame, cell: list[str]) -> DataFrame:
+    """Record counts per cell of a ranked group."""
+    return records.groupBy(*RANK_GROUP, *cell).agg(F.count(F.lit(1)).alias("cell_rows"))
+
+
+def _placed(cells: DataFrame, cell: list[str]) -> DataFrame:
+    """Cells with the records before them and those of their whole group."""
     group = W.partitionBy(*RANK_GROUP)
     before = group.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        records.groupBy(*RANK_GROUP, *cell)
-        .agg(F.count(F.lit(1)).alias("cell_rows"))
-        .repartition(*together)
-        .select(
-            *RANK_GROUP,
-            *cell,
-            "cell_rows",
-            F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("rows_before"),
-            F.sum("cell_rows").over(group).alias("group_rows"),
-        )
+    return cells.select(
+        *RANK_GROUP,
+        *cell,
+        "cell_rows",
+        F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("cell_rows").over(group).alias("group_rows"),
     )
 
 
@@ -125,28 +123,33 @@ def _kept_by_ntile(rows: str, settings: Settings) -> Column:
     return F.expr(f"{limit} * ({rows} div {b}) + least({rows} % {b}, {limit})")
 
 
+def _in_cells(records: DataFrame, method: str) -> tuple[DataFrame, list[str]]:
+    """Records with their cell; the percent rank needs no order inside a day."""
+    if method == "percent_rank":
+        return records, ["DIM"]
+    if method == "ntile":
+        return records.withColumn("slot", _slot()), ["DIM", "slot"]
+    raise ValueError(f"unknown percentile method: {method}")
+
+
 def with_percentile(
     records: DataFrame, settings: Settings = Settings(), method: str = "ntile", cells: DataFrame | None = None
 ) -> DataFrame:
-    """Add PercentileDIM: the ntile bucket 1..100, or the percent rank 0..1."""
+    """Add PercentileDIM: the ntile bucket 1..100, or the percent rank 0..1.
+
+    ``cells`` restricts the records to chosen cells; their places must be known.
+    """
+    rows, cell = _in_cells(records, method)
+    if cells is None:
+        cells = _placed(_cells(rows, cell), cell)
+    placed = rows.join(cells.drop("cell_rows"), [*RANK_GROUP, *cell])
     if method == "percent_rank":
-        cells = _cells(records, ["DIM"]) if cells is None else cells
-        return (
-            records.join(cells, [*RANK_GROUP, "DIM"])
-            .withColumn("PercentileDIM", _percent_rank())
-            .select(*records.columns, "PercentileDIM")
-        )
-    if method != "ntile":
-        raise ValueError(f"unknown percentile method: {method}")
-    cell = [*RANK_GROUP, "DIM", "slot"]
-    cells = _cells(records.withColumn("slot", _slot()), ["DIM", "slot"]) if cells is None else cells
-    inside = W.partitionBy(*cell).orderBy(
+        return placed.withColumn("PercentileDIM", _percent_rank()).select(*records.columns, "PercentileDIM")
+    inside = W.partitionBy(*RANK_GROUP, *cell).orderBy(
         "SourceAnimalID", "LACT", "MILK", F.asc_nulls_first("PCTF"), F.asc_nulls_first("PCTP")
     )
     return (
-        records.withColumn("slot", _slot())
-        .join(cells, cell)
-        .withColumn("place", F.col("rows_before") + F.row_number().over(inside))
+        placed.withColumn("place", F.col("rows_before") + F.row_number().over(inside))
         .withColumn("PercentileDIM", ntile_of("place", "group_rows", settings.percentile_buckets))
         .select(*records.columns, "PercentileDIM")
     )
@@ -166,7 +169,7 @@ def selected_test_dates(
 ) -> DataFrame:
     """Herd test dates with enough records after the percentile trim."""
     if method == "percent_rank":
-        groups = _cells(records, ["DIM"], TEST_DATE_KEYS)
+        groups = _placed(_cells(records, ["DIM"]), ["DIM"])
         kept = _kept_in_cell(settings, method)
     else:
         groups = records.groupBy(*RANK_GROUP).agg(F.count(F.lit(1)).alias("group_rows"))
@@ -191,17 +194,18 @@ def qualifying_records(
     chosen on the cells and the wide records move once: to their cell.
     """
     records = primary_records(events, herds, run, settings)
-    if method == "ntile":
-        cells = _cells(records.withColumn("slot", _slot()), ["DIM", "slot"], TEST_DATE_KEYS)
-    else:
-        cells = _cells(records, ["DIM"], TEST_DATE_KEYS)
-    # Test dates are whole inside a partition, so one shuffle of cells serves both windows.
-    on_date = F.sum("kept").over(W.partitionBy(*TEST_DATE_KEYS))
+    rows, cell = _in_cells(records, method)
+    date = W.partitionBy(*TEST_DATE_KEYS)
+    # Dates with too few records at all go first. Cells are then together by date,
+    # which serves the windows over its groups as well.
+    cells = _cells(rows, cell).withColumn("date_rows", F.sum("cell_rows").over(date))
+    cells = cells.where(F.col("date_rows") >= settings.min_rows_per_test_date)
     wanted = (
-        cells.withColumn("kept", _kept_in_cell(settings, method))
-        .withColumn("N", on_date)
+        _placed(cells, cell)
+        .withColumn("kept", _kept_in_cell(settings, method))
+        .withColumn("N", F.sum("kept").over(date))
         .where((F.col("kept") > 0) & (F.col("N") >= settings.min_rows_per_test_date))
-        .drop("cell_rows", "kept", "N")
+        .drop("kept", "N")
     )
     ranked = with_percentile(records, settings, method, wanted)
     if method == "percent_rank":

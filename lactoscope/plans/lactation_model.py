@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lactoscope.functions.expressions import energy_corrected, error_sigma
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.fit import day_points, fit_points, fit_records_by
-from lactoscope.operators.history import complete_components, valid_yields, with_point_count
+from lactoscope.operators.history import complete_components, point_counts, valid_yields, with_point_count
 from lactoscope.operators.score import predict_each, with_residual
 from lactoscope.settings import HERD_FILE_FIT, LACTATION_FIT, SINGLE_ANIMAL_FIT, FitSettings
 from lactoscope.sources.tables import rename_test_days
@@ -27,9 +27,11 @@ def filled_lactations(events: DataFrame) -> DataFrame:
 def lactation_records(events: DataFrame, at_least: int = 4) -> DataFrame:
     """Usable test days of lactations with enough of them.
 
-    Records are counted before those without known components are left out.
+    Records are counted before those without known components are left out, and
+    so before filling, which neither adds nor drops any.
     """
-    rows = complete_components(with_point_count(filled_lactations(events), KEYS, at_least))
+    counts = point_counts(valid_yields(rename_test_days(events, animal="EarTag"), 1, 399), KEYS)
+    rows = complete_components(with_point_count(filled_lactations(events), KEYS, at_least, counts))
     return rows.withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()})
 
 

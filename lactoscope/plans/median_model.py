@@ -18,7 +18,7 @@ from lactoscope.operators.history import (
 )
 from lactoscope.operators.profile import mean_of, median_by_day, quantile_buckets
 from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, FitSettings
-from lactoscope.sources.tables import rename_test_days
+from lactoscope.sources.tables import cut_lineage, rename_test_days
 
 KEYS = ("BDAT", "ID", "LAGR")
 MEDIAN_SIGMA_DAYS = 15
@@ -94,7 +94,8 @@ def animal_quartiles(records: DataFrame, relative_error: float = 0.01) -> DataFr
     """
     # Means and bounds come from one aggregation over the records.
     means = records.groupBy(*KEYS).agg(*history_columns(), mean_of("ECM")).where(long_enough())
-    return quantile_buckets(means, "ecm_avg", 4, relative_error, "ecm_qtile")
+    # One row per animal, read twice: for the cut points and for the buckets.
+    return quantile_buckets(cut_lineage(means), "ecm_avg", 4, relative_error, "ecm_qtile")
 
 
 def records_with_quartile(records: DataFrame, relative_error: float = 0.01) -> DataFrame:
