@@ -13,7 +13,7 @@ import numpy as np
 FITTED, FAILED, NO_COVARIANCE, TOO_FEW = 0, 1, 2, 3
 
 _TOLERANCE = 1e-11
-_STALL = (50, 1e-8)  # turns without a gain of this share end a fit on flat ground
+_STALL = (20, 2e-7)  # turns without a gain of this share end a fit on flat ground
 _DAMPING = (1e-3, 1e-12, 1e14)
 
 
@@ -74,7 +74,9 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
             gradient = np.einsum("gim,gm->gi", jw, yk - curve_values(pk, tk))
             normal = jw @ jac.transpose(0, 2, 1)
             held = ((pk <= lo) & (gradient < 0)) | ((pk >= hi) & (gradient > 0))
-            step = _step(normal, gradient, held, damping[todo])
+            # A quarter of the range at most, or a flat direction leaps between its bounds.
+            reach = (hi - lo) / 4.0
+            step = np.clip(_step(normal, gradient, held, damping[todo]), -reach, reach)
             trial = np.clip(pk + step, lo, hi)
             new_loss, _ = _loss(trial, tk, yk, wk)
             old_loss = loss[todo]
@@ -89,9 +91,7 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
             factor = np.where(trust > 0.75, 0.2, np.where(trust > 0.25, 0.7, 3.0))
             p[todo[better]] = trial[better]
             loss[todo[better]] = new_loss[better]
-            damping[todo] = np.clip(
-                damping[todo] * np.where(better, factor, 4.0), _DAMPING[1], None
-            )
+            damping[todo] = np.maximum(damping[todo] * np.where(better, factor, 4.0), _DAMPING[1])
             iterations[todo] += 1
             quiet[todo] = np.where(small, quiet[todo] + 1, np.where(better, 0, quiet[todo]))
             done = (quiet[todo] >= 3) | (damping[todo] > _DAMPING[2]) | (loss[todo] == 0) | held.all(axis=1)
