@@ -279,7 +279,8 @@ def fitted_lactations(spark, sf_dir):
 def fit_lactations(spark, sf_dir):
     """Curve and fit statistics per lactation."""
     fits = lactation_model.fit_lactations(mapped_test_days(spark, sf_dir)).drop("covariance")
-    return fits.withColumn("no_convergence", no_convergence()).withColumn("level_too_low", level_too_low())
+    fits = fit.with_fallback(fits.withColumn("no_convergence", no_convergence()))
+    return fits.withColumn("level_too_low", level_too_low())
 
 
 @query()

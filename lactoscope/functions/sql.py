@@ -36,7 +36,7 @@ for _module in (solver, sys.modules[__name__]):
 
 
 def register_functions(spark: SparkSession, settings: FitSettings = GROUP_FIT) -> None:
-    """Make energy_corrected, error_sigma, group_name, curve_yield and fit_curve known."""
+    """Make the formulas known: energy_corrected, error_sigma, group_name, curve_yield, yield_to_day, fit_curve."""
     names = ", ".join(f"'{name}'" for name in GROUP_NAMES)
     bodies = {
         "energy_corrected(milk double, fat double, protein double) returns double": (
@@ -49,6 +49,14 @@ def register_functions(spark: SparkSession, settings: FitSettings = GROUP_FIT) -
         "curve_yield(dim int, p array<double>) returns double": (
             "get(p, 0) * (1d - exp(try_divide(get(p, 2) - dim, get(p, 1))) / 2d) * exp(-get(p, 3) * dim)"
         ),
+        # Geometric series, as in the column form: no row per day.
+        "decay_sum(rate double, days int) returns double": (
+            "case when rate = 0d then double(days) else try_divide(-expm1(-rate * days), expm1(rate)) end"
+        ),
+        "yield_to_day(days int, p array<double>) returns double": (
+            "get(p, 0) * (decay_sum(get(p, 3), days) - exp(try_divide(get(p, 2), get(p, 1))) / 2d"
+            " * decay_sum(get(p, 3) + try_divide(1d, get(p, 1)), days))"
+        ),
     }
     for signature, body in bodies.items():
         spark.sql(f"create or replace temporary function {signature} return {body}")

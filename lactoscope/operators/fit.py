@@ -296,6 +296,14 @@ def fit_herd_and_groups(
     return fit_points(points, [*by, group], settings)
 
 
+def with_fallback(fits: DataFrame, values: Sequence[float] = (0.0, 10.0, 0.0, 0.0)) -> DataFrame:
+    """Give failed fits fixed parameters, for users who read failure from the level."""
+    failed = F.col("status") == solver.FAILED
+    return fits.withColumns(
+        {p: F.when(failed, F.lit(float(v))).otherwise(F.col(p)) for p, v in zip(("a", "b", "c", "d"), values)}
+    )
+
+
 def correlations(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correlation matrix of the parameters in long form: key, i, j, correlation."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)])

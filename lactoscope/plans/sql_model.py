@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lactoscope.functions.sql import register_functions
 from lactoscope.settings import GROUP_FIT, FitSettings
-from lactoscope.sources.tables import day_grid, name_relation
+from lactoscope.sources.tables import cut_lineage, day_grid, name_relation
 
 FIT_ROWS_SQL = """
 select i.*, error_sigma(DIM) as SIGMA
@@ -39,7 +39,8 @@ from levels group by LAGR
 
 CURVES_SQL = """
 select grp, DIM, curve_yield(DIM, parameters) as ecm_est
-from (select grp, parameters, explode(sequence(0, 345, 5)) as DIM from curve_parameters)
+from (select grp, parameters, explode(sequence(0, 349)) as DIM from curve_parameters)
+where DIM % 5 = 0
 """
 
 LACTATIONS_SQL = """
@@ -63,17 +64,17 @@ from scales s join curve_parameters p on s.grp = p.grp
 """
 
 YIELDS_SQL = """
-select grp, BDAT, ID, LACT,
-       aggregate(sequence(1, 305), 0d, (total, day) -> total
-         + get(scaled_parameters, 0)
-         * (1d - exp(try_divide(get(scaled_parameters, 2) - day, get(scaled_parameters, 1))) / 2d)
-         * exp(-get(scaled_parameters, 3) * day)) as m305
-from lactation_scales
+select grp, BDAT, ID, LACT, yield_to_day(305, scaled_parameters) as m305 from lactation_scales
 """
 
+STORED = ("curve_parameters", "lactation_scales")
+
 
 def sql_group_model(spark: SparkSession, inputs: DataFrame, settings: FitSettings = GROUP_FIT) -> dict[str, DataFrame]:
-    """Run the text step by step; each result is also a named relation."""
+    """Run the text step by step; each result is also a named relation.
+
+    The fitted curves and the scales are stored, since later steps read them again.
+    """
     register_functions(spark, settings)
     name_relation(day_grid(spark), "day_grid")
     name_relation(inputs, "test_day_inputs")
@@ -85,5 +86,6 @@ def sql_group_model(spark: SparkSession, inputs: DataFrame, settings: FitSetting
         ("lactation_scales", LACTATIONS_SQL),
         ("yields", YIELDS_SQL),
     ):
-        results[name] = name_relation(spark.sql(text), name)
+        result = spark.sql(text)
+        results[name] = name_relation(cut_lineage(result) if name in STORED else result, name)
     return results

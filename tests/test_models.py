@@ -1,14 +1,18 @@
 import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lactoscope import RunParameters
-from lactoscope.functions.expressions import energy_corrected
+from catalog.base import ECM, FORWARD_FIRST, RAW, TO_FILL_1_399
+from catalog.fits import fitted
+from lactoscope import LACTATION_FIT, RunParameters
+from lactoscope.functions.expressions import energy_corrected, error_sigma
 from lactoscope.functions.sql import register_functions
-from lactoscope.operators import history, profile, score, search, trend
+from lactoscope.operators import fit, history, profile, score, search, trend
+from lactoscope.operators.dimension import join_dimension, salt_of
 from lactoscope.plans import group_model, lactation_model, median_model, sql_model
 from lactoscope.sources import tables
 from lactoscope.sources.sample_mapping import mapped_herds, mapped_test_days
@@ -67,6 +71,77 @@ def test_herds_fitted_in_one_job_as_one_by_one(sample):
         assert yields[herd] == pytest.approx((one.s, one.n), rel=1e-4)
 
 
+def test_accepted_points_agree_with_the_join(model):
+    """The single-pass form against accepting lactations first and joining them."""
+    inputs = model.inputs
+    direct = fit.accepted_points(inputs.withColumn("SIGMA", error_sigma()), "LAGR")
+    joined = fit.day_points(history.fit_records(inputs).withColumn("SIGMA", error_sigma()), ["LAGR"])
+    order = ["LAGR", "t", "sigma"]
+    left, right = (f.orderBy(*order).toPandas() for f in (direct, joined))
+    assert list(left.n) == list(right.n) == list(left.records)
+    for column in ("mean", "spread", "peak"):
+        assert list(left[column]) == pytest.approx(list(right[column]), rel=1e-9, abs=1e-7)
+
+
+@pytest.mark.parametrize("salted", [True, False])
+def test_dimension_too_large_to_broadcast(spark, salted):
+    records = spark.range(1000).select((F.col("id") % 3).alias("key"), F.col("id").alias("v"))
+    dimension = spark.range(3).select(F.col("id").alias("key"), (F.col("id") * 10).alias("name"))
+    salt = salt_of(["v"], 8) if salted else None
+    large = join_dimension(records, dimension, ["key"], salt, 8, limit=2)
+    small = join_dimension(records, dimension, ["key"])
+    assert sorted(large.collect()) == sorted(small.collect())
+    assert ("_salt" in large._jdf.queryExecution().optimizedPlan().toString()) == salted
+    assert "ResolvedHint (strategy=broadcast)" not in large._jdf.queryExecution().analyzed().toString()
+
+
+def test_one_lactation_with_most_records(spark):
+    """A sentinel birth date that merges many animals is one key with most rows."""
+    rows = spark.range(200000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise((F.col("id") % 5000).cast("string")).alias("ID"),
+        (F.col("id") * 7919 % 300 + 5).cast("int").alias("DIM"),
+        F.lit("1900-01-01").cast("date").alias("BDAT"),
+        F.lit(1).alias("LACT"),
+    )
+    rows = rows.withColumn("ECM", F.round(60 - F.col("DIM") * 0.05 + F.col("DIM") % 7, 1)).withColumn("SIGMA", error_sigma())
+    points = fit.day_points(rows, ["BDAT", "ID", "LACT"])
+    sizes = points.groupBy("ID").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+    hot = sizes.where("ID = 'x'").first()
+    assert hot.n > 60000 and hot.days <= 300
+    fits = {r.ID: r for r in fit.fit_points(points, ["BDAT", "ID", "LACT"]).where("ID in ('x', '7')").collect()}
+    assert fits["x"].npoints == hot.n and fits["x"].status == 0 and fits["7"].npoints > 0
+
+
+def test_failed_fits_can_get_fixed_parameters(spark):
+    frame = spark.createDataFrame(
+        [(1, None, None, None, None), (3, None, None, None, None), (0, 80.0, 20.0, -1.0, 0.001)],
+        "status int, a double, b double, c double, d double",
+    )
+    found = {r.status: tuple(r)[1:] for r in fit.with_fallback(frame).collect()}
+    assert found == {1: (0.0, 10.0, 0.0, 0.0), 3: (None,) * 4, 0: (80.0, 20.0, -1.0, 0.001)}
+
+
+def test_lactation_fits_against_pattern_search(sample):
+    """Losses agree with an independent search, but for lactations with several minima."""
+    connection = duckdb.connect()
+    for table in ("lineitem", "orders", "customer"):
+        connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    rows = f"""rows as (select BDAT, ID, LACT, DIM, {ECM} as y, case when DIM > 30 then 1e0 else 1.5e0 end as sigma from filled),
+    keyed as (select BDAT, ID, LACT, row_number() over (order by BDAT, ID, LACT) as g from rows
+              group by BDAT, ID, LACT having count(*) >= 5 and count(y) > 0)"""
+    points = """select g, DIM as t, 1 / (sigma * sigma) as w, y from rows r join keyed k
+      on r.BDAT = k.BDAT and r.ID = k.ID and r.LACT = k.LACT where y is not null"""
+    text = fitted(
+        [*RAW, TO_FILL_1_399, FORWARD_FIRST, rows], points, LACTATION_FIT,
+        "select k.BDAT, k.ID, k.LACT, loss from fitted f join keyed k on f.g = k.g", steps=300,
+    )
+    expected = {tuple(r[:3]): r[3] for r in connection.execute(text).fetchall()}
+    found = {(r.BDAT, r.EarTag, r.LACT): r.weighted_sse for r in lactation_model.fit_lactations(sample[0]).collect()}
+    assert set(found) == set(expected)
+    near = sum(v is not None and abs(v - expected[k]) <= 1e-4 * max(expected[k], 1) for k, v in found.items())
+    assert near >= 0.95 * len(found)
+
+
 def test_lactation_fits(sample):
     fits = lactation_model.fit_lactations(sample[0]).cache()
     status = {r.status: r["count"] for r in fits.groupBy("status").count().collect()}
@@ -197,8 +272,10 @@ def test_sql_functions(spark):
     register_functions(spark)
     r = spark.sql(
         """select energy_corrected(40, 4, 3) as e, error_sigma(30) as s, error_sigma(31) as t, error_sigma(null) as u,
-           group_name(2) as g, group_name(9) as h, curve_yield(50, array(80d, 20d, -2d, 0.001d)) as y"""
+           group_name(2) as g, group_name(9) as h, curve_yield(50, array(80d, 20d, -2d, 0.001d)) as y,
+           yield_to_day(305, array(80d, 20d, -2d, 0d)) as z"""
     ).first()
+    assert r.z == pytest.approx(sum(80 * (1 - math.exp((-2 - t) / 20) / 2) for t in range(1, 306)))
     assert r.e == pytest.approx(40 * (0.383 * 4 + 0.242 * 3 + 0.7832) / 3.1138)
     assert (r.s, r.t, r.u, r.g, r.h) == (1.5, 1.0, None, "LAGR_2", None)
     assert r.y == pytest.approx(80 * (1 - math.exp(-52 / 20) / 2) * math.exp(-0.05))
