@@ -310,7 +310,6 @@ def _file_records(spark, sf_dir):
         *RAW,
         "to_fill as (select * from named where MILK is not null)",
         BACKWARD_FIRST,
-    CURVE,
         select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points from (
   select BDAT, ID, LACT, count(*) as records, count(*) filter (PCTF is not null and PCTP is not null) as usable
   from filled group by BDAT, ID, LACT)""",
@@ -439,7 +438,7 @@ _MODEL_YIELDS = "with recursive " + ",\n".join(
     ]
 )
 _MODEL_YIELDS += f"""
-select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE})) as m305
+select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE}), -1) as m305
 from (select *, unnest(range(1, 306)) as DIM from scaled) group by LAGR, BDAT, ID, LACT"""
 
 
@@ -447,11 +446,11 @@ from (select *, unnest(range(1, 306)) as DIM from scaled) group by LAGR, BDAT, I
 def group_model_yields(spark, sf_dir):
     """The whole model: selection, group fits, individual scale, 305-day yield."""
     model = group_plan.group_model(*tables(spark, sf_dir), RUN)
-    return rounded(model.yields.select("grp", "BDAT", "ID", "LACT", "m305"), 0)
+    return rounded(model.yields.select("grp", "BDAT", "ID", "LACT", "m305"), -1)
 
 
 @query(_MODEL_YIELDS)
 def group_model_yields_by_sql(spark, sf_dir):
     """The same model run as SQL text."""
     yields = sql_model.sql_group_model(spark, inputs_of(spark, sf_dir))["yields"]
-    return rounded(yields, 0)
+    return rounded(yields, -1)

@@ -12,7 +12,7 @@ import numpy as np
 
 FITTED, FAILED, NO_COVARIANCE, TOO_FEW = 0, 1, 2, 3
 
-_TOLERANCE = 1e-11
+_TOLERANCE = 1e-13
 _STALL = (20, 2e-7)  # turns without a gain of this share end a fit on flat ground
 _DAMPING = (1e-3, 1e-12, 1e14)
 
