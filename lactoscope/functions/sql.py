@@ -71,21 +71,19 @@ def register_functions(spark: SparkSession, settings: FitSettings = GROUP_FIT) -
 
 
 def _fit_lists(t: pd.Series, y: pd.Series, sigma: pd.Series, settings: SimpleNamespace) -> pd.Series:
-    results = []
-    for days, values, errors in zip(t, y, sigma):
-        order = np.argsort(np.asarray(days, dtype=float), kind="stable")
-        rows = [np.asarray(v, dtype=float)[order][None, :] for v in (days, values, errors)]
-        if rows[0].size == 0:
-            results.append(None)
-            continue
-        p, _, _, converged, _ = solver.fit_batch(
-            rows[0],
-            rows[1],
-            1.0 / rows[2] ** 2,
-            np.asarray(settings.start)[None, :],
-            np.asarray(settings.lower),
-            np.asarray(settings.upper),
-            settings.max_iterations,
-        )
-        results.append(p[0].tolist() if converged[0] else None)
+    results = np.full(len(t), None, dtype=object)
+    lengths = np.array([len(days) for days in t])
+    for rows in solver.chunks(lengths):
+        width = max(1, lengths[rows].max())
+        days, values, errors = (np.zeros((len(rows), width)) for _ in range(3))
+        for i, row in enumerate(rows):
+            order = np.argsort(np.asarray(t.iloc[row], dtype=float), kind="stable")
+            for matrix, lists in ((days, t), (values, y), (errors, sigma)):
+                matrix[i, : len(order)] = np.asarray(lists.iloc[row], dtype=float)[order]
+        weights = np.where(errors > 0, 1.0 / np.where(errors > 0, errors, 1.0) ** 2, 0.0)
+        start = np.tile(np.asarray(settings.start), (len(rows), 1))
+        bounds = np.asarray(settings.lower), np.asarray(settings.upper)
+        p, _, _, converged, _ = solver.fit_batch(days, values, weights, start, *bounds, settings.max_iterations)
+        for i in np.flatnonzero(converged & (lengths[rows] > 0)):
+            results[rows[i]] = p[i].tolist()
     return pd.Series(results, dtype=object)

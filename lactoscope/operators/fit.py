@@ -30,7 +30,6 @@ for _module in (solver, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 _POINT = ("t", "sigma", "records", "n", "mean", "spread", "peak")
-_CELLS_PER_CHUNK = 1 << 19
 
 FIT_FIELDS = [
     T.StructField("a", T.DoubleType()),
@@ -197,14 +196,7 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
     status = np.full(groups, solver.TOO_FEW, dtype=np.int32)
     spread_matrix = np.full((groups, 4, 4), np.nan)
 
-    # Groups of like length share a chunk, so padding stays small.
-    order, begin = np.argsort(lengths, kind="stable"), 0
-    while begin < groups:
-        end = begin + 1
-        while end < groups and (end + 1 - begin) * lengths[order[end]] <= _CELLS_PER_CHUNK:
-            end += 1
-        rows = order[begin:end]
-        begin = end
+    for rows in solver.chunks(lengths):
         width = max(1, int(lengths[rows].max()))
         inside = np.arange(width)[None, :] < lengths[rows][:, None]
         source = (offsets[rows][:, None] + np.arange(width)[None, :])[inside]

@@ -13,10 +13,21 @@ import numpy as np
 FITTED, FAILED, NO_COVARIANCE, TOO_FEW = 0, 1, 2, 3
 
 _TOLERANCE = 1e-13
-_STALL = (20, 2e-7)  # turns without a gain of this share end a fit on flat ground
+_LAST = (100, 1e-5)  # a gain below this share over the last turns counts as converged
 _DAMPING = (1e-3, 1e-12, 1e14)
 
 
+def chunks(lengths: np.ndarray, cells: int = 1 << 19):
+    """Row numbers in groups of like length, so that padding and memory stay small."""
+    order, begin = np.argsort(lengths, kind="stable"), 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and (end + 1 - begin) * lengths[order[end]] <= cells:
+            end += 1
+        yield order[begin:end]
+        begin = end
+
+
 def curve_values(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     a, b, c, d = (p[:, i, None] for i in range(4))
     return a * (1.0 - np.exp((c - t) / b) / 2.0) * np.exp(-d * t)
@@ -95,11 +106,12 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
             iterations[todo] += 1
             quiet[todo] = np.where(small, quiet[todo] + 1, np.where(better, 0, quiet[todo]))
             done = (quiet[todo] >= 3) | (damping[todo] > _DAMPING[2]) | (loss[todo] == 0) | held.all(axis=1)
-            if turn % _STALL[0] == 0:
-                done |= earlier[todo] - loss[todo] <= _STALL[1] * loss[todo]
-                earlier[todo] = loss[todo]
             converged[todo[done]] = True
             todo = todo[~done]
+            if turn == max_iterations - _LAST[0]:
+                earlier[todo] = loss[todo]
+        # Flat ground: what the last turns gained no longer matters.
+        converged[todo] = earlier[todo] - loss[todo] <= _LAST[1] * loss[todo]
         jac = _derivatives(p, t) * np.sqrt(w)[:, None, :]
     return p, loss, iterations, converged, jac.transpose(0, 2, 1)
 

@@ -281,6 +281,27 @@ def test_sql_functions(spark):
     assert r.y == pytest.approx(80 * (1 - math.exp(-52 / 20) / 2) * math.exp(-0.05))
 
 
+def test_fit_in_sql_of_many_groups(spark):
+    register_functions(spark)
+    lists = """select id, collect_list(double(t)) as t,
+        collect_list((60 + id) * (1 - exp((-1 - t) / 20d) / 2) * exp(-0.001d * t)) as y, collect_list(1d) as s
+        from (select id, explode(sequence(10, 10 + 10 * int(id), 10)) as t from range(5, 25)) group by id
+        union all select -1, array(), array(), array()"""
+    found = {r.id: r.p for r in spark.sql(f"select id, fit_curve(t, y, s) as p from ({lists})").collect()}
+    assert found.pop(-1) is None and len(found) == 20
+    for i, (a, b, c, d) in found.items():
+        t = np.arange(10, 11 + 10 * i, 10)
+        expected = (60 + i) * (1 - np.exp((-1 - t) / 20) / 2) * np.exp(-0.001 * t)
+        assert a * (1 - np.exp((c - t) / b) / 2) * np.exp(-d * t) == pytest.approx(expected, abs=0.02)
+
+
+def test_stored_stages_go_to_the_shared_folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert tables.shared_folder(spark).startswith(base + "/") and tables.shared_folder(spark) != tables.shared_folder(spark)
+    stored = tables.cut_lineage(spark.range(10))
+    assert stored.count() == 10 and stored.inputFiles()[0].removeprefix("file://").startswith(base)
+
+
 def test_count_rules(spark):
     rows = [(1, d, 1.0) for d in (10, 20, 30)] + [(2, d, 1.0) for d in (10, 20, 30, 40)]
     frame = spark.createDataFrame(rows, "ID int, DIM int, ECM double")
