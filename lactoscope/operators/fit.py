@@ -299,19 +299,14 @@ def with_fallback(fits: DataFrame, values: Sequence[float] = (0.0, 10.0, 0.0, 0.
 def correlations(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correlation matrix of the parameters in long form: key, i, j, correlation."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)])
-    cell = lambda i, j: F.get("covariance", i * 4 + j)
-    return (
-        fits.where(F.col("covariance").isNotNull())
-        .select(*keys, "covariance", F.inline(cells))
-        .select(
-            *keys,
-            "i",
-            "j",
-            F.try_divide(cell(F.col("i"), F.col("j")), F.sqrt(cell(F.col("i"), F.col("i")) * cell(F.col("j"), F.col("j")))).alias(
-                "correlation"
-            ),
-        )
-    )
+    i, j = F.col("i"), F.col("j")
+
+    def entry(row: Column, column: Column) -> Column:
+        return F.get("covariance", row * 4 + column)
+
+    correlation = F.try_divide(entry(i, j), F.sqrt(entry(i, i) * entry(j, j)))
+    known = fits.where(F.col("covariance").isNotNull()).select(*keys, "covariance", F.inline(cells))
+    return known.select(*keys, "i", "j", correlation.alias("correlation"))
 
 
 def fit_outcomes(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:

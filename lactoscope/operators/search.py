@@ -79,9 +79,9 @@ def _best(
         )
         level = F.coalesce(F.try_divide(F.col("yg"), F.col("gg")), F.lit(0.0))
         level = F.least(F.greatest(level, F.lit(float(grid.a[0]))), F.lit(float(grid.a[1])))
-        scored = sums.withColumn("a", level).withColumn(
-            "loss", F.greatest(F.col("yy") - 2 * F.col("a") * F.col("yg") + F.col("a") * F.col("a") * F.col("gg"), F.lit(0.0)) / F.col("n")
-        )
+        a = F.col("a")
+        squares = F.col("yy") - 2 * a * F.col("yg") + a * a * F.col("gg")
+        scored = sums.withColumn("a", level).withColumn("loss", F.greatest(squares, F.lit(0.0)) / F.col("n"))
     else:
         cells = _explode_axes(points, _axes(grid, PARAMETERS, around, round_), grid)
         scored = cells.groupBy(*keys, *PARAMETERS).agg(

@@ -49,7 +49,8 @@ def fit_lactations(events: DataFrame, settings: FitSettings = LACTATION_FIT) ->
 def fit_residuals(events: DataFrame, fits: DataFrame) -> DataFrame:
     """One row per record with the residual to its lactation's curve."""
     rows = lactation_records(events).where("npoints > 4").select(*KEYS, "DIM", "ECM")
-    return with_residual(predict_each(rows, fits.where(F.col("a") > 1.0), KEYS)).select(*KEYS, "DIM", "ECM", "ecm_est", "error")
+    predicted = predict_each(rows, fits.where(F.col("a") > 1.0), KEYS)
+    return with_residual(predicted).select(*KEYS, "DIM", "ECM", "ecm_est", "error")
 
 
 def herd_file_fits(records: DataFrame, settings: FitSettings = HERD_FILE_FIT, keys: Sequence[str] = KEYS) -> DataFrame:
