@@ -310,29 +310,25 @@ def _file_records(spark, sf_dir):
         *RAW,
         "to_fill as (select * from named where MILK is not null)",
         BACKWARD_FIRST,
-        select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points from (
+        select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points,
+  count(*) filter (records >= 4 and usable between 1 and 4) as no_freedom from (
   select BDAT, ID, LACT, count(*) as records, count(*) filter (PCTF is not null and PCTP is not null) as usable
   from filled group by BDAT, ID, LACT)""",
     )
 )
 def fit_case_counts(spark, sf_dir):
-    """Lactations of the herd file and how many are too short to fit."""
-    return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir))).select("cases", "too_few_points")
+    """Lactations of the herd file, those too short to fit and those fitted without freedom."""
+    fits = lactation_model.herd_file_fits(_file_records(spark, sf_dir))
+    return fits.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(F.col("status") == 3).alias("too_few_points"),
+        F.count_if((F.col("status") != 3) & (F.col("npoints") <= 4)).alias("no_freedom"),
+    )
 
 
-@query(
-    check(
-        *RAW,
-        "to_fill as (select * from named where MILK is not null)",
-        BACKWARD_FIRST,
-        select="""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points,
-  cast(0 as bigint) as failed, count(*) filter (records >= 4 and usable between 1 and 4) as no_covariance from (
-  select BDAT, ID, LACT, count(*) as records, count(*) filter (PCTF is not null and PCTP is not null) as usable
-  from filled group by BDAT, ID, LACT)""",
-    )
-)
+@query()
 def fit_outcomes(spark, sf_dir):
-    """Outcome counts of the herd file fits. All but the failed ones follow from point counts."""
+    """Outcome counts of the herd file fits: failed and without covariance, too."""
     return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir)))
 
 
