@@ -434,19 +434,24 @@ _MODEL_YIELDS = "with recursive " + ",\n".join(
     ]
 )
 _MODEL_YIELDS += f"""
-select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE}), -1) as m305
+select {NAMES} as grp, BDAT, ID, LACT, round(sum({CURVE}) / 305, 1) as m305_per_day
 from (select *, unnest(range(1, 306)) as DIM from scaled) group by LAGR, BDAT, ID, LACT"""
 
 
+def _per_day(yields):
+    # To one decimal, as yields are reported: two solvers differ in later digits.
+    return yields.select("grp", "BDAT", "ID", "LACT", F.round(F.col("m305") / 305, 1).alias("m305_per_day"))
+
+
 @query(_MODEL_YIELDS)
 def group_model_yields(spark, sf_dir):
-    """The whole model: selection, group fits, individual scale, 305-day yield."""
+    """The whole model: selection, group fits, individual scale, 305-day yield per day."""
     model = group_plan.group_model(*tables(spark, sf_dir), RUN)
-    return rounded(model.yields.select("grp", "BDAT", "ID", "LACT", "m305"), -1)
+    return _per_day(model.yields)
 
 
 @query(_MODEL_YIELDS)
 def group_model_yields_by_sql(spark, sf_dir):
     """The same model run as SQL text."""
     yields = sql_model.sql_group_model(spark, inputs_of(spark, sf_dir))["yields"]
-    return rounded(yields, -1)
+    return _per_day(yields)
