@@ -182,8 +182,9 @@ def counted_features(pages: DataFrame, limit: int = LABELLED_PAGES) -> dict[str,
             columns = [pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["feature", "inside", "outside"])
 
-    sample = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]")).limit(limit)
-    counts = sample.mapInArrow(run, "feature string, inside long, outside long").groupBy("feature")
+    # The first such pages Spark comes by: collect() opens no more partitions than it needs.
+    sample = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]")).limit(limit).collect()
+    counts = pages.sparkSession.createDataFrame(sample, "html string").mapInArrow(run, "feature string, inside long, outside long").groupBy("feature")
     # Features are made of HTML names; rare inventions of a page are not worth a weight.
     found = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(2000)
     return {r.feature: (r.inside, r.outside) for r in found.collect()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lactoscope.llm import chat, html_text, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
+from lactoscope.llm import chat, compact_windows, html_text, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
 from lactoscope.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), shared_folder(spark), tokenizer_file(BYTE_TOKENIZER))
 
 
+@query()
+def op8_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 _WINNOWING_CHECK = r"""
 with doc_words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
