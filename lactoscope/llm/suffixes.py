@@ -5,8 +5,8 @@ gram has the least hash among 16 neighbours. A passage of 50 words has one among
 first 16 words, the same one wherever it occurs, and at least 35 words of the passage
 follow it. Retained suffixes are sorted by the hash of their first 35 words; equal
 neighbours in that order are repeats. Consecutive repeated suffixes of a text form a
-run, whose two ends are extended: the words to the left of the first suffix and to the
-right of the last one are sorted within their suffix class, and the longest prefix
+run, whose two ends are extended: the words to the left of its first suffixes and to the
+right of its last ones are sorted within their suffix class, and the longest prefix
 shared with a neighbour in that order is the longest shared with anyone.
 
 Both sorts are range partitioned on keys that end in the row, so the suffixes of a
@@ -119,8 +119,8 @@ def with_neighbours(rows: DataFrame, order: Sequence[str], shared: Callable[[pa.
     return inner.unionByName(spark.createDataFrame(mended, inner.schema)).where("before > 0 or after > 0")
 
 
-def _same_key(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """2 for suffixes of two texts with one key, 1 for those of one text."""
+def same_key(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """2 for rows of two texts with one key, 1 for those of one text."""
     same = a.column("key").to_numpy() == b.column("key").to_numpy()
     return np.where(same, 1 + (a.column("row").to_numpy() != b.column("row").to_numpy()), 0)
 
@@ -134,10 +134,14 @@ def _same_words(a: pa.Table, b: pa.Table) -> np.ndarray:
     return np.where(same, 1 + equal.argmin(axis=1), 0)
 
 
-def _runs(candidates: DataFrame) -> DataFrame:
-    """``row, first_pos, first_key, last_pos, last_key``: runs of consecutive repeated suffixes.
+def _runs(candidates: DataFrame, window: int) -> DataFrame:
+    """``row, run, side, pos, key``: near each end of each run, its repeated suffixes.
 
-    A run counts if one of its suffixes is known from another text.
+    A run is a series of consecutive repeated suffixes, numbered by its first place; it
+    counts if one of them is known from another text. Side 0 has those less than a
+    window behind its first one, side 1 those less than a window before its last one. A
+    text that shares the passage's first word need not retain the run's first suffix,
+    but it retains one of these.
     """
     whole = candidates.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "key", "near"))).alias("found"))
 
@@ -150,14 +154,15 @@ def _runs(candidates: DataFrame) -> DataFrame:
             row = np.repeat(batch.column("row").to_numpy(), np.diff(lists.offsets.to_numpy()))
             at, pos, key, near = (inner.field(i).to_numpy() for i in range(4))
             breaks = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)) + 1
-            first, last = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(at)]]) - 1
-            across = np.maximum.reduceat(near, first) > 1
-            first, last = first[across], last[across]
-            columns = [row[first], pos[first], key[first], pos[last], key[last]]
-            names = ["row", "first_pos", "first_key", "last_pos", "last_key"]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            first, size = np.concatenate([[0], breaks]), np.diff(np.concatenate([[0], breaks, [len(at)]]))
+            low, high = np.repeat(pos[first], size), np.repeat(pos[first + size - 1], size)
+            across = np.repeat(np.maximum.reduceat(near, first) > 1, size)
+            for side, wanted in enumerate((pos < low + window, pos > high - window)):
+                i = np.flatnonzero(wanted & across)
+                columns = [row[i], low[i], np.full(len(i), side, dtype=np.int32), pos[i], key[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "run", "side", "pos", "key"])
 
-    return whole.mapInArrow(run, "row long, first_pos int, first_key long, last_pos int, last_key long")
+    return whole.mapInArrow(run, "row long, run int, side int, pos int, key long")
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, window: int, head: int) -> DataFrame:
@@ -188,29 +193,16 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int, head: int) -> Dat
 def _spans(rows: DataFrame, min_words: int, window: int, gram: int, later_only: bool) -> DataFrame:
     head = min_words - window + 1
     kept = stored(suffixes(rows, window, gram, head))
-    found = stored(with_neighbours(kept, ("key", "row", "pos"), _same_key).withColumn("near", F.greatest("before", "after")))
-    runs = stored(_runs(found.where("before > 0") if later_only else found))
-    ends = (
-        runs.select(F.col("first_key").alias("key"), F.lit(0).alias("side"))
-        .unionByName(runs.select(F.col("last_key").alias("key"), F.lit(1).alias("side")))
-        .distinct()
-    )
-    wanted = found.select("row", "pos", "key").join(ends, "key")
+    found = stored(with_neighbours(kept, ("key", "row", "pos"), same_key).withColumn("near", F.greatest("before", "after")))
+    runs = stored(_runs(found.where("before > 0") if later_only else found, window))
+    wanted = found.select("row", "pos", "key").join(runs.select("key", "side").distinct(), "key")
     contexts = stored(_contexts(rows, wanted, window, head), batch_rows=500)
     extents = with_neighbours(contexts, ("key", "side", "context", "row", "pos"), _same_words)
     extents = stored(extents.select("row", "pos", "side", (F.greatest("before", "after") - 1).alias("more")))
-    left = extents.where("side = 0").select("row", F.col("pos").alias("first_pos"), F.col("more").alias("left_more"))
-    right = extents.where("side = 1").select("row", F.col("pos").alias("last_pos"), F.col("more").alias("right_more"))
-    return (
-        runs.join(left, ["row", "first_pos"])
-        .join(right, ["row", "last_pos"])
-        .select(
-            F.col("row").alias("row_number_"),
-            (F.col("first_pos") - F.col("left_more")).alias("start"),
-            (F.col("last_pos") + head + F.col("right_more")).alias("end"),
-        )
-        .where(F.col("end") - F.col("start") >= min_words)
-    )
+    start = F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("more"))).alias("start")
+    end = F.max(F.when(F.col("side") == 1, F.col("pos") + head + F.col("more"))).alias("end")
+    spans = runs.join(extents, ["row", "pos", "side"]).groupBy("row", "run").agg(start, end)
+    return spans.select(F.col("row").alias("row_number_"), "start", "end").where(F.col("end") - F.col("start") >= min_words)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
