@@ -47,12 +47,14 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES")
     names = wanted.split(",") if wanted else HEADLINES
+    folder = tempfile.mkdtemp(prefix="lactoscope-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lactoscope-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lactoscope-bench-"))
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

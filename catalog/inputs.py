@@ -76,10 +76,10 @@ def source_herds(spark, sf_dir):
 
 
 @query(check(*RAW, select="""select BDAT, LACT, round(MILK, 6) as MILK, DIM, round(PCTF, 6) as PCTF,
-  round(PCTP, 6) as PCTP from named where MILK is not null"""))
+  round(PCTP, 6) as PCTP from named"""))
 def csv_round_trip(spark, sf_dir):
     """Records written to CSV in the shared folder and read back with their schema."""
-    rows = rename_test_days(mapped_test_days(spark, sf_dir)).where("MILK is not null")
+    rows = rename_test_days(mapped_test_days(spark, sf_dir))
     path = shared_folder(spark)
     write_csv(rows.select(*LACTATIONS_CSV.fieldNames()), path)
     return rounded(read_csv(spark, path, LACTATIONS_CSV))

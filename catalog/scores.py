@@ -19,7 +19,6 @@ from catalog.base import (
 )
 from lactoscope.functions import expressions as X
 from lactoscope.operators import history, score
-from lactoscope.operators.dimension import join_dimension
 from lactoscope.operators.fit import daily_series
 from lactoscope.operators.profile import summary
 
@@ -58,15 +57,15 @@ def group_curves(spark, sf_dir):
         PARAMETERS,
         "last as (select BDAT, ID, LACT, LAGR, max(DIM) as last_dim from inputs group by BDAT, ID, LACT, LAGR)",
         select=f"""select BDAT, ID, LACT, DIM, round({CURVE}, 6) as ecm_est
-from (select l.*, unnest(range(0, last_dim, 5)) as DIM from last l) l join parameters p on l.LAGR = p.LAGR""",
+from (select l.*, unnest(range(0, last_dim)) as DIM from last l) l join parameters p on l.LAGR = p.LAGR""",
     )
 )
 def curves_to_last_day(spark, sf_dir):
-    """Curve of each lactation on every fifth day before its last test day."""
+    """Curve of each lactation on every day before its last test day."""
     keys = ["BDAT", "ID", "LACT"]
     last = inputs_of(spark, sf_dir).groupBy(*keys, "LAGR").agg(F.max("DIM").alias("last_dim"))
     lactations = last.join(fixed_parameters(spark), ["LAGR"]).drop("last_dim")
-    curves = score.curves_to_last_day(lactations, last, [*keys, "LAGR"], 5)
+    curves = score.curves_to_last_day(lactations, last, [*keys, "LAGR"])
     return curves.select(*keys, F.col("DIM").cast("bigint").alias("DIM"), F.round("ecm_est", 6).alias("ecm_est"))
 
 
@@ -103,19 +102,14 @@ def residual_summary(spark, sf_dir):
     check(
         *INPUTS,
         PARAMETERS,
-        """days as (select BDAT, ID, LACT, LAGR, DIM, count(*) as n, avg(ECM) as mean from inputs
-  where ECM is not null group by BDAT, ID, LACT, LAGR, DIM)""",
-        select=f"""select BDAT, ID, LACT, DIM, n, round(mean - {CURVE} + 1e-8, 6) as error
-from days i join parameters p on i.LAGR = p.LAGR""",
+        select=f"""select BDAT, ID, LACT, DIM, round(ECM - {CURVE}, 6) as error
+from inputs i join parameters p on i.LAGR = p.LAGR where ECM is not null""",
     )
 )
 def exploded_residuals(spark, sf_dir):
-    """Residuals of the series that are held as one array per lactation."""
+    """Residual series of the lactations: a row for every usable record."""
     keys = ["BDAT", "ID", "LACT"]
-    series = daily_series(inputs_of(spark, sf_dir), [*keys, "LAGR"])
-    joined = join_dimension(series, fixed_parameters(spark), ["LAGR"])
-    errors = score.explode_residuals(joined, keys)
-    return rounded(errors.withColumn("error", F.col("error") + 1e-8))
+    return rounded(score.record_residuals(inputs_of(spark, sf_dir), fixed_parameters(spark), ["LAGR"], keys))
 
 
 _LACTATION_LOSSES = """quality as (

@@ -1,7 +1,7 @@
 """Scores of curves: predictions, residuals, losses, individual scale, yields.
 
-Parameter tables hold one row per group with columns a, b, c, d. With many herds
-such a table grows, so its size is checked before it is broadcast.
+Parameter tables hold one row per group with columns a, b, c, d. They are joined on
+their keys; Spark broadcasts a table that is small enough and splits hot keys otherwise.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.functions.expressions import PARAMETERS, curve, group_name, pack, yield_to_day
-from lactoscope.operators.dimension import join_dimension, salt_of
 from lactoscope.settings import Settings
 from lactoscope.sources.tables import grid_days
 
@@ -25,10 +24,9 @@ def predict(
     keys: Sequence[str] = ("LAGR",),
     dim: str = "DIM",
     output: str = "ecm_est",
-    salt: Column | None = None,
 ) -> DataFrame:
     """Attach the parameters of each record's group and the curve value of its day."""
-    joined = join_dimension(records, parameters.select(*keys, *PARAMETERS), keys, salt)
+    joined = records.join(parameters.select(*keys, *PARAMETERS), list(keys))
     return joined.withColumn(output, curve(dim))
 
 
@@ -61,13 +59,12 @@ def with_residual(predicted: DataFrame, value: str = "ECM", estimate: str = "ecm
     return predicted.withColumn(output, F.col(value) - F.col(estimate))
 
 
-def explode_residuals(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Residuals of daily means, from series and parameters held in one row per key.
-
-    ``series`` is an array of (DIM, n, mean) as made by ``daily_series``.
-    """
-    points = series.select(*keys, *PARAMETERS, F.inline("series"))
-    return points.select(*keys, "DIM", "n", (F.col("mean") - curve("DIM")).alias("error"))
+def record_residuals(
+    records: DataFrame, parameters: DataFrame, group: Sequence[str], keys: Sequence[str], value: str = "ECM"
+) -> DataFrame:
+    """The residual series of each key in long form: one row for every usable record."""
+    usable = records.where(F.col(value).isNotNull() & F.col("DIM").isNotNull())
+    return with_residual(predict(usable, parameters, group), value).select(*keys, "DIM", "error")
 
 
 def losses(predicted: DataFrame, keys: Sequence[str], value: str = "ECM", estimate: str = "ecm_est") -> DataFrame:
@@ -117,8 +114,7 @@ def individual_scale(
     """
     keys = [*by, group, *settings.lactation_keys]
     known = records.dropna(subset=list(settings.lactation_keys))
-    salt = salt_of(settings.lactation_keys)
-    rows = predict(known, parameters, [*by, group], output="ecm_est0", salt=salt)
+    rows = predict(known, parameters, [*by, group], output="ecm_est0")
     ratio = F.try_divide(F.col("ECM"), F.col("ecm_est0"))
     log_ratio = F.when(F.expr(settings.individual_rows) & (ratio > 0), F.log(ratio))
     scale = (

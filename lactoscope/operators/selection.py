@@ -20,7 +20,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lactoscope.functions.expressions import energy_corrected_reported, group_code
-from lactoscope.operators.dimension import join_dimension
 from lactoscope.settings import RunParameters, Settings
 
 SLOTS = 61
@@ -38,8 +37,10 @@ def primary_records(
 ) -> DataFrame:
     """Valid test days of the herds due, inside each herd's look-back period.
 
-    The herds due are few enough to broadcast in most runs; their number is
-    checked, and a larger table is joined on herd and slot, which splits big herds.
+    The join is a plain one on the filtered herd table, so Spark broadcasts it if it is
+    small, splits a big herd if not, and prunes partitions of a table stored by herd. A
+    due herd has a test day after the last run, so no herd's look-back begins before
+    that of the last run itself; this bound reaches the scan.
     """
     low, high = settings.dim_range
     valid = events.where(
@@ -50,14 +51,16 @@ def primary_records(
         valid = valid.where(F.col("SourceHerdID") == run.herd_id)
         due = due.where(F.col("SourceHerdID") == run.herd_id)
     last = F.col("LastTestDayEventDate")
-    if settings.lookback_days is None:
-        earliest = F.add_months(last, -settings.lookback_months)
-    else:
-        earliest = F.date_sub(last, settings.lookback_days)
+
+    def look_back(day: Column) -> Column:
+        if settings.lookback_days is None:
+            return F.add_months(day, -settings.lookback_months)
+        return F.date_sub(day, settings.lookback_days)
+
+    earliest = look_back(last)
+    valid = valid.where(F.col("EventDateTime") >= look_back(F.lit(run.last_run)).cast("timestamp"))
     return (
-        join_dimension(
-            valid, due.select(*settings.herd_keys, "LastTestDayEventDate"), settings.herd_keys, _slot(), SLOTS
-        )
+        valid.join(due.select(*settings.herd_keys, "LastTestDayEventDate"), list(settings.herd_keys))
         .withColumn("TestDate", F.to_date("EventDateTime"))
         .where(F.col("TestDate") >= earliest)
         .select(

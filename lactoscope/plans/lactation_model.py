@@ -19,8 +19,11 @@ KEYS = ("BDAT", "EarTag", "LACT")
 
 
 def filled_lactations(events: DataFrame) -> DataFrame:
-    """Test days 1 to 399 with filled components, before any count rule."""
-    rows = valid_yields(rename_test_days(events, animal="EarTag"), 1, 399)
+    """Test days 1 to 399 with filled components, before any count rule.
+
+    Records without birth date, animal or lactation belong to no lactation and go.
+    """
+    rows = valid_yields(rename_test_days(events, animal="EarTag"), 1, 399).dropna(subset=list(KEYS))
     return fill_components(rows, KEYS).select(*KEYS, "MILK", "DIM", "PCTF", "PCTP")
 
 
@@ -58,7 +61,7 @@ def herd_file_fits(records: DataFrame, settings: FitSettings = HERD_FILE_FIT, ke
 
     All lactations give a row; those with too few records say so in the status.
     """
-    rows = fill_components(records, keys, backward_first=True)
+    rows = fill_components(records.dropna(subset=list(keys)), keys, backward_first=True)
     rows = rows.withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()})
     return fit_records_by(rows, keys, settings)
 
@@ -67,5 +70,5 @@ def single_animal_fits(
     records: DataFrame, settings: FitSettings = SINGLE_ANIMAL_FIT, keys: Sequence[str] = ("BDAT", "LACT")
 ) -> DataFrame:
     """Fits of a file without animal numbers: keyed by birth date and lactation."""
-    rows = records.withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma("DIM", 60)})
+    rows = records.dropna(subset=list(keys)).withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma("DIM", 60)})
     return fit_records_by(rows, keys, settings)

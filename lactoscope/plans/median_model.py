@@ -92,8 +92,8 @@ def animal_quartiles(records: DataFrame, relative_error: float = 0.01) -> DataFr
 
     This and the next take filled records of all animals.
     """
-    # Means and bounds come from one aggregation over the records.
-    means = records.groupBy(*KEYS).agg(*history_columns(), mean_of("ECM")).where(long_enough())
+    # Means and bounds come from one aggregation; records without a key are no animal's.
+    means = records.dropna(subset=list(KEYS)).groupBy(*KEYS).agg(*history_columns(), mean_of("ECM")).where(long_enough())
     # One row per animal, read twice: for the cut points and for the buckets.
     return quantile_buckets(cut_lineage(means), "ecm_avg", 4, relative_error, "ecm_qtile")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -155,14 +154,13 @@ def save_table(frame: DataFrame, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster shares for checkpoints.
 
-    Only a session without that setting, as in tests, gets a local folder.
+    A session without one is refused: a local folder would be another one on each machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="lactoscope-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/lactoscope-{uuid.uuid4().hex}"
 
 

@@ -12,10 +12,12 @@ from lactoscope import LACTATION_FIT, RunParameters
 from lactoscope.functions.expressions import energy_corrected, error_sigma
 from lactoscope.functions.sql import register_functions
 from lactoscope.operators import fit, history, profile, score, search, trend
-from lactoscope.operators.dimension import join_dimension, salt_of
+from lactoscope.operators.search import Grid, constrained_minimum
+from lactoscope.operators.selection import primary_records
 from lactoscope.plans import group_model, lactation_model, median_model, sql_model
 from lactoscope.sources import tables
 from lactoscope.sources.sample_mapping import mapped_herds, mapped_test_days
+from lactoscope.sources.tables import shared_folder
 
 SF = "/root/testdata/sf0.001"
 RUN = RunParameters(dt.date(2022, 7, 1))
@@ -83,16 +85,65 @@ def test_accepted_points_agree_with_the_join(model):
         assert list(left[column]) == pytest.approx(list(right[column]), rel=1e-9, abs=1e-7)
 
 
-@pytest.mark.parametrize("salted", [True, False])
-def test_dimension_too_large_to_broadcast(spark, salted):
-    records = spark.range(1000).select((F.col("id") % 3).alias("key"), F.col("id").alias("v"))
-    dimension = spark.range(3).select(F.col("id").alias("key"), (F.col("id") * 10).alias("name"))
-    salt = salt_of(["v"], 8) if salted else None
-    large = join_dimension(records, dimension, ["key"], salt, 8, limit=2)
-    small = join_dimension(records, dimension, ["key"])
-    assert sorted(large.collect()) == sorted(small.collect())
-    assert ("_salt" in large._jdf.queryExecution().optimizedPlan().toString()) == salted
-    assert "ResolvedHint (strategy=broadcast)" not in large._jdf.queryExecution().analyzed().toString()
+def test_herds_and_dates_prune_the_scan(spark, tmp_path):
+    """The plan is built without a job; herd partitions and the date bound reach the scan."""
+    events = mapped_test_days(spark, SF)
+    herds = mapped_herds(spark, events)
+    paths = str(tmp_path / "events"), str(tmp_path / "herds")
+    events.write.partitionBy("SourceHerdID").parquet(paths[0])
+    herds.write.parquet(paths[1])
+    events, herds = spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+    spark.sparkContext.setJobGroup("plans", "plan building")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    rows = primary_records(events, herds, RUN)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "dynamicpruning" in plan
+    assert "GreaterThanOrEqual(EventDateTime" in plan
+
+
+def test_records_without_key_belong_to_no_lactation(spark):
+    rows = [("a", 1, d, "2020-01-01") for d in (10, 40, 80, 120, 160)] + [("a", 1, d, None) for d in (10, 40, 80, 120, 160)]
+    rows += [(None, 1, d, "2020-01-01") for d in (10, 40, 80, 120, 160)] + [("b", None, d, "2020-01-01") for d in (10, 40, 80, 120, 160)]
+    frame = spark.createDataFrame(
+        [(e, n, d, b, 40.0 + d % 7, 3.5, 3.1) for e, n, d, b in rows],
+        "EarTag string, LactationNumber int, DIM int, BirthDate string, MilkWeight double, PercentFat double, PercentProtein double",
+    ).withColumn("BirthDate", F.to_date("BirthDate")).withColumn("FreshDate", F.col("BirthDate"))
+    assert [r.EarTag for r in lactation_model.fit_lactations(frame).collect()] == ["a"]
+    working = frame.withColumnsRenamed({"LactationNumber": "LACT", "BirthDate": "BDAT", "MilkWeight": "MILK", "PercentFat": "PCTF", "PercentProtein": "PCTP"})
+    assert [r.EarTag for r in lactation_model.herd_file_fits(working).collect()] == ["a"]
+    means = working.withColumnsRenamed({"EarTag": "ID"}).withColumns({"LAGR": F.col("LACT"), "ECM": F.col("MILK"), "DIM": F.col("DIM") * 2})
+    assert [r.ID for r in median_model.animal_quartiles(means).collect()] == ["a"]
+
+
+def test_no_folder_of_one_machine(spark, monkeypatch):
+    class Bare:
+        conf = type("conf", (), {"get": staticmethod(lambda name, default=None: None)})
+        sparkContext = type("context", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Bare)
+
+
+def test_constrained_minimum_on_the_limit(spark):
+    """With the limit on b * d active, no point of a fine grid is better."""
+    draw = np.random.default_rng(3)
+    t = np.arange(5, 305, 10)
+    y = 70 * (1 - np.exp((-1 - t) / 20) / 2) * np.exp(-0.0015 * t) + draw.normal(0, 1, len(t))
+    records = spark.createDataFrame([(1, int(d), float(v)) for d, v in zip(t, y)], "LAGR int, DIM int, ECM double")
+    grid = Grid(a=(0.0, 150.0, 16), b=(5.0, 50.0, 4), c=(-10.0, 5.0, 4), d=(0.0, 0.004, 5), product_limit=0.01)
+    found = constrained_minimum(records, ["LAGR"], grid, rounds=3).first()
+    assert found.b * found.d <= 0.01 * (1 + 1e-9) and found.b * found.d > 0.0099
+    b, c = np.meshgrid(np.linspace(5, 50, 181), np.linspace(-10, 5, 61))
+    best = np.inf
+    for share in np.linspace(0.0, 1.0, 41):
+        d = np.minimum(0.01 / b, 0.004) * share
+        f = (1 - np.exp((c[..., None] - t) / b[..., None]) / 2) * np.exp(-d[..., None] * t)
+        a = np.clip((f * y).sum(-1) / (f * f).sum(-1), 0, 150)
+        best = min(best, ((y - a[..., None] * f) ** 2).mean(-1).min())
+    assert found.loss <= best * (1 + 1e-6)
 
 
 def test_one_lactation_with_most_records(spark):
