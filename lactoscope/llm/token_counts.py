@@ -55,8 +55,9 @@ def encode_missing(docs: DataFrame, cache: str, tokenizer: str) -> None:
 
     keyed = docs.select(digest().alias("digest"), normalised().alias("content"))
     known = read_cache(spark, cache, version).select("digest")
-    # Copies meet in their own task before the shuffle.
-    missing = keyed.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("content").alias("content"))
+    # Copies meet in their own task before any shuffle.
+    distinct = keyed.groupBy("digest").agg(F.first("content").alias("content"))
+    missing = distinct.join(known, "digest", "left_anti")
     counted = missing.mapInArrow(run, "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
