@@ -32,6 +32,18 @@ def stored(frame: DataFrame, batch_rows: int | None = None) -> DataFrame:
         return cut_lineage(frame)
 
 
+def discard(*stages: DataFrame) -> None:
+    """Delete the folders of stored stages, once all that reads them is stored itself."""
+    for stage in stages:
+        session = stage.sparkSession
+        jvm = session.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in stage.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            if not path.getName().startswith("lactoscope-"):
+                raise ValueError(f"{folder} is no stored stage")
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def numbered(docs: DataFrame, name: str = "row_number_") -> DataFrame:
     """Rows of a stored table with a number each, the same on every scan of it.
 
