@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lactoscope.llm.stages import numbered, stored
+from lactoscope.llm.stages import discard, numbered, stored
 from lactoscope.llm.words import as_bytes, hashed_words, sliding, window_hashes, word_spans
 
 MIN_WORDS = 50
@@ -193,12 +193,15 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int, head: int) -> Dat
 def _spans(rows: DataFrame, min_words: int, window: int, gram: int, later_only: bool) -> DataFrame:
     head = min_words - window + 1
     kept = stored(suffixes(rows, window, gram, head))
-    found = stored(with_neighbours(kept, ("key", "row", "pos"), same_key).withColumn("near", F.greatest("before", "after")))
+    repeated = with_neighbours(kept, ("key", "row", "pos"), same_key)
+    found = stored(repeated.withColumn("near", F.greatest("before", "after")))
+    discard(kept, repeated)
     runs = stored(_runs(found.where("before > 0") if later_only else found, window))
     wanted = found.select("row", "pos", "key").join(runs.select("key", "side").distinct(), "key")
     contexts = stored(_contexts(rows, wanted, window, head), batch_rows=500)
-    extents = with_neighbours(contexts, ("key", "side", "context", "row", "pos"), _same_words)
-    extents = stored(extents.select("row", "pos", "side", (F.greatest("before", "after") - 1).alias("more")))
+    compared = with_neighbours(contexts, ("key", "side", "context", "row", "pos"), _same_words)
+    extents = stored(compared.select("row", "pos", "side", (F.greatest("before", "after") - 1).alias("more")))
+    discard(found, contexts, compared)
     start = F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("more"))).alias("start")
     end = F.max(F.when(F.col("side") == 1, F.col("pos") + head + F.col("more"))).alias("end")
     spans = runs.join(extents, ["row", "pos", "side"]).groupBy("row", "run").agg(start, end)
