@@ -242,6 +242,22 @@ def test_near_copies_leave_one(spark, stored_docs, odd_rows):
     assert simhash.keep_first(stored_docs(rows).where("false")).count() == 0
 
 
+def test_similar_but_distinct_texts_stay(spark, stored_docs):
+    """Texts well under the similarity stay and those over it go, also where lines are repeated."""
+    rows, stay = [], set()
+    for i in range(60):
+        base = words(100 + i, 400)
+        changes = 18 if i % 2 else 5
+        other = [f"new{i}x{k}" if k % (400 // changes) == 20 else w for k, w in enumerate(base)]
+        line = "the same short line stands here again and again "
+        rows += [(2 * i, line * 30 + " ".join(base)), (2 * i + 1, line * 30 + " ".join(other))]
+        a, b = (set(simhash.shingle_hashes(r[1], 5).tolist()) for r in rows[-2:])
+        share = len(a & b) / len(a | b)
+        assert share < 0.66 or share > 0.85
+        stay |= {2 * i} if share > 0.85 else {2 * i, 2 * i + 1}
+    assert {r.doc_id for r in simhash.keep_first(stored_docs(rows)).collect()} == stay
+
+
 def repeats_by_brute_force(rows, n):
     split = [(i, (t or "").encode().split()) for i, (_, t) in enumerate(rows)]
     holders = defaultdict(set)
