@@ -332,6 +332,54 @@ def fit_outcomes(spark, sf_dir):
     return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir)))
 
 
+# Test days without noise: constant components, and the yield that puts ECM on a known curve.
+_KNOWN_ECM = "(25 + 5 * (LactationNumber % 7)) * (1 - exp((LactationNumber % 4 - 2 - DIM) / (15 + 5 * (LactationNumber % 5))) / 2) * exp(-(0.0005 + 0.0003 * (LactationNumber % 4)) * DIM)"
+
+
+def _known_test_days(spark, sf_dir):
+    share = 3.1138 / (0.383 * 3.5 + 0.242 * 3.2 + 0.7832)
+    return mapped_test_days(spark, sf_dir).withColumns(
+        {
+            "MilkWeight": F.when(F.col("MilkWeight").isNotNull(), F.expr(_KNOWN_ECM) * share),
+            "PercentFat": F.when(F.col("PercentFat").isNotNull(), F.lit(3.5)),
+            "PercentProtein": F.when(F.col("PercentProtein").isNotNull(), F.lit(3.2)),
+        }
+    )
+
+
+def _with_worst_error(fits, errors, keys):
+    """Outcome of each fit and its greatest distance from a record, to two decimals."""
+    worst = errors.groupBy(*keys).agg(F.round(F.max(F.abs("error")), 2).alias("worst_error"))
+    return fits.select(*keys, "records", "npoints", "status").join(worst, list(keys), "left")
+
+
+_OUTCOME = """cast(case when records < {least} or npoints = 0 then 3 when npoints <= 4 then 2 else 0 end as int) as status,
+  case when records >= {least} and npoints > 0 then 0e0 end as worst_error"""
+
+
+@query(
+    check(
+        *RAW,
+        TO_FILL_1_399,
+        FORWARD_FIRST,
+        f"lactations as ({_LACTATIONS} from filled where BDAT is not null and ID is not null and LACT is not null group by BDAT, ID, LACT)",
+        select=f"""select BDAT, EarTag, LACT, records, npoints, {_OUTCOME.format(least=LACTATION_FIT.min_points)}
+from lactations where records >= {LACTATION_FIT.min_points} and npoints > 0""",
+    )
+)
+def known_lactation_curves(spark, sf_dir):
+    """Lactation fits of every lactation's own days and gaps, with yields on a known curve."""
+    events = _known_test_days(spark, sf_dir)
+    fits = lactation_model.fit_lactations(events)
+    return _with_worst_error(fits, lactation_model.fit_residuals(events, fits), lactation_model.KEYS)
+
+
+@query()
+def fit_birth_dates(spark, sf_dir):
+    """Curve and fit statistics per birth date and lactation, started at the peak."""
+    return lactation_model.single_animal_fits(_file_records(spark, sf_dir)).drop("covariance")
+
+
 SMALL_GRID = Grid(a=(50.0, 90.0, 5), b=(10.0, 30.0, 3), c=(-4.0, 0.0, 3), d=(0.0005, 0.0035, 4), product_limit=0.06)
 
 

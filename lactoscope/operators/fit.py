@@ -225,8 +225,10 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
             continue
         rows, start = rows[enough], start[enough]
         t, y, weight = matrix("t")[enough], mean[enough], (n / sigma**2)[enough]
-        fitted, mean_loss, used, converged, jacobian = solver.fit_batch(
-            t, y, weight, start, np.asarray(settings.lower), np.asarray(settings.upper), settings.max_iterations
+        lower, upper = np.asarray(settings.lower), np.asarray(settings.upper)
+        starts = solver.spread_starts(start, lower, upper, settings.extra_starts)
+        fitted, mean_loss, used, converged, jacobian = solver.fit_from_starts(
+            t, y, weight, starts, lower, upper, settings.max_iterations
         )
         within = within[enough]
         pure[rows] = (within / sigma[enough] ** 2).sum(axis=1)
