@@ -45,23 +45,32 @@ def _retained(words: np.ndarray, window: int, gram: int, head: int) -> tuple[np.
 
 
 def suffixes(rows: DataFrame, window: int, gram: int, head: int) -> DataFrame:
-    """``row, at, pos, key``: retained suffixes, numbered within their text."""
+    """``row, key, places``: retained suffixes of each text, once for each key.
+
+    ``places`` has all places of a key in the text: ``at`` among its retained suffixes and
+    ``pos`` among its words. Rows of one key are thus rows of different texts.
+    """
+    place = pa.struct([("at", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, places, keys = batch.column("row").to_numpy(), [], []
-            for text in batch.column("text"):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 pos, key = _retained(hashed_words(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)), window, gram, head)
-                places.append(pos)
-                keys.append(key)
-            if not places:
-                continue
-            counts = [len(p) for p in places]
-            at = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
-            columns = [np.repeat(numbers, counts), at, np.concatenate(places).astype(np.int32), np.concatenate(keys).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "at", "pos", "key"])
+                if len(pos):
+                    keys, offsets, order = _by_key(key)
+                    at = pa.StructArray.from_arrays([pa.array(order.astype(np.int32)), pa.array(pos[order].astype(np.int32))], fields=list(place))
+                    places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), at)
+                    columns = [pa.array(np.full(len(keys), row, dtype=np.int64)), pa.array(keys.view(np.int64)), places]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "key", "places"])
+
+    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, key long, places array<struct<at: int, pos: int>>")
+
 
-    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, at int, pos int, key long")
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the bounds of each in the order of keys, and that order."""
+    order = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+    return key[order[heads]], np.append(heads, len(key)), order
 
 
 def with_neighbours(rows: DataFrame, order: Sequence[str], shared: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
@@ -193,8 +202,9 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int, head: int) -> Dat
 def _spans(rows: DataFrame, min_words: int, window: int, gram: int, later_only: bool) -> DataFrame:
     head = min_words - window + 1
     kept = stored(suffixes(rows, window, gram, head))
-    repeated = with_neighbours(kept, ("key", "row", "pos"), same_key)
-    found = stored(repeated.withColumn("near", F.greatest("before", "after")))
+    # A key has one row for each text, so an equal neighbour is another text, and one before is an earlier text.
+    repeated = with_neighbours(kept, ("key", "row"), same_key)
+    found = stored(repeated.select("row", "key", "before", F.greatest("before", "after").alias("near"), F.inline("places")))
     discard(kept, repeated)
     runs = stored(_runs(found.where("before > 0") if later_only else found, window))
     wanted = found.select("row", "pos", "key").join(runs.select("key", "side").distinct(), "key")

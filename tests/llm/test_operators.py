@@ -12,7 +12,7 @@ import xxhash
 from conftest_words import words
 from pyspark.sql import functions as F
 
-from lactoscope.llm import chat, compact_windows, html_text, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
+from lactoscope.llm import chat, compact_windows, html_text, packing, quality, simhash, stages, suffixes, token_counts, token_files, winnowing
 from lactoscope.llm.components import components
 from lactoscope.llm.queries import BYTE_TOKENIZER, WORD_TOKENIZER, tokenizer_file
 from lactoscope.llm.tokens import encoder
@@ -300,6 +300,45 @@ def test_repeated_passages_of_the_tables(spark, stored_docs, odd_rows):
     assert {r.doc_id for r in suffixes.repeated_passages(stored_docs(odd_rows)).collect()} == {4, 8}
 
 
+def words_in_shared_runs(rows, n, earlier=False):
+    """Places of the words of each text that lie in a run of ``n`` words of another (an earlier) text."""
+    seen, inside = defaultdict(set), {}
+    for i, text in rows:
+        w = text.split()
+        for s in range(len(w) - n + 1):
+            seen[tuple(w[s : s + n])].add(i)
+    for i, text in rows:
+        w = text.split()
+        starts = [s for s in range(len(w) - n + 1) if (min(seen[tuple(w[s : s + n])]) < i if earlier else seen[tuple(w[s : s + n])] - {i})]
+        inside[i] = {p for s in starts for p in range(s, s + n)}
+    return inside
+
+
+def numbered_texts(docs):
+    """Texts in table order, by their place in it, and the ``doc_id`` of each place."""
+    found = stages.numbered(docs).select("row_number_", "doc_id", "text").orderBy("row_number_").collect()
+    return [(i, r.text) for i, r in enumerate(found)], [r.doc_id for r in found]
+
+
+@pytest.mark.parametrize("size", [50, 70])
+def test_passage_repeated_inside_and_across_rows(spark, stored_docs, size):
+    passage = words(80, size)
+    rows = []
+    for i, times in enumerate((2, 3, 4, 2)):
+        parts = [[*words(81 + 10 * i + k, 30), *passage] for k in range(times)]
+        rows.append((i, " ".join(w for part in parts for w in part)))
+    docs = stored_docs(rows)
+    found = defaultdict(set)
+    for r in suffixes.repeated_passages(docs).collect():
+        found[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert dict(found) == words_in_shared_runs(rows, 50)
+    texts, ids = numbered_texts(docs)
+    known = words_in_shared_runs(texts, 50, earlier=True)
+    left = {r.doc_id: r.text for r in suffixes.cut_passages(docs).collect()}
+    for i, text in texts:
+        assert left[ids[i]].split() == [w for p, w in enumerate(text.split()) if p not in known[i]]
+
+
 def test_packing_takes_every_token_once(spark, stored_docs, odd_rows, library):
     rows = [(r.doc_id + 100, r.text) for r in documents(spark).collect()] + odd_rows
     packed = packing.pack(stored_docs(rows), tokenizer_file(WORD_TOKENIZER), 2)
