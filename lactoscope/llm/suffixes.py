@@ -4,13 +4,14 @@ Of each text only suffixes at minimiser positions are retained: words whose 5-wo
 gram has the least hash among 16 neighbours. A passage of 50 words has one among its
 first 16 words, the same one wherever it occurs, and at least 35 words of the passage
 follow it. Retained suffixes are sorted by the hash of their first 35 words; equal
-neighbours in that order are repeats. Consecutive repeated suffixes of a text form a
-run, whose two ends are extended: the words to the left of its first suffixes and to the
-right of its last ones are sorted within their suffix class, and the longest prefix
-shared with a neighbour in that order is the longest shared with anyone.
-
-Both sorts are range partitioned on keys that end in the row, so the suffixes of a
-passage that very many texts share are spread over tasks. Neighbours on two sides of a
+neighbours in that order are candidates. The 50-word runs that begin less than a window
+before a candidate are hashed whole and sorted the same way: a run with an equal
+neighbour is shared, and overlapping shared runs of a text are one passage. So each run
+is held to one partner, and no word is reported that is in no shared run.
+
+A text has one row for each hash, with all places of it, so equal neighbours are always
+different texts. Both sorts are range partitioned on keys that end in the row, so a
+passage that very many texts share is spread over tasks. Neighbours on two sides of a
 partition bound are compared by means of the first and last row of each partition.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.llm.stages import discard, numbered, stored
-from lactoscope.llm.words import as_bytes, hashed_words, sliding, window_hashes, word_spans
+from lactoscope.llm.words import as_bytes, covered, hashed_words, sliding, window_hashes, word_spans
 
 MIN_WORDS = 50
 WINDOW = 16
@@ -44,26 +45,30 @@ def _retained(words: np.ndarray, window: int, gram: int, head: int) -> tuple[np.
     return kept, window_hashes(words, head)[kept]
 
 
+def _listed(row: int, key: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """``row, key, places``: each distinct key of a text once, with all its places."""
+    keys, offsets, order = _by_key(key)
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row, dtype=np.int64)), pa.array(keys.view(np.int64)), lists], ["row", "key", "places"])
+
+
 def suffixes(rows: DataFrame, window: int, gram: int, head: int) -> DataFrame:
-    """``row, key, places``: retained suffixes of each text, once for each key.
+    """``row, key, places``: keys of the retained suffixes of each text, and their places in it.
 
-    ``places`` has all places of a key in the text: ``at`` among its retained suffixes and
-    ``pos`` among its words. Rows of one key are thus rows of different texts.
+    A key has one row for each text, so rows of one key are rows of different texts.
     """
-    place = pa.struct([("at", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 pos, key = _retained(hashed_words(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)), window, gram, head)
                 if len(pos):
-                    keys, offsets, order = _by_key(key)
-                    at = pa.StructArray.from_arrays([pa.array(order.astype(np.int32)), pa.array(pos[order].astype(np.int32))], fields=list(place))
-                    places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), at)
-                    columns = [pa.array(np.full(len(keys), row, dtype=np.int64)), pa.array(keys.view(np.int64)), places]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "key", "places"])
+                    found.append(_listed(row, key, pos))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, key long, places array<struct<at: int, pos: int>>")
+    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, key long, places array<int>")
 
 
 def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,97 +139,56 @@ def same_key(a: pa.Table, b: pa.Table) -> np.ndarray:
     return np.where(same, 1 + (a.column("row").to_numpy() != b.column("row").to_numpy()), 0)
 
 
-def _same_words(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """One more than the number of words that two contexts of one class share from their start."""
-    same = (a.column("key").to_numpy() == b.column("key").to_numpy()) & (a.column("side").to_numpy() == b.column("side").to_numpy())
-    x, y = (np.frombuffer(b"".join(t.column("context").to_pylist()), dtype=np.uint32).reshape(t.num_rows, -1) for t in (a, b))
-    # A zero stands beyond the end of a text and equals nothing.
-    equal = np.column_stack([(x == y) & (x != 0), np.zeros(len(x), dtype=bool)])
-    return np.where(same, 1 + equal.argmin(axis=1), 0)
-
-
-def _runs(candidates: DataFrame, window: int) -> DataFrame:
-    """``row, run, side, pos, key``: near each end of each run, its repeated suffixes.
-
-    A run is a series of consecutive repeated suffixes, numbered by its first place; it
-    counts if one of them is known from another text. Side 0 has those less than a
-    window behind its first one, side 1 those less than a window before its last one. A
-    text that shares the passage's first word need not retain the run's first suffix,
-    but it retains one of these.
-    """
-    whole = candidates.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "key", "near"))).alias("found"))
+def _passages(rows: DataFrame, found: DataFrame, min_words: int, window: int) -> DataFrame:
+    """``row, key, places``: runs of ``min_words`` words that begin less than a window before a repeated suffix."""
+    whole = found.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("near"))
+    texts = rows.select(F.col("row_number_").alias("row"), "text").join(whole, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("found")
-            inner = lists.flatten()
-            if not len(inner):
-                continue
-            row = np.repeat(batch.column("row").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            at, pos, key, near = (inner.field(i).to_numpy() for i in range(4))
-            breaks = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)) + 1
-            first, size = np.concatenate([[0], breaks]), np.diff(np.concatenate([[0], breaks, [len(at)]]))
-            low, high = np.repeat(pos[first], size), np.repeat(pos[first + size - 1], size)
-            across = np.repeat(np.maximum.reduceat(near, first) > 1, size)
-            for side, wanted in enumerate((pos < low + window, pos > high - window)):
-                i = np.flatnonzero(wanted & across)
-                columns = [row[i], low[i], np.full(len(i), side, dtype=np.int32), pos[i], key[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "run", "side", "pos", "key"])
-
-    return whole.mapInArrow(run, "row long, run int, side int, pos int, key long")
-
-
-def _contexts(rows: DataFrame, wanted: DataFrame, window: int, head: int) -> DataFrame:
-    """``key, side, context, row, pos``: hashes of the words before (side 0) or after a suffix head."""
-    places = wanted.groupBy("row").agg(F.collect_list(F.struct("pos", "key", "side")).alias("places"))
-    texts = rows.select(F.col("row_number_").alias("row"), "text").join(places, "row")
+            found = []
+            for row, text, near in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("near")):
+                keys = window_hashes(hashed_words(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)), min_words)
+                pos = near.values.to_numpy()
+                starts = np.flatnonzero(covered(np.maximum(pos - window + 1, 0), np.minimum(pos + 1, window), len(keys) + window)[: len(keys)])
+                if len(starts):
+                    found.append(_listed(row, keys[starts], starts))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    return texts.select("row", "text", "near").mapInArrow(run, "row long, key long, places array<int>")
+
+
+def _spans(rows: DataFrame, min_words: int, window: int, gram: int, earlier_only: bool) -> DataFrame:
+    """``row_number_, start, end``: stretches made of runs of ``min_words`` that another (an earlier) text has."""
+    kept = stored(suffixes(rows, window, gram, min_words - window + 1))
+    # A key has one row for each text: an equal neighbour is another text, one before is an earlier text.
+    repeated = with_neighbours(kept, ("key", "row"), same_key)
+    passages = stored(_passages(rows, repeated.select("row", "places"), min_words, window), batch_rows=500)
+    discard(kept, repeated)
+    shared = with_neighbours(passages, ("key", "row"), same_key)
+    known = stored((shared.where("before > 0") if earlier_only else shared).select("row", "places"))
+    discard(passages, shared)
+    whole = known.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"key": [], "side": [], "context": [], "row": [], "pos": []}
-            for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "places"))):
-                words = hashed_words(np.frombuffer(as_bytes(text), dtype=np.uint8)).astype(np.uint32)
-                near = np.concatenate([np.zeros(window, np.uint32), np.where(words == 0, 1, words).astype(np.uint32), np.zeros(window, np.uint32)])
-                for place in found:
-                    if place["side"]:
-                        end = place["pos"] + window + head
-                        context = near[end : end + window]
-                    else:
-                        context = near[place["pos"] : place["pos"] + window][::-1]
-                    for name, value in (("key", place["key"]), ("side", place["side"]), ("context", context.tobytes()), ("row", row), ("pos", place["pos"])):
-                        out[name].append(value)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
-
-    return texts.select("row", "text", "places").mapInArrow(run, "key long, side int, context binary, row long, pos int")
-
-
-def _spans(rows: DataFrame, min_words: int, window: int, gram: int, later_only: bool) -> DataFrame:
-    head = min_words - window + 1
-    kept = stored(suffixes(rows, window, gram, head))
-    # A key has one row for each text, so an equal neighbour is another text, and one before is an earlier text.
-    repeated = with_neighbours(kept, ("key", "row"), same_key)
-    found = stored(repeated.select("row", "key", "before", F.greatest("before", "after").alias("near"), F.inline("places")))
-    discard(kept, repeated)
-    runs = stored(_runs(found.where("before > 0") if later_only else found, window))
-    wanted = found.select("row", "pos", "key").join(runs.select("key", "side").distinct(), "key")
-    contexts = stored(_contexts(rows, wanted, window, head), batch_rows=500)
-    compared = with_neighbours(contexts, ("key", "side", "context", "row", "pos"), _same_words)
-    extents = stored(compared.select("row", "pos", "side", (F.greatest("before", "after") - 1).alias("more")))
-    discard(found, contexts, compared)
-    start = F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("more"))).alias("start")
-    end = F.max(F.when(F.col("side") == 1, F.col("pos") + head + F.col("more"))).alias("end")
-    spans = runs.join(extents, ["row", "pos", "side"]).groupBy("row", "run").agg(start, end)
-    return spans.select(F.col("row").alias("row_number_"), "start", "end").where(F.col("end") - F.col("start") >= min_words)
+            for row, starts in zip(batch.column("row").to_pylist(), batch.column("starts")):
+                at = np.sort(starts.values.to_numpy())
+                first = np.flatnonzero(np.concatenate([[True], np.diff(at) >= min_words]))
+                ends = at[np.append(first[1:], len(at)) - 1] + min_words
+                columns = [np.full(len(first), row, dtype=np.int64), at[first].astype(np.int32), ends.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row_number_", "start", "end"])
+
+    return whole.mapInArrow(run, "row_number_ long, start int, end int")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, start_word, n_words``: passages that also occur in another row of ``docs``.
 
     Every run of ``min_words`` or more white-space separated words that two rows have in
-    common lies inside a returned passage. A passage is made of stretches of at least
-    ``min_words - window + 1`` words that each occur elsewhere, and is ``min_words`` long
-    or longer. Null, empty and short texts have none; repeated rows repeat each other;
+    common lies inside a returned passage, and every word of a passage lies in such a run.
+    Runs that overlap are one passage. Null, empty and short texts have none; repeated rows repeat each other;
     ``docs`` has to be a stored table.
     """
     rows = numbered(docs)
@@ -237,8 +201,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
 def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Rows of ``docs`` without the passages that an earlier row has too.
 
-    A passage stays where it comes first in the table and is cut out of the texts of later
-    rows, with the white space after it; ``n_chars``, if there, is counted anew. Rows
+    A word is cut if it lies in a run of ``min_words`` words that one earlier row has. A passage
+    stays where it comes first in the table and is cut out of the texts of later rows, with
+    the white space after it; ``n_chars``, if there, is counted anew. Rows
     that had words and are left without any go; all others stay, with all their columns.
     """
     rows = numbered(docs)

@@ -339,6 +339,35 @@ def test_passage_repeated_inside_and_across_rows(spark, stored_docs, size):
         assert left[ids[i]].split() == [w for p, w in enumerate(text.split()) if p not in known[i]]
 
 
+def test_only_runs_of_one_partner_are_passages(spark, stored_docs):
+    """Words that a later text has, and stretches put together from several texts, stay."""
+    passage, more, x = words(90, 60), words(91, 40), words(92, 16)
+    rows = [(0, [*words(93, 30), *passage]), (1, [*passage, *x, *words(94, 20)]), (2, [*passage, *x, *words(95, 25)])]
+    # 45 words of one text and 45 of another, overlapping: 60 words that no single text has.
+    rows += [(3, [*more, *passage[:5], *words(96, 40)]), (4, [*words(97, 40), *more[20:], *words(98, 25)]), (5, [*more, *passage[:5], *words(98, 25)[5:]])]
+    rows += [(6, [*words(99, 45), *words(100, 30)]), (7, [*words(101, 9), *words(99, 45)[20:], *words(102, 20)]), (8, [*words(99, 45), *words(102, 20)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = stored_docs(rows)
+    found = {i: set() for i, _ in rows}
+    for r in suffixes.repeated_passages(docs).collect():
+        found[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert found == words_in_shared_runs(rows, 50)
+    texts, ids = numbered_texts(docs)
+    known = words_in_shared_runs(texts, 50, earlier=True)
+    left = {r.doc_id: r.text for r in suffixes.cut_passages(docs).collect()}
+    for i, text in texts:
+        assert left.get(ids[i], "").split() == [w for p, w in enumerate(text.split()) if p not in known[i]]
+
+
+def test_cuts_of_the_tables_equal_brute_force(spark):
+    docs = documents(spark)
+    texts, ids = numbered_texts(docs)
+    texts = [(i, t or "") for i, t in texts]
+    known = words_in_shared_runs(texts, 50, earlier=True)
+    kept = {ids[i]: [w for p, w in enumerate(t.split()) if p not in known[i]] for i, t in texts}
+    assert {r.doc_id: (r.text or "").split() for r in suffixes.cut_passages(docs).collect()} == {k: v for k, v in kept.items() if v or not known[ids.index(k)]}
+
+
 def test_packing_takes_every_token_once(spark, stored_docs, odd_rows, library):
     rows = [(r.doc_id + 100, r.text) for r in documents(spark).collect()] + odd_rows
     packed = packing.pack(stored_docs(rows), tokenizer_file(WORD_TOKENIZER), 2)
