@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,19 @@ def discard(*stages: DataFrame) -> None:
 def numbered(docs: DataFrame, name: str = "row_number_") -> DataFrame:
     """Rows of a stored table with a number each, the same on every scan of it.
 
-    Keys of the data may be null or repeated; this one is neither. The number follows
-    from the file splits, so ``docs`` has to be a table scan or a projection of one.
+    Keys of the data may be null or repeated; this one is neither. It is made of the file's
+    place among the table's files by name and of the row's place in the file, which Parquet
+    scans give however a file is split. Rows from anywhere else are stored once with their
+    numbers.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("place_"))
+        placed.schema  # fails without these columns
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = sorted(r.file_ for r in placed.select("file_").distinct().collect())
+    if not files:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "nth_ long, file_ string")
+    number = F.shiftleft("nth_", 40) + F.col("place_")
+    return placed.join(F.broadcast(numbers), "file_").select(*docs.columns, number.alias(name))

@@ -339,6 +339,22 @@ def test_passage_repeated_inside_and_across_rows(spark, stored_docs, size):
         assert left[ids[i]].split() == [w for p, w in enumerate(text.split()) if p not in known[i]]
 
 
+def test_row_numbers_do_not_follow_from_the_splits(spark, stored_docs):
+    rows = stages.numbered(stored_docs([(i, f"text {i}") for i in range(300)]))
+    changed = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    first = {r.row_number_: r.doc_id for r in rows.select("row_number_", "doc_id").collect()}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        again = {r.row_number_: r.doc_id for r in rows.select("row_number_", "doc_id").collect()}
+    finally:
+        for name in changed:
+            spark.conf.unset(name)
+    assert first == again and len(first) == 300
+    kept = stages.numbered(spark.range(50).repartition(4).withColumn("x", F.rand()))
+    assert sorted(kept.collect()) == sorted(kept.select("*").collect())
+
+
 def test_only_runs_of_one_partner_are_passages(spark, stored_docs):
     """Words that a later text has, and stretches put together from several texts, stay."""
     passage, more, x = words(90, 60), words(91, 40), words(92, 16)
