@@ -455,6 +455,19 @@ def test_near_passages_hold_every_exact_repeat(spark, stored_docs):
     assert {rows[i][0] for i, v in repeats_by_brute_force(low, 50).items() if v} <= found
 
 
+@pytest.mark.parametrize("parts", [[1000, -100, 60], [60, -40, 1000], [45, -5, 10], [300, -60, 50, -30, 46], [46], [45]])
+def test_every_dense_stretch_of_a_pair_is_found(parts):
+    shared = np.concatenate([np.full(abs(n), n > 0) for n in parts])
+    ends = np.cumsum(np.abs(parts))
+    covered = np.zeros(len(shared), dtype=bool)
+    for a, b in compact_windows.dense_stretches(shared, 0.8, 46):
+        assert b - a >= 46 and shared[a:b].mean() >= 0.8
+        covered[a:b] = True
+    for n, end in zip(parts, ends):
+        assert n < 46 or covered[end - n : end].all()
+    assert covered.any() == (parts != [45])
+
+
 def test_cartesian_windows():
     draw = np.random.default_rng(8)
     values = draw.permutation(60).astype(np.uint64)
