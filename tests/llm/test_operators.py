@@ -362,6 +362,10 @@ def test_only_runs_of_one_partner_are_passages(spark, stored_docs):
     # 45 words of one text and 45 of another, overlapping: 60 words that no single text has.
     rows += [(3, [*more, *passage[:5], *words(96, 40)]), (4, [*words(97, 40), *more[20:], *words(98, 25)]), (5, [*more, *passage[:5], *words(98, 25)[5:]])]
     rows += [(6, [*words(99, 45), *words(100, 30)]), (7, [*words(101, 9), *words(99, 45)[20:], *words(102, 20)]), (8, [*words(99, 45), *words(102, 20)])]
+    # The text without the words behind the passage comes first in some of these threes.
+    for k in range(10, 19):
+        passage, x = words(10 * k, 60), words(10 * k + 1, 12)
+        rows += [(10 * k + i, [*words(10 * k + 2 + i, 30), *passage, *(x if i else []), *words(10 * k + 5 + i, 20)]) for i in range(3)]
     rows = [(i, " ".join(w)) for i, w in rows]
     docs = stored_docs(rows)
     found = {i: set() for i, _ in rows}
