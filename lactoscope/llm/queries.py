@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lactoscope.llm import chat, compact_windows, html_text, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
+from lactoscope.llm import chat, compact_windows, html_text, importance, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
 from lactoscope.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,48 @@ from based
 @query(_QUALITY_CHECK)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 in SQL: the table of a byte's eight steps, then one step a byte of the text's UTF-8.
+_CRC = """crc_steps as (
+  select list(list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) as steps
+  from (select unnest(range(256)) as b)),
+crc_of as (
+  select key, xor(4294967295, list_reduce(
+    list_transform(range(length(hex(encode(key))) // 2), lambda i: ('0x' || substr(hex(encode(key)), cast(2 * i + 1 as bigint), 2))::bigint),
+    lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]), 4294967295::bigint)) as crc
+  from (select distinct key from crc_keys), crc_steps)"""
+
+_IMPORTANCE_CHECK = rf"""
+with doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+target_words as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+source as (select doc_id, unnest(w) as key from doc_words),
+target as (select unnest(w) as key from target_words),
+crc_keys as (select key from source union select key from target),
+{_CRC},
+s as (select crc % 10000 as bucket, count(*) as s from source join crc_of using (key) group by 1),
+t as (select crc % 10000 as bucket, count(*) as t from target join crc_of using (key) group by 1),
+totals as (select (select coalesce(sum(s), 0) from s)::double as a, (select coalesce(sum(t), 0) from t)::double as b),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (a + 10000) / ((coalesce(s, 0)::double + 1) * (b + 10000)))) as gain
+  from s full join t using (bucket), totals),
+weights as (
+  select doc_id, sum(gain) as weight from source join crc_of using (key) join gains on gains.bucket = crc % 10000 group by doc_id),
+scored as (
+  select doc_id, len(w) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296))) as bigint) as score
+  from doc_words left join weights using (doc_id)),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank
+from scored left join ranked using (doc_id)
+"""
+
+
+@query(_IMPORTANCE_CHECK)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
