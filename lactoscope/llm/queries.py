@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lactoscope.llm import chat, compact_windows, html_text, importance, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
+from lactoscope.llm import chat, compact_windows, html_text, importance, metric_tree, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
 from lactoscope.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,20 @@ from scored left join ranked using (doc_id)
 @query(_IMPORTANCE_CHECK)
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TOP_CHECK = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, r.vec_id, cast(list_inner_product(q.v, r.v) as bigint) as score
+  from usable q join usable r on q.vec_id <> r.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, cast(place as int) as rank, vec_id, score from ranked where place <= 5
+"""
+
+
+@query(_TOP_CHECK)
+def op12_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
