@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lactoscope.llm import chat, compact_windows, html_text, importance, metric_tree, packing, quality, simhash, suffixes, token_counts, token_files, winnowing
+from lactoscope.llm import chat, compact_windows, html_text, importance, metric_tree, packing, quality, simhash, suffixes, token_counts, token_files, turn_repair, winnowing
 from lactoscope.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,74 @@ select query_id, cast(place as int) as rank, vec_id, score from ranked where pla
 @query(_TOP_CHECK)
 def op12_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# Costs and audits from each state to the end, from the last row back; an audit is compared as text.
+_REPAIR_CHECK = rf"""
+with recursive original as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+crc_keys as (select key from original),
+{_CRC},
+damaged as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role,
+    case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when f = 3 then 2 else 1 end)) as copy
+  from (select o.*, crc % 20 as f from original o join crc_of using (key)) where f <> 0),
+digested as (select *, sha256(coalesce(conv_id::varchar, ' ') || ':' || length(role) || ':' || role || text) as digest from damaged),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, digest, copy) as nth,
+    count(*) over (partition by conv_id) as n from digested),
+faulty as (
+  select *, case left(role, 1) when 's' then 1 when 'u' then 2 when 'a' then 3 else 0 end as kind,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when nth > 1 then 2
+      when regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') then 3 else 0 end as fault from placed),
+steps as (
+  select conv_id, max(n) + 1 as i, {{'c': 0, 'p': ''}} as v0, {{'c': 10, 'p': 'II'}} as vs, {{'c': 5, 'p': 'I'}} as vu, {{'c': 0, 'p': ''}} as va
+  from faulty group by conv_id
+  union all
+  select conv_id, i, list_min([b0, {{'c': 5 + nu.c, 'p': 'I' || nu.p}}]), list_min([bs, {{'c': 5 + nu.c, 'p': 'I' || nu.p}}]), nu,
+    list_min([ba, {{'c': 5 + bu.c, 'p': 'I' || bu.p}}])
+  from (
+    select *, list_min([bu, {{'c': 5 + ba.c, 'p': 'I' || ba.p}}]) as nu from (
+      select conv_id, i,
+        list_min([{{'c': 2 + v0.c, 'p': 'D' || v0.p}}, {{'c': far + 1 + vu.c, 'p': 'R' || vu.p}},
+          {{'c': far + vs.c + if(kind = 1, 0, 100000), 'p': 'K' || vs.p}}, {{'c': far + vu.c + if(kind = 2, 0, 100000), 'p': 'K' || vu.p}}]) as b0,
+        list_min([{{'c': 2 + vs.c, 'p': 'D' || vs.p}}, {{'c': far + 1 + vu.c, 'p': 'R' || vu.p}},
+          {{'c': far + vu.c + if(kind = 2, 0, 100000), 'p': 'K' || vu.p}}]) as bs,
+        list_min([{{'c': 2 + vu.c, 'p': 'D' || vu.p}}, {{'c': far + 1 + va.c, 'p': 'R' || va.p}},
+          {{'c': far + va.c + if(kind = 3, 0, 100000), 'p': 'K' || va.p}}]) as bu,
+        list_min([{{'c': 2 + va.c, 'p': 'D' || va.p}}, {{'c': far + 1 + vu.c, 'p': 'R' || vu.p}},
+          {{'c': far + vu.c + if(kind = 2, 0, 100000), 'p': 'K' || vu.p}}]) as ba
+      from (
+        select s.v0, s.vs, s.vu, s.va, f.conv_id, f.i, f.kind, case f.fault when 0 then 0 when 3 then 5 else 100000 end as far
+        from steps s join faulty f on f.conv_id is not distinct from s.conv_id and f.i = s.i - 1)))),
+letters as (
+  select conv_id, t, substr(p, t, 1) as letter, count(*) filter (substr(p, t, 1) <> 'I') over w as i, count(*) filter (substr(p, t, 1) <> 'D') over w as k
+  from (select conv_id, v0.p as p, unnest(range(1, length(v0.p) + 1)) as t from steps where i = 1)
+  window w as (partition by conv_id order by t)),
+written as (
+  select l.conv_id, t, letter, case when letter = 'I' then '' else text end as text,
+    case when letter = 'K' then role when (k + max(if(k = 1 and letter = 'K' and kind = 1, 1, 0)) over (partition by l.conv_id)) % 2 = 1 then 'user' else 'assistant' end as role
+  from letters l left join faulty f on l.conv_id is not distinct from f.conv_id and l.i = f.i),
+results as (
+  select conv_id, sha256(coalesce(string_agg(role || ':' || text, chr(10) order by t) filter (letter <> 'D'), '')) as repaired_sha256 from written group by conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+    count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from faulty) group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(s.v0.c, 0) as bigint) as cost, coalesce(s.v0.p, '') as audit,
+  coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on o.conv_id is not distinct from c.conv_id
+left join (select * from steps where i = 1) s on o.conv_id is not distinct from s.conv_id
+left join results r on o.conv_id is not distinct from r.conv_id
+"""
+
+
+@query(_REPAIR_CHECK)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(conversations, turn_repair.damaged(conversations))
