@@ -8,8 +8,8 @@ Rows are dealt to the nearest of a few pivots, fitted on a bounded sample, range
 by pivot and cut into pages of bounded size, however many rows a pivot has. A page is a tree
 of its own, built in one task and stored as one row: nodes and rows in order of the tree.
 
-A search goes best first: the open node with the highest possible score comes next, and the
-search ends when that is below the k-th best found. From the stored distance to the parent
+A search goes best first: the open node with the highest possible score comes next, with
+the queries whose k-th best found is below that; it ends when no node is open. From the stored distance to the parent
 alone, |d(q, parent) - d(parent, x)| <= d(q, x), most nodes and rows are passed over before
 any product with them is computed. Queries first search the page they lie in, which gives
 each a bound; blocks of queries then meet blocks of page heads, and only pages that may
@@ -228,7 +228,7 @@ def pages(dealt: DataFrame) -> DataFrame:
 
 
 class Page:
-    """A stored tree, searched for one query at a time."""
+    """A stored tree, searched for a block of queries at a time."""
 
     def __init__(self, row: dict):
         self.n, self.width, self.peak = row["rows"], row["width"], row["peak"]
@@ -246,87 +246,109 @@ class Page:
             self.squares = (self.vectors**2).sum(axis=1)
         self.computed = 0
 
-    def _products(self, query: np.ndarray, rows) -> np.ndarray:
-        """Products in doubles; exact where components are small enough."""
-        self.computed += len(rows) if not isinstance(rows, slice) else rows.stop - rows.start
-        with np.errstate(all="ignore"):
-            return self.vectors[rows] @ query
-
-    def search(self, query: np.ndarray, number: int, k: int, bound: float) -> tuple[list[tuple], float]:
-        """The ``k`` best rows but ``number`` of score ``bound`` or more, and the k-th best score.
+    def search(self, queries: np.ndarray, numbers: np.ndarray, k: int, bounds: np.ndarray) -> tuple[list[list[tuple]], np.ndarray]:
+        """For each query its ``k`` best rows of score ``bounds`` or more, and its new bound.
 
-        A row is (score, id, known, number). Best first: open nodes in order of the highest
-        score they may hold.
+        A row is (score, id, known, number); the row with the query's own number is left out.
+        Best first: the open node with the highest score that it may hold for any query comes
+        next, and brings along the queries that it may still serve.
         """
-        width = min(len(query), self.width)
-        q = np.zeros(self.width)
-        q[:width] = query[:width]
+        width = min(queries.shape[1], self.width)
+        q = np.zeros((len(queries), self.width))
+        q[:, :width] = queries[:, :width]
+        bounds, best = np.array(bounds, dtype=float), [[] for _ in queries]
         with np.errstate(all="ignore"):
-            square = float((query**2).sum())
-        exact = float(np.abs(query).max(initial=0.0)) * self.peak * max(width, 1) < _EXACT
-        length = square**0.5
-        best: list[tuple] = []
+            square = (queries**2).sum(axis=1)
+        exact = np.abs(queries).max(axis=1, initial=0.0) * self.peak * max(width, 1) < _EXACT
+        length = np.sqrt(square)
 
-        def highest(apart, norm, product=None, radius=0.0):
-            """An upper bound of q.x by distance and, with a routing product, by the ball."""
+        def highest(asked, apart, norm, product=None, radius=0.0):
+            """Upper bounds of q.x by distance and, with a routing product, by the ball."""
             with np.errstate(all="ignore"):
-                found = (square + norm**2 - np.maximum(apart, 0.0) ** 2) / 2
+                size = square[asked][:, None] + norm**2
+                found = (size - np.maximum(apart, 0.0) ** 2) / 2
                 if product is not None:
-                    found = np.fmin(found, product + length * radius)
-                found = found + _SLACK * (square + norm**2) + 1e-6
+                    found = np.fmin(found, product + length[asked][:, None] * radius)
+                found = found + _SLACK * size + 1e-6
                 return np.where(np.isnan(found), np.inf, found)
 
-        def apart_of(rows, products):
+        def routed(asked, rows):
+            """Products with routing rows, and distances to them."""
+            self.computed += len(asked) * len(rows)
             with np.errstate(all="ignore"):
-                return np.sqrt(np.maximum(square + self.squares[rows] - 2 * products, 0.0))
-
-        centre = self.spans[:1, 4]
-        product = self._products(q, centre)
-        away = apart_of(centre, product)
-        first = float(highest(away - self.radius[:1], self.norm[:1], product, self.radius[:1])[0])
-        heap = [(-first, 0, float(away[0]))]
+                product = q[asked] @ self.vectors[rows].T
+                return product, np.sqrt(np.maximum(square[asked][:, None] + self.squares[rows] - 2 * product, 0.0))
+
+        def taken(at: int, scores, rows):
+            """Rows of a leaf among the best of one query."""
+            listed = [(s, int(self.ids[r]), bool(self.known[r]), int(self.numbers[r])) for s, r in zip(scores, rows) if self.numbers[r] != numbers[at]]
+            merged = sorted(best[at] + listed, key=lambda x: (-x[0], not x[2], x[1], x[3]))[:k]
+            best[at] = merged
+            if len(merged) == k:
+                bounds[at] = max(bounds[at], _rounded_down(merged[-1][0]))
+
+        asked = np.arange(len(queries))
+        product, away = routed(asked, self.spans[:1, 4])
+        limit = highest(asked, away - self.radius[:1], self.norm[:1], product, self.radius[:1])[:, 0]
+        heap, turn = [(-limit.max(initial=-np.inf), 0, 0, asked, limit, away[:, 0])], 0
         while heap:
-            reachable, node, to_centre = heapq.heappop(heap)
-            if -reachable < bound:
-                break
+            _, _, node, asked, limit, to_centre = heapq.heappop(heap)
+            still = limit >= bounds[asked]
+            if not still.any():
+                continue
+            asked, to_centre = asked[still], to_centre[still]
             low, high, first_child, last_child, _ = self.spans[node].tolist()
             if first_child == last_child:
                 # Rows passed over by their stored distance to the leaf's routing row alone.
                 with np.errstate(all="ignore"):
                     norms = np.sqrt(self.squares[low:high])
-                    open_ = np.flatnonzero(highest(np.abs(to_centre - self.to_leaf[low:high]), norms) >= bound) + low
-                if not len(open_):
+                open_ = highest(asked, np.abs(to_centre[:, None] - self.to_leaf[low:high]), norms) >= bounds[asked][:, None]
+                rows, some = np.flatnonzero(open_.any(axis=0)) + low, open_.any(axis=1)
+                asked = asked[some]
+                if not len(asked):
                     continue
-                if exact:
-                    scores = self._products(q, open_)
-                    open_, scores = open_[scores >= bound], scores[scores >= bound]
-                    scores = scores.astype(np.int64).tolist()
-                else:
-                    self.computed += len(open_)
-                    whole = [int(v) for v in query[:width].tolist()]
-                    scores = [sum(int(v) * w for v, w in zip(self.vectors[r].tolist(), whole)) for r in open_.tolist()]
-                for r, score in zip(open_.tolist(), scores):
-                    if score >= bound and self.numbers[r] != number:
-                        best.append((score, int(self.ids[r]), bool(self.known[r]), int(self.numbers[r])))
-                best.sort(key=lambda x: (-x[0], not x[2], x[1], x[3]))
-                del best[k:]
-                if len(best) == k:
-                    bound = max(bound, best[-1][0])
+                self.computed += len(asked) * len(rows)
+                quick = asked[exact[asked]]
+                scores = q[quick] @ self.vectors[rows].T
+                least = bounds[quick]
+                if len(rows) > k + 1:
+                    # The best k and the query's own row are all that a leaf can add, ties included.
+                    least = np.maximum(least, np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)])
+                hits = scores >= least[:, None]
+                for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                    there = np.flatnonzero(hits[i])
+                    taken(int(quick[i]), scores[i, there].astype(np.int64).tolist(), rows[there].tolist())
+                for at in asked[~exact[asked]].tolist():
+                    whole = [int(v) for v in q[at].tolist()]
+                    sums = [sum(int(v) * w for v, w in zip(self.vectors[r].tolist(), whole)) for r in rows.tolist()]
+                    there = [i for i, s in enumerate(sums) if s >= bounds[at]]
+                    taken(at, [sums[i] for i in there], rows[there].tolist())
                 continue
             children = np.arange(first_child, last_child)
             # Nodes passed over by their routing row's stored distance to the parent's.
-            least = np.abs(to_centre - self.to_parent[children]) - self.radius[children]
-            children = children[highest(least, self.norm[children]) >= bound]
+            nearest = np.abs(to_centre[:, None] - self.to_parent[children]) - self.radius[children]
+            open_ = highest(asked, nearest, self.norm[children]) >= bounds[asked][:, None]
+            children, some = children[open_.any(axis=0)], open_.any(axis=1)
             if not len(children):
                 continue
-            centres = self.spans[children, 4]
-            product = self._products(q, centres)
-            away = apart_of(centres, product)
-            limits = highest(away - self.radius[children], self.norm[children], product, self.radius[children])
-            for child, limit, distance in zip(children.tolist(), limits.tolist(), away.tolist()):
-                if limit >= bound:
-                    heapq.heappush(heap, (-limit, child, distance))
-        return best, best[-1][0] if len(best) == k else bound
+            asked = asked[some]
+            product, away = routed(asked, self.spans[children, 4])
+            limits = highest(asked, away - self.radius[children], self.norm[children], product, self.radius[children])
+            for j, child in enumerate(children.tolist()):
+                still = limits[:, j] >= bounds[asked]
+                if still.any():
+                    turn += 1
+                    heapq.heappush(heap, (-limits[still, j].max(), turn, child, asked[still], limits[still, j], away[still, j]))
+        return best, bounds
+
+
+def _rounded_down(score: int) -> float:
+    """A double no greater than a score of any size."""
+    try:
+        near = float(score)
+    except OverflowError:
+        return float(np.finfo(float).max) if score > 0 else -np.inf
+    return near if near <= score else float(np.nextafter(near, -np.inf))
 
 
 _FOUND = "query long, query_id long, score long, id long, known boolean, number long"
@@ -346,13 +368,13 @@ def _at_home(trees: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 tree, out = Page(row), []
-                for r in tree.asked.tolist():
-                    best, bound = tree.search(tree.vectors[r], int(tree.numbers[r]), k, -np.inf)
-                    query, query_id = int(tree.numbers[r]), int(tree.ids[r])
-                    found = [dict(zip([n for n, _ in _FOUND_KINDS], x)) for x in _listed(query, query_id, best)]
-                    # As a double, the bound may only be rounded down.
-                    low = float(bound) if abs(bound) < _EXACT or np.isinf(bound) else float(np.nextafter(float(bound), -np.inf))
-                    out.append((query, query_id, row["page"], low, tree.vectors[r].tobytes(), found))
+                for at in range(0, len(tree.asked), QUERY_BLOCK):
+                    own = tree.asked[at : at + QUERY_BLOCK]
+                    found, bounds = tree.search(tree.vectors[own], tree.numbers[own], k, np.full(len(own), -np.inf))
+                    for r, best, bound in zip(own.tolist(), found, bounds.tolist()):
+                        query, query_id = int(tree.numbers[r]), int(tree.ids[r])
+                        listed = [dict(zip([n for n, _ in _FOUND_KINDS], x)) for x in _listed(query, query_id, best)]
+                        out.append((query, query_id, row["page"], bound, tree.vectors[r].tobytes(), listed))
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), kind]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
@@ -447,9 +469,11 @@ def _searched(trees: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 tree, out = Page(row), []
-                for q in _opened(row["content"]).to_pylist():
-                    best, _ = tree.search(np.frombuffer(q["values"]), q["query"], k, q["bound"])
-                    out += _listed(q["query"], q["query_id"], best)
+                asked = _opened(row["content"])
+                number, name = (asked.column(c).to_numpy() for c in ("query", "query_id"))
+                found, _ = tree.search(_matrix(asked.column("values").to_pylist()), number, k, asked.column("bound").to_numpy())
+                for query, query_id, best in zip(number.tolist(), name.tolist(), found):
+                    out += _listed(query, query_id, best)
                 columns = list(zip(*out)) or [()] * len(_FOUND_KINDS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FOUND_KINDS)], [n for n, _ in _FOUND_KINDS])
 
