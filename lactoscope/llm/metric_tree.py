@@ -270,7 +270,8 @@ class Page:
                 if product is not None:
                     found = np.fmin(found, product + length[asked][:, None] * radius)
                 found = found + _SLACK * size + 1e-6
-                return np.where(np.isnan(found), np.inf, found)
+                # Scores are cut to 64 bits, so none is below the least of those.
+                return np.where(np.isnan(found), np.inf, np.maximum(found, -float(1 << 63)))
 
         def routed(asked, rows):
             """Products with routing rows, and distances to them."""
@@ -320,7 +321,7 @@ class Page:
                     taken(int(quick[i]), scores[i, there].astype(np.int64).tolist(), rows[there].tolist())
                 for at in asked[~exact[asked]].tolist():
                     whole = [int(v) for v in q[at].tolist()]
-                    sums = [sum(int(v) * w for v, w in zip(self.vectors[r].tolist(), whole)) for r in rows.tolist()]
+                    sums = [_cut(sum(int(v) * w for v, w in zip(self.vectors[r].tolist(), whole))) for r in rows.tolist()]
                     there = [i for i, s in enumerate(sums) if s >= bounds[at]]
                     taken(at, [sums[i] for i in there], rows[there].tolist())
                 continue
@@ -342,12 +343,13 @@ class Page:
         return best, bounds
 
 
+def _cut(score: int) -> int:
+    return max(-_LONG - 1, min(_LONG, score))
+
+
 def _rounded_down(score: int) -> float:
-    """A double no greater than a score of any size."""
-    try:
-        near = float(score)
-    except OverflowError:
-        return float(np.finfo(float).max) if score > 0 else -np.inf
+    """A double no greater than a score."""
+    near = float(score)
     return near if near <= score else float(np.nextafter(near, -np.inf))
 
 
@@ -356,7 +358,7 @@ _FOUND_KINDS = [("query", pa.int64()), ("query_id", pa.int64()), ("score", pa.in
 
 
 def _listed(query: int, query_id: int, best: list[tuple]) -> list[tuple]:
-    return [(query, query_id, max(-_LONG - 1, min(_LONG, s)), i, known, number) for s, i, known, number in best]
+    return [(query, query_id, *row) for row in best]
 
 
 def _at_home(trees: DataFrame, k: int) -> DataFrame:
@@ -451,7 +453,7 @@ def _visits(queries: DataFrame, heads: DataFrame) -> DataFrame:
                     away = np.sqrt(np.maximum(square + centre - 2 * product, 0.0))
                     limit = (square + norm**2 - np.maximum(away - radius, 0.0) ** 2) / 2
                     limit = np.fmin(limit, product + np.sqrt(square) * radius) + _SLACK * (square + norm**2) + 1e-6
-                    open_ = ~(limit < asked.column("bound").to_numpy()[:, None])
+                    open_ = ~(np.maximum(limit, -float(1 << 63)) < asked.column("bound").to_numpy()[:, None])
                 home = asked.column("page").to_numpy()[:, None] == heads.column("page").to_numpy()[None, :]
                 open_ &= ~home
                 for j in np.flatnonzero(open_.any(axis=0)).tolist():
@@ -488,9 +490,9 @@ def top_scores(table: DataFrame, asked: Column, k: int = 5, key: str = "vec_id",
     own. A score is the inner product of the components floor(scale * x). Ties go to the
     smaller id, a null id after all others; a repeated id stands for several rows and, as
     a query, for several lists. Vectors that are null or hold a null or non-finite component
-    take no part; missing components of a shorter vector count as 0. Scores are exact at
-    any size; beyond 64 bits they are reported as the nearest long. ``table`` has to be
-    stored; other columns are not read.
+    take no part; missing components of a shorter vector count as 0. Scores are exact; one
+    beyond 64 bits counts as the nearest long. ``table`` has to be stored; other columns
+    are not read.
     """
     spark = table.sparkSession
     rows = stored(quantized(table.select(key, vector, asked.alias("asked")), key, vector, F.col("asked"), scale))

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def database():
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     return connection
 
@@ -32,8 +32,8 @@ def test_query_equals_sql(spark, database, name):
 
 
 def test_one_query_for_each_operator():
-    assert [sum(name.startswith(f"op{n}_") for name in QUERIES) for n in range(1, 11)] == [1] * 10
-    assert len(QUERIES) == 10
+    assert [sum(name.startswith(f"op{n}_") for name in QUERIES) for n in range(1, 14)] == [1] * 13
+    assert len(QUERIES) == 13
 
 
 def test_pipeline(spark, tmp_path):
