@@ -113,9 +113,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         [("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32())]
         + [("doc_ids", pa.list_(kind)), ("lengths", pa.list_(pa.int64())), ("block_offsets", pa.list_(pa.int64())), ("payload", pa.binary())]
     )
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one key have to be split too, in the order of their texts.
+    rows = docs.select("doc_id", "text").withColumn("head", F.substring("text", 1, 64))
+    ordered = rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     with batches_of(docs.sparkSession, 256):
-        ordered.mapInArrow(run, text).write.option("compression", "zstd").parquet(path)
+        # Bit-packed ids hardly compress.
+        ordered.mapInArrow(run, text).write.option("compression", "none").parquet(path)
 
 
 def _arrow(kind) -> pa.DataType:
@@ -151,7 +154,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
-    placed = segments.join(shards, "shard").select("doc_ids", "lengths", "n_ids", "bits", "first_id", "shard_start", "payload")
+    # One row for each task that wrote, so the packed ids stay where they are read.
+    placed = segments.join(F.broadcast(shards), "shard").select("doc_ids", "lengths", "n_ids", "bits", "first_id", "shard_start", "payload")
     return placed.mapInArrow(run, f"doc_id {key.simpleString()}, start long, n_tokens long, ids binary")
 
 

@@ -17,8 +17,9 @@ import types
 
 import numpy as np
 
-# Pieces kept per worker process before the table is emptied (some 150 MB).
-KEPT_PIECES = 900_000
+# Pieces kept per worker process before the table is emptied (some 150 MB), none of them
+# longer than this many characters.
+KEPT_PIECES, KEPT_LENGTH = 900_000, 64
 # Characters that one of the libraries, but not Python's ASCII classes, takes as white space.
 _ODD = "\x1c-\x1f\x85\xa0  -     　"
 # White space, letters, digits and other signs of the plain alphabet: in a text of these
@@ -93,8 +94,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
-    def _pieces(self, text: str, table: dict, of) -> list[str] | None:
-        """The pieces of a text, each of them in the table; None for a text to encode whole."""
+    def _of_pieces(self, text: str, table: dict, of) -> list | None:
+        """What ``of`` gives for each piece of a text, by the table; None for a text to encode whole."""
         if self.cuts is None or self.special.search(text):
             return None
         plain = not _UNPLAIN.search(text)
@@ -106,7 +107,11 @@ class Encoder:
                 table.clear()
                 missing = list(set(pieces))
             table.update(zip(missing, map(of, self._merged(missing) if plain else self.encode(missing))))
-        return pieces
+        found = list(map(table.__getitem__, pieces))
+        for piece in missing:
+            if len(piece) > KEPT_LENGTH:
+                del table[piece]
+        return found
 
     def _merged(self, pieces: list[str]):
         """Ids of plain pieces, each a pre-token, from the tokenizer's own merges."""
@@ -119,16 +124,14 @@ class Encoder:
         return np.array(ids, dtype=np.uint32).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = self._pieces(text, self.known, self._packed)
-        if pieces is None:
+        found = self._of_pieces(text, self.known, self._packed)
+        if found is None:
             return np.array(self.encode([text])[0], dtype=np.uint32)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype=np.uint32)
+        return np.frombuffer(b"".join(found), dtype=np.uint32)
 
     def count(self, text: str) -> int:
-        pieces = self._pieces(text, self.counts, len)
-        if pieces is None:
-            return len(self.encode([text])[0])
-        return sum(map(self.counts.__getitem__, pieces))
+        found = self._of_pieces(text, self.counts, len)
+        return len(self.encode([text])[0]) if found is None else sum(found)
 
 
 def encoder(path: str) -> Encoder:
