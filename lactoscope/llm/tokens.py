@@ -73,7 +73,7 @@ class Encoder:
     """Ids or counts of whole texts, without begin, end or added special tokens."""
 
     def __init__(self, path: str):
-        self.cuts, self.special = None, None
+        self.cuts, self.special, self.lowers = None, None, False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -87,6 +87,8 @@ class Encoder:
                 spec = json.load(file)
             self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             self.cuts = _pieces_of(spec)
+            # Noted once: a later task brings new copies of this module's names.
+            self.lowers = self.cuts is _WORDS
             self.model, self.byte_signs = tokenizer.model, _byte_signs(spec, self.cuts)
             strings = [re.escape(t["content"]) for t in spec["added_tokens"]]
             self.special = re.compile("|".join([f"[{_ODD}]", *strings]))
@@ -100,7 +102,7 @@ class Encoder:
             return None
         plain = not _UNPLAIN.search(text)
         # Case is dropped by the words-only make; dropping it here lets pieces meet.
-        pieces = self.cuts[plain].findall(text.lower() if plain and self.cuts is _WORDS else text)
+        pieces = self.cuts[plain].findall(text.lower() if plain and self.lowers else text)
         missing = [p for p in set(pieces) if p not in table]
         if missing:
             if len(table) > KEPT_PIECES:

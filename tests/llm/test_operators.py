@@ -43,6 +43,18 @@ def test_encoder_equals_library(library, name):
         assert ours.ids(text).tolist() == ids and ours.count(text) == len(ids), repr(text)
 
 
+def test_encoder_of_an_earlier_task_serves_later_ones(library):
+    """A worker keeps the encoder; each task brings its own copy of the module."""
+    from pyspark import cloudpickle
+
+    path, text = tokenizer_file(WORD_TOKENIZER), "Ein Wort, Noch EIN Wort."
+    sent = cloudpickle.dumps(encoder)
+    expected = library[WORD_TOKENIZER].encode(text, add_special_tokens=False).ids
+    for _ in range(3):
+        assert cloudpickle.loads(sent)(path).ids(text).tolist() == expected
+        encoder(path).known.clear()
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000)
