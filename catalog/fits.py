@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from catalog.base import (
     BACKWARD_FIRST,
     CURVE,
+    ECM,
     FIT_ROWS,
     FORWARD_FIRST,
     INPUTS,
@@ -32,13 +33,13 @@ from catalog.base import (
 from lactoscope.functions.expressions import PARAMETERS, group_name, level_too_low, no_convergence
 from lactoscope.operators import fit, history
 from lactoscope.operators.profile import summary
-from lactoscope.operators.score import select_fits
+from lactoscope.operators.score import predict_each, select_fits, with_residual
 from lactoscope.operators.search import Grid, constrained_minimum
 from lactoscope.operators.search import global_search as search_globally
 from lactoscope.operators.search import grid_search as search_grid
 from lactoscope.plans import group_model as group_plan
 from lactoscope.plans import lactation_model, median_model, sql_model
-from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, LACTATION_FIT, UNBOUNDED_FIT, FitSettings
+from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, LACTATION_FIT, SINGLE_ANIMAL_FIT, UNBOUNDED_FIT, FitSettings
 from lactoscope.sources.sample_mapping import mapped_test_days
 from lactoscope.sources.tables import rename_test_days
 
@@ -88,6 +89,85 @@ def fitted(check_parts, points: str, settings: FitSettings, select: str, steps:
     return "with recursive " + ",\n".join([*check_parts, pattern_search(points, settings, steps, starts)]) + "\n" + select
 
 
+def projected_search(points: str, settings: FitSettings, grid: tuple[int, int] = (72, 121), rounds: int = 36) -> str:
+    """Recursive SQL for the least loss inside bounds over all b and d; ``points`` has columns g, t, w, y.
+
+    For fixed b and d the curve is linear in a and a * k, and the best two inside the bounds
+    of a and c have a closed form. The loss left over is laid out on a fine grid of log b
+    and d. From the floors along b, Newton's steps on a stencil of nine places follow, or
+    the best of the nine where the ground is not bent upwards.
+    """
+    low, high = settings.lower, settings.upper
+    floor = max(low[1], 0.05)
+    nb, nd = grid
+
+    def best_pair(source: str, keep: str) -> str:
+        edge = "greatest(least(coalesce((r1 - {k} * r2) / nullif(s11 - 2 * {k} * s12 + {k} * {k} * s22, 0), 0), {hi}), {lo})"
+        sides = [edge.format(k=k, lo=repr(low[0]), hi=repr(high[0])) for k in ("k0", "k1")]
+        level = "greatest(least(coalesce(({a} * s12 - r2) / nullif(s22, 0), 0), k1 * {a}), k0 * {a})"
+        pairs = [
+            ("if(inside, fa, 0)", "if(inside, fb, 0)", "if(inside, 0, 1e300)"),
+            (sides[0], f"k0 * {sides[0]}", "0"),
+            (sides[1], f"k1 * {sides[1]}", "0"),
+            *[(repr(a), level.format(a=repr(a)), "0") for a in (low[0], high[0])],
+        ]
+        tried = ", ".join(f"{{'x': {x}, 'y': {y}, 'more': {more}}}" for x, y, more in pairs)
+        return f"""select {keep}, list_min(list_transform([{tried}],
+      lambda p: p.more + yy + p.x * (p.x * s11 - 2 * p.y * s12 - 2 * r1) + p.y * (p.y * s22 + 2 * r2))) as loss
+    from (select *, det > 1e-11 * s11 * s22 and fa between {low[0]!r} and {high[0]!r} and fb >= k0 * fa and fb <= k1 * fa as inside
+      from (select *, (r1 * s22 - r2 * s12) / nullif(det, 0) as fa, (r1 * s12 - r2 * s11) / nullif(det, 0) as fb
+        from (select *, s11 * s22 - s12 * s12 as det, exp(least(greatest(({low[2]!r} - t0) / exp(u), -300), 300)) / 2 as k0,
+          exp(least(greatest(({high[2]!r} - t0) / exp(u), -300), 300)) / 2 as k1 from ({source}))))"""
+
+    sums = """sum(w * f * f) as s11, sum(w * f * f * h) as s12, sum(w * f * f * h * h) as s22, sum(w * y * f) as r1, sum(w * y * f * h) as r2"""
+    on_grid = f"""select g, u, d, any_value(t0) as t0, any_value(yy) as yy, {sums}
+      from (select p.*, u, d, exp(-d * t) as f, exp(-(t - t0) / exp(u)) as h from points p, us, ds) group by g, u, d"""
+    around = f"""select g, v, i, j, any_value(t0) as t0, any_value(yy) as yy, any_value(turn) as turn, any_value(hu) as hu, any_value(hd) as hd,
+        any_value(bu) as bu, any_value(bd) as bd, any_value(bl) as bl, any_value(cu) as cu, any_value(cd) as cd, any_value(u) as u, any_value(d) as d, {sums}
+      from (select *, exp(-d * t) as f, exp(-(t - t0) / exp(u)) as h from (
+        select p.*, s.v, s.turn, s.hu, s.hd, s.bu, s.bd, s.bl, s.cu, s.cd, i, j,
+          least(greatest(s.cu + i * s.hu, ln({floor})), ln({high[1]!r}::double)) as u, least(greatest(s.cd + j * s.hd, {low[3]!r}), {high[3]!r}) as d
+        from way, search s join points p on p.g = s.g where s.turn < {rounds})) group by g, v, i, j"""
+    nine = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    names = {(i, j): f"f{'mop'[i + 1]}{'mop'[j + 1]}" for i, j in nine}
+    pivots = ", ".join(f"max(loss) filter (i = {i} and j = {j}) as {names[i, j]}" for i, j in nine)
+    return f"""raw_points as ({points}),
+points as materialized (select *, min(t) over (partition by g) as t0, sum(w * y * y) over (partition by g) as yy from raw_points),
+us as (select ln({floor}) + (ln({high[1]!r}::double) - ln({floor})) * i / {nb - 1} as u from range({nb}) x(i)),
+ds as (select {low[3]!r} + ({high[3]!r} - {low[3]!r}) * i / {nd - 1} as d from range({nd}) x(i)),
+floors as (select g, u, min_by(d, loss) as d, min(loss) as loss from ({best_pair(on_grid, 'g, u, d')}) group by g, u),
+valleys as (
+  select *, row_number() over (partition by g order by loss) as v from (
+    select *, lag(loss) over w as before, lead(loss) over w as after from floors window w as (partition by g order by u))
+  where (before is null or loss < before) and (after is null or loss <= after)),
+way as (select i.i as i, j.i as j from (values (-1), (0), (1)) i(i), (values (-1), (0), (1)) j(i)),
+search as (
+  select g, v, 0 as turn, (ln({high[1]!r}::double) - ln({floor})) / {nb - 1} as hu, ({high[3]!r} - {low[3]!r}) / {nd - 1} as hd,
+    u as bu, d as bd, 1e300::double as bl, u as cu, d as cd from valleys where v <= 4
+  union all
+  select g, v, turn + 1, hu * case when worse then 0.25 when newton then 0.5 when stays then 0.4 else 1 end,
+    hd * case when worse then 0.25 when newton then 0.5 when stays then 0.4 else 1 end, nu, nd, least(bl, lowest),
+    case when worse then nu when newton then least(greatest(cu + su * hu, ln({floor})), ln({high[1]!r}::double)) else nu end,
+    case when worse then nd when newton then least(greatest(cd + sd * hd, {low[3]!r}), {high[3]!r}) else nd end
+  from (
+    select *, not worse and (bent and abs(su) <= 3 and abs(sd) <= 3) as newton, lowest >= foo as stays from (
+      select *, lowest >= bl and turn > 0 and not (foo <= lowest and foo <= bl + 1e-13 * abs(bl)) as worse,
+        if(lowest < bl, lu, bu) as nu, if(lowest < bl, ld, bd) as nd,
+        if(flat_u, false, true) and if(flat_d, false, true) and huu > 0 and det > 1e-9 * huu * hdd
+          or flat_u and not flat_d and hdd > 0 and fm >= foo or flat_d and not flat_u and huu > 0 and fn >= foo as bent,
+        case when flat_u then 0 when flat_d then -gu / nullif(huu, 0) else -(hdd * gu - hud * gd) / nullif(det, 0) end as su,
+        case when flat_d then 0 when flat_u then -gd / nullif(hdd, 0) else -(huu * gd - hud * gu) / nullif(det, 0) end as sd
+      from (
+        select *, huu * hdd - hud * hud as det, least(fpo, fmo) as fm, least(fop, fom) as fn from (
+          select *, (fpo - fmo) / 2 as gu, (fop - fom) / 2 as gd, fpo + fmo - 2 * foo as huu, fop + fom - 2 * foo as hdd, (fpp - fpm - fmp + fmm) / 4 as hud,
+            cu - hu < ln({floor}) or cu + hu > ln({high[1]!r}::double) as flat_u, cd - hd < {low[3]!r} or cd + hd > {high[3]!r} as flat_d
+          from (
+            select g, v, any_value(turn) as turn, any_value(hu) as hu, any_value(hd) as hd, any_value(bu) as bu, any_value(bd) as bd, any_value(bl) as bl,
+              any_value(cu) as cu, any_value(cd) as cd, min(loss) as lowest, min_by(u, loss) as lu, min_by(d, loss) as ld, {pivots}
+            from ({best_pair(around, 'g, v, i, j, turn, hu, hd, bu, bd, bl, cu, cd, u, d')}) group by g, v)))))),
+least_loss as (select g, greatest(min(bl), 0) as loss from search where turn = {rounds} group by g)"""
+
+
 _SHOWN = "round(a, 3) as a, round(b, 2) as b, round(c, 2) as c, round(d, 6) as d, round(loss, 1) as between_days"
 _SHOWN_WIDE = _SHOWN.replace("round(b, 2)", "round(b, 1)").replace("round(c, 2)", "round(c, 1)")
 
@@ -275,12 +355,81 @@ def fitted_lactations(spark, sf_dir):
     return fits.select(*lactation_model.KEYS, "records", "npoints", "last_dim")
 
 
-@query()
+def _lactation_points(keys: str, sigma: str, rows: str, also: str = "") -> str:
+    """Points per lactation for the search, named by a text of the keys."""
+    return f"""select {keys} as g, DIM::double as t, count(*) / any_value({sigma} * {sigma}) as w, avg({ECM}) as y
+  from {rows} where PCTF is not null and PCTP is not null {also} group by g, DIM"""
+
+
+_KEY = "concat_ws('|', BDAT, ID, LACT)"
+_SIGMA = "(case when DIM > 30 then 1e0 else 1.5e0 end)"
+
+
+def _fit_losses(key: str, sigma: str) -> str:
+    """Per lactation: counts, and the part of the loss that lies inside days."""
+    return f"""days as (select {key} as g, DIM, count(*) as records, count(y) as n, var_pop(y) * count(y) / any_value({sigma} * {sigma}) as within
+    from (select *, {ECM} as y from filled) group by g, DIM),
+  counted as (select g, sum(records) as records, sum(n) as npoints, max(DIM) filter (n > 0) as last_dim, sum(within) as within from days group by g)"""
+
+
+_NO_NULL_KEYS = "and BDAT is not null and ID is not null and LACT is not null"
+_LACTATION_SEARCH = [
+    *RAW,
+    TO_FILL_1_399,
+    FORWARD_FIRST,
+    _fit_losses(_KEY, _SIGMA),
+    projected_search(_lactation_points(_KEY, _SIGMA, "filled", _NO_NULL_KEYS), LACTATION_FIT, (24, 41)),
+    f"fitted as (select c.*, sqrt((l.loss + c.within) / c.npoints) as error from counted c join least_loss l on c.g = l.g where records >= {LACTATION_FIT.min_points})",
+]
+_LACTATION_LOSSES = "with recursive " + ",\n".join(_LACTATION_SEARCH)
+
+
+def _with_error(fits):
+    """Fits with the weighted root mean square error of their curves."""
+    return fits.withColumn("error", F.sqrt(F.col("weighted_sse") / F.col("npoints")))
+
+
+@query(
+    _LACTATION_LOSSES
+    + """
+select g, cast(records as bigint) as records, cast(npoints as bigint) as npoints, last_dim, round(error, 2) as error,
+  cast(if(npoints <= 4, 2, 0) as int) as status, cast(0 as int) as no_convergence from fitted"""
+)
 def fit_lactations(spark, sf_dir):
-    """Curve and fit statistics per lactation."""
-    fits = lactation_model.fit_lactations(mapped_test_days(spark, sf_dir)).drop("covariance")
-    fits = fit.with_fallback(fits.withColumn("no_convergence", no_convergence()))
-    return fits.withColumn("level_too_low", level_too_low())
+    """Error and outcome of the best curve of every lactation."""
+    fits = _with_error(lactation_model.fit_lactations(mapped_test_days(spark, sf_dir)))
+    name = F.concat_ws("|", *lactation_model.KEYS).alias("g")
+    return fits.select(name, "records", "npoints", "last_dim", F.round("error", 2).alias("error"), "status", no_convergence().alias("no_convergence"))
+
+
+@query(
+    _LACTATION_LOSSES
+    + """, picked as (select unnest([('error > 15', error > 15), ('error < 5', error < 5), ('error > 20', error > 20), ('last_dim < 150', last_dim < 150),
+  ('last_dim > 300', last_dim > 300), ('npoints < 6', npoints < 6), ('npoints > 10', npoints > 10)]) as p from fitted)
+select p[1] as rule, count(*) filter (p[2]) as lactations from picked group by p[1]"""
+)
+def fit_error_selection(spark, sf_dir):
+    """How many lactations each rule on the error or the coverage of their fits selects."""
+    fits = _with_error(lactation_model.fit_lactations(mapped_test_days(spark, sf_dir)))
+    rules = ("error > 15", "error < 5", "error > 20", "last_dim < 150", "last_dim > 300", "npoints < 6", "npoints > 10")
+    counted = fits.agg(*[F.count_if(F.expr(rule)).alias(rule) for rule in rules])
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("lactations")) for rule in rules])
+    return counted.select(F.inline(pairs))
+
+
+@query(
+    _LACTATION_LOSSES
+    + """
+select cast(split_part(g, '|', 3) as int) as LACT, cast(sum(npoints) as bigint) as n, round(sqrt(sum(error * error * npoints) / sum(npoints)), 3) as error
+from fitted where npoints > 0 group by 1"""
+)
+def fit_residuals_by_lactation(spark, sf_dir):
+    """Weighted error per lactation number, from the residual of every record to its own fitted curve."""
+    events = mapped_test_days(spark, sf_dir)
+    rows = lactation_model.lactation_records(events, LACTATION_FIT.min_points).select(*lactation_model.KEYS, "DIM", "ECM", "SIGMA")
+    residuals = with_residual(predict_each(rows, lactation_model.fit_lactations(events), lactation_model.KEYS))
+    square = F.pow(F.col("error") / F.col("SIGMA"), 2)
+    return residuals.groupBy("LACT").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(square)), 3).alias("error"))
 
 
 @query()
@@ -326,12 +475,49 @@ def fit_case_counts(spark, sf_dir):
     )
 
 
-@query()
+_HERD_FILE_COUNTS = """(select BDAT, ID, LACT, count(*) as records, count({ECM}) as usable, bool_or(isinf({ECM})) as endless
+  from filled where BDAT is not null and ID is not null and LACT is not null group by BDAT, ID, LACT)""".replace("{ECM}", ECM)
+
+
+@query(
+    check(
+        *RAW,
+        "to_fill as (select * from named where MILK is not null)",
+        BACKWARD_FIRST,
+        select=f"""select count(*) as cases, count(*) filter (records < 4 or usable = 0) as too_few_points, cast(0 as bigint) as failed,
+  count(*) filter (records >= 4 and usable between 1 and 4) as no_covariance from {_HERD_FILE_COUNTS}""",
+    )
+)
 def fit_outcomes(spark, sf_dir):
     """Outcome counts of the herd file fits: failed and without covariance, too."""
     return fit.fit_outcomes(lactation_model.herd_file_fits(_file_records(spark, sf_dir)))
 
 
+_ENDLESS = "EarTag % 7 = 3 and DIM % 5 = 2"
+
+
+@query(
+    check(
+        *RAW,
+        f"to_fill as (select * replace (if({_ENDLESS.replace('EarTag', 'ID::int')}, 'inf'::double, MILK) as MILK) from named where MILK is not null)",
+        BACKWARD_FIRST,
+        select=f"""select cast(case when records < 4 or usable = 0 then 3 when endless then 1 when usable <= 4 then 2 else 0 end as int) as status,
+  cast(case when records >= 4 and endless then 1 else 0 end as int) as no_convergence, count(*) as cases,
+  cast(case when records < 4 or usable = 0 or not endless then null else 0 end as double) as a,
+  cast(case when records < 4 or usable = 0 or not endless then null else 10 end as double) as b from {_HERD_FILE_COUNTS} group by all""",
+    )
+)
+def failed_fits(spark, sf_dir):
+    """Outcomes where some yields are endless: such fits fail, are flagged and get the fallback values."""
+    rows = _file_records(spark, sf_dir)
+    rows = rows.withColumn("MILK", F.when(F.expr(_ENDLESS), F.lit(float("inf"))).otherwise(F.col("MILK")))
+    fits = lactation_model.herd_file_fits(rows)
+    flag = F.when(F.col("status") == 1, 1).otherwise(0).alias("no_convergence")
+    given = fit.with_fallback(fits)
+    shown = [F.when(F.col("status") == 1, F.col(p)).alias(p) for p in ("a", "b")]
+    return given.select("status", flag, *shown).groupBy("status", "no_convergence", "a", "b").agg(F.count(F.lit(1)).alias("cases"))
+
+
 # Test days without noise: constant components, and the yield that puts ECM on a known curve.
 _KNOWN_ECM = "(25 + 5 * (LactationNumber % 7)) * (1 - exp((LactationNumber % 4 - 2 - DIM) / (15 + 5 * (LactationNumber % 5))) / 2) * exp(-(0.0005 + 0.0003 * (LactationNumber % 4)) * DIM)"
 
@@ -374,10 +560,29 @@ def known_lactation_curves(spark, sf_dir):
     return _with_worst_error(fits, lactation_model.fit_residuals(events, fits), lactation_model.KEYS)
 
 
-@query()
+_BIRTH_KEY, _LATE_SIGMA = "concat_ws('|', BDAT, LACT)", "(case when DIM > 60 then 1e0 else 1.5e0 end)"
+
+
+@query(
+    "with recursive "
+    + ",\n".join(
+        [
+            *RAW,
+            "filled as (select * from named where MILK is not null and BDAT is not null and LACT is not null and DIM is not null)",
+            _fit_losses(_BIRTH_KEY, _LATE_SIGMA),
+            projected_search(_lactation_points(_BIRTH_KEY, _LATE_SIGMA, "filled"), SINGLE_ANIMAL_FIT, (48, 81)),
+        ]
+    )
+    + f"""
+select c.g, cast(records as bigint) as records, cast(npoints as bigint) as npoints,
+  cast(case when records < {SINGLE_ANIMAL_FIT.min_points} or npoints = 0 then 3 when npoints <= 4 then 2 else 0 end as int) as status,
+  case when records >= {SINGLE_ANIMAL_FIT.min_points} and npoints > 0 then round(sqrt((loss + within) / npoints), 1) end as error
+from counted c left join least_loss l on c.g = l.g"""
+)
 def fit_birth_dates(spark, sf_dir):
-    """Curve and fit statistics per birth date and lactation, started at the peak."""
-    return lactation_model.single_animal_fits(_file_records(spark, sf_dir)).drop("covariance")
+    """Error and outcome per birth date and lactation."""
+    fits = _with_error(lactation_model.single_animal_fits(_file_records(spark, sf_dir)))
+    return fits.select(F.concat_ws("|", "BDAT", "LACT").alias("g"), "records", "npoints", "status", F.round("error", 1).alias("error"))
 
 
 SMALL_GRID = Grid(a=(50.0, 90.0, 5), b=(10.0, 30.0, 3), c=(-4.0, 0.0, 3), d=(0.0005, 0.0035, 4), product_limit=0.06)

@@ -22,11 +22,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lactoscope.operators import solver
+from lactoscope.operators import projection, solver
 from lactoscope.settings import GROUP_FIT, HERD_CODE, FitSettings, Settings
 
 # Executors get the solver with the task and need no installed copy of it.
-for _module in (solver, sys.modules[__name__]):
+for _module in (solver, projection, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 _POINT = ("t", "sigma", "records", "n", "mean", "spread", "peak")
@@ -156,7 +156,9 @@ def fit_points(
 
     Every key gives one row: with parameters, or with null ones and the reason in
     ``status`` (0 fitted, 1 failed, 2 fitted without covariance, 3 too few points).
-    ``within_days`` is the part of ``weighted_sse`` that no curve can remove.
+    ``within_days`` is the part of ``weighted_sse`` that no curve can remove. With
+    ``everywhere`` the least loss inside the bounds is found whatever the start, and a fit
+    fails only on values that are not finite.
     """
     keys = list(keys)
     series = F.array_sort(F.collect_list(F.struct(*_POINT)))
@@ -226,10 +228,9 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
         rows, start = rows[enough], start[enough]
         t, y, weight = matrix("t")[enough], mean[enough], (n / sigma**2)[enough]
         lower, upper = np.asarray(settings.lower), np.asarray(settings.upper)
-        starts = solver.spread_starts(start, lower, upper, settings.extra_starts)
-        fitted, mean_loss, used, converged, jacobian = solver.fit_from_starts(
-            t, y, weight, starts, lower, upper, settings.max_iterations
-        )
+        everywhere = settings.everywhere and projection.solvable(lower, upper)
+        solve = projection.fit_projected if everywhere else solver.fit_batch
+        fitted, mean_loss, used, converged, jacobian = solve(t, y, weight, start, lower, upper, settings.max_iterations)
         within = within[enough]
         pure[rows] = (within / sigma[enough] ** 2).sum(axis=1)
         total = mean_loss + pure[rows]

@@ -117,35 +117,6 @@ def fit_batch(t, y, w, start, lower, upper, max_iterations: int = 500):
     return p, loss, iterations, converged, jac.transpose(0, 2, 1)
 
 
-def fit_from_starts(t, y, w, starts, lower, upper, max_iterations: int = 500):
-    """``fit_batch`` from each of several starts; of every row the converged fit of least loss.
-
-    A later start has to be better by more than rounding. ``iterations`` are summed up.
-    """
-    best = fit_batch(t, y, w, starts[0], lower, upper, max_iterations)
-    for start in starts[1:]:
-        other = fit_batch(t, y, w, start, lower, upper, max_iterations)
-        better = np.where(best[3] == other[3], other[1] < best[1] * (1 - 1e-9), other[3])
-        turns = best[2] + other[2]
-        p, loss, _, converged, jacobian = (
-            np.where(better.reshape(-1, *[1] * (old.ndim - 1)), new, old) for old, new in zip(best, other)
-        )
-        best = p, loss, turns, converged, jacobian
-    return best
-
-
-def spread_starts(start: np.ndarray, lower: np.ndarray, upper: np.ndarray, count: int) -> list[np.ndarray]:
-    """The start and ``count`` more, whose b, c and d are spread evenly between finite bounds."""
-    # Powers of the root of x**4 = x + 1: steps that fill a cube evenly.
-    steps = 1.2207440846057596 ** -np.arange(1.0, 4.0)
-    starts = [start]
-    for k in range(1, count + 1):
-        further = start.copy()
-        further[:, 1:] = lower[1:] + (0.5 + k * steps) % 1.0 * (upper[1:] - lower[1:])
-        starts.append(further)
-    return starts
-
-
 def _step(normal, gradient, held, damping):
     """Damped step over free parameters; held ones stay where they are."""
     free = ~held

@@ -35,8 +35,8 @@ class FitSettings:
     start_at_peak: bool = False
     min_points: int = 1  # records a group needs, known value or not
     max_iterations: int = 500
-    # Few points allow several minima: further starts, spread between the bounds of b, c and d.
-    extra_starts: int = 0
+    # Few points allow several minima: search all of b and d for the least, whatever the start.
+    everywhere: bool = False
 
 
 _INF = math.inf
@@ -48,7 +48,7 @@ LACTATION_FIT = FitSettings(
     lower=(0.0, 10.0, -5.0, 0.0),
     upper=(500.0, 50.0, 6.0, 0.002),
     min_points=5,
-    extra_starts=3,
+    everywhere=True,
 )
 EARLY_MEDIAN_FIT = FitSettings(
     start=(90.0, 10.0, -5.0, 0.001),
@@ -60,7 +60,7 @@ HERD_FILE_FIT = FitSettings(
     lower=(0.0, 1.0, -250.0, 0.0),
     upper=(500.0, 500.0, 200.0, 0.01),
     min_points=4,
-    extra_starts=3,
+    everywhere=True,
 )
 SINGLE_ANIMAL_FIT = FitSettings(
     start=(90.0, 100.0, -15.0, 0.002),
@@ -68,7 +68,7 @@ SINGLE_ANIMAL_FIT = FitSettings(
     upper=(200.0, 100.0, 1000.0, 0.01),
     start_at_peak=True,
     min_points=4,
-    extra_starts=3,
+    everywhere=True,
 )
 COVERAGE_FIT = FitSettings(
     start=(90.0, 100.0, -15.0, 0.002),
