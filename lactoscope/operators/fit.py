@@ -91,10 +91,11 @@ def with_herd_level(points: DataFrame, by: Sequence[str] = (), group: str = "LAG
     return levels.select(*by, group, *[_unmarked(name) for name in _POINT])
 
 
-def merge_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Points of finer keys put together to points per key, day and sigma."""
-    merged = points.groupBy(*keys, "t", "sigma").agg(*_merged())
-    return merged.select(*keys, *[_unmarked(name) for name in _POINT])
+def merge_points(points: DataFrame, keys: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
+    """Points of finer keys put together to points per key, day and sigma; ``also`` adds aggregates."""
+    merged = points.groupBy(*keys, "t", "sigma").agg(*_merged(), *also)
+    others = [c for c in merged.columns[len(keys) + 2 + len(_POINT) - 2 :]]
+    return merged.select(*keys, *[_unmarked(name) for name in _POINT], *others)
 
 
 def _merged() -> list[Column]:
@@ -129,10 +130,26 @@ def accepted_points(
     acceptance rules is then a sum over its few days, so the records are read once
     and need not be joined to the list of accepted lactations.
     """
+    return accept_days(lactation_days(records, group, settings, by, value, dim, sigma), group, settings, by)
+
+
+def lactation_days(
+    records: DataFrame,
+    group: str,
+    settings: Settings = Settings(),
+    by: Sequence[str] = (),
+    value: str = "ECM",
+    dim: str = "DIM",
+    sigma: str = "SIGMA",
+) -> DataFrame:
+    """Points per lactation and group, with the number of records that count for acceptance.
+
+    These points can be merged with later ones of the same lactations.
+    """
     lactation = [*by, *settings.lactation_keys]
     accepts = F.count_if(F.expr(f"({settings.accept_ecm}) and ({settings.accept_dim})"))
     usable = F.expr(settings.fit_rows)
-    days = day_points(
+    return day_points(
         records.dropna(subset=lactation).withColumn("_value", F.when(usable, F.col(value))),
         [*lactation, group],
         "_value",
@@ -140,7 +157,11 @@ def accepted_points(
         sigma,
         [accepts.alias("accepted_rows")],
     )
-    accepted = F.sum("accepted_rows").over(W.partitionBy(*lactation))
+
+
+def accept_days(days: DataFrame, group: str, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
+    """Points per group of the lactations whose days meet the acceptance rules."""
+    accepted = F.sum("accepted_rows").over(W.partitionBy(*by, *settings.lactation_keys))
     rows = days.withColumn("count", accepted).where(settings.accept_count).where("n > 0")
     # Only records with a value take part in the fit.
     return merge_points(rows.withColumn("records", F.col("n")), [*by, group])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,6 +146,39 @@ def write_result(frame: DataFrame, path: str, partition_by: Sequence[str] = ())
     writer.parquet(path)
 
 
+def replace_partitions(frame: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace the stored partitions that the rows name; all others keep their files.
+
+    ``frame`` must not read from ``path`` itself.
+    """
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table, or no rows where nothing has been stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replace_in_table(frame: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
+    """Replace those partitions of a catalog table that the rows name, and read it back.
+
+    The table is made at its first use; its partition columns come last.
+    """
+    spark = frame.sparkSession
+    ordered = frame.select(*[c for c in frame.columns if c not in by], *by)
+    if spark.catalog.tableExists(name):
+        ordered.write.mode("overwrite").insertInto(name)
+    else:
+        # Kept with the table, so every later overwrite replaces only the partitions it names.
+        ordered.write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).saveAsTable(name)
+    return spark.table(name)
+
+
 def save_table(frame: DataFrame, name: str) -> DataFrame:
     """Replace a catalog table by the rows of a DataFrame and read it back."""
     frame.write.mode("overwrite").saveAsTable(name)
