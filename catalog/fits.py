@@ -7,6 +7,7 @@ form at every trial.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -89,13 +90,14 @@ def fitted(check_parts, points: str, settings: FitSettings, select: str, steps:
     return "with recursive " + ",\n".join([*check_parts, pattern_search(points, settings, steps, starts)]) + "\n" + select
 
 
-def projected_search(points: str, settings: FitSettings, grid: tuple[int, int] = (72, 121), rounds: int = 36) -> str:
+def projected_search(points: str, settings: FitSettings, grid: tuple[int, int] = (72, 121), rounds: int = 36, limit: float | None = None) -> str:
     """Recursive SQL for the least loss inside bounds over all b and d; ``points`` has columns g, t, w, y.
 
     For fixed b and d the curve is linear in a and a * k, and the best two inside the bounds
     of a and c have a closed form. The loss left over is laid out on a fine grid of log b
     and d. From the floors along b, Newton's steps on a stencil of nine places follow, or
-    the best of the nine where the ground is not bent upwards.
+    the best of the nine where the ground is not bent upwards. With a limit on b * d, groups
+    whose least loss breaks it have the least of many places on b * d = limit, where it lies.
     """
     low, high = settings.lower, settings.upper
     floor = max(low[1], 0.05)
@@ -128,6 +130,13 @@ def projected_search(points: str, settings: FitSettings, grid: tuple[int, int] =
         select p.*, s.v, s.turn, s.hu, s.hd, s.bu, s.bd, s.bl, s.cu, s.cd, i, j,
           least(greatest(s.cu + i * s.hu, ln({floor})), ln({high[1]!r}::double)) as u, least(greatest(s.cd + j * s.hd, {low[3]!r}), {high[3]!r}) as d
         from way, search s join points p on p.g = s.g where s.turn < {rounds})) group by g, v, i, j"""
+    edge = f"""select g, u, d, any_value(t0) as t0, any_value(yy) as yy, {sums}
+      from (select p.*, u, d, exp(-d * t) as f, exp(-(t - t0) / exp(u)) as h from points p, (
+        select u, least({limit} / exp(u), {high[3]!r}) as d from (select ln({floor}) + (ln({high[1]!r}::double) - ln({floor})) * i / 4000 as u from range(4001) x(i)))) group by g, u, d"""
+    along = "" if limit is None else f""",
+limited as (
+  select l.g, l.b * l.d > {limit} as binds, if(l.b * l.d > {limit}, e.loss, l.loss) as loss
+  from least_loss l join (select g, min(loss) as loss from ({best_pair(edge, 'g, u, d')}) group by g) e on l.g = e.g)"""
     nine = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     names = {(i, j): f"f{'mop'[i + 1]}{'mop'[j + 1]}" for i, j in nine}
     pivots = ", ".join(f"max(loss) filter (i = {i} and j = {j}) as {names[i, j]}" for i, j in nine)
@@ -165,7 +174,7 @@ search as (
             select g, v, any_value(turn) as turn, any_value(hu) as hu, any_value(hd) as hd, any_value(bu) as bu, any_value(bd) as bd, any_value(bl) as bl,
               any_value(cu) as cu, any_value(cd) as cd, min(loss) as lowest, min_by(u, loss) as lu, min_by(d, loss) as ld, {pivots}
             from ({best_pair(around, 'g, v, i, j, turn, hu, hd, bu, bd, bl, cu, cd, u, d')}) group by g, v)))))),
-least_loss as (select g, greatest(min(bl), 0) as loss from search where turn = {rounds} group by g)"""
+least_loss as (select g, greatest(min(bl), 0) as loss, exp(min_by(bu, bl)) as b, min_by(bd, bl) as d from search where turn = {rounds} group by g){along}"""
 
 
 _SHOWN = "round(a, 3) as a, round(b, 2) as b, round(c, 2) as c, round(d, 6) as d, round(loss, 1) as between_days"
@@ -668,6 +677,29 @@ def constrained_search(spark, sf_dir):
     return rounded(found, 4, a=3, b=2, c=2, d=6)
 
 
+_LIMIT = 0.0235
+
+
+@query(
+    "with recursive "
+    + ",\n".join(
+        [
+            *INPUTS,
+            projected_search("select LAGR as g, DIM as t, count(*) as w, avg(ECM) as y from inputs where ECM is not null group by LAGR, DIM", _SEARCH_FIT, limit=_LIMIT),
+        ]
+    )
+    + """
+select g as LAGR, binds, round((loss + within) / n, 3) as loss from limited join (
+  select LAGR, sum(n) as n, sum(v) as within from (
+    select LAGR, count(ECM) as n, var_pop(ECM) * count(ECM) as v from inputs where ECM is not null group by LAGR, DIM) group by LAGR) s on g = s.LAGR"""
+)
+def constrained_search_at_limit(spark, sf_dir):
+    """Least squared loss under a limit on b * d that binds for some groups and not for others."""
+    grid = replace(_SEARCH_BOUNDS, product_limit=_LIMIT)
+    found = constrained_minimum(inputs_of(spark, sf_dir), ["LAGR"], grid)
+    return found.select("LAGR", (F.col("b") * F.col("d") > _LIMIT * (1 - 1e-9)).alias("binds"), F.round("loss", 3).alias("loss"))
+
+
 @query(_SEARCH_CHECK)
 def global_search(spark, sf_dir):
     """Least squared loss inside bounds, by a grid over all of them and a fit."""

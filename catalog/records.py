@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -20,7 +21,7 @@ from catalog.base import (
     rounded,
 )
 from lactoscope.functions import expressions as X
-from lactoscope.operators import fit, history, profile, trend
+from lactoscope.operators import fit, history, profile, quantiles, trend
 from lactoscope.operators.fill import fill_components
 from lactoscope.plans import lactation_model, median_model
 from lactoscope.settings import Settings
@@ -301,10 +302,63 @@ def records_with_quartile(spark, sf_dir):
     return rounded(rows.select("BDAT", "ID", "LAGR", "LACT", "DIM", "ECM", "DIM_MIN", "DIM_MAX", "ecm_qtile"))
 
 
-@query()
+_DRAWN = ("SourceAnimalID", "LACT", "DIM", "TestDate")
+_DRAW_TEXT = " || ".join(f"length(coalesce({c}::varchar, '')) || ':' || coalesce({c}::varchar, '')" for c in _DRAWN)
+
+
+@query(
+    check(
+        *RAW,
+        f"texts as (select distinct {', '.join(_DRAWN)}, {_DRAW_TEXT} as text from named where MILK is not null and DIM > 0 and DIM < 400)",
+        select=f"""select {', '.join(_DRAWN)} from (
+  select draw, unnest(arg_min(struct_pack({', '.join(f'{c} := {c}' for c in _DRAWN)}), md5('23:' || draw || ':' || text)))
+  from texts, range(1, 101) d(draw) group by draw)""",
+    )
+)
 def random_records(spark, sf_dir):
-    """One hundred draws with replacement."""
-    return profile.random_rows(valid(spark, sf_dir), 100, 23)
+    """One hundred draws with replacement, exactly."""
+    return profile.random_rows(valid(spark, sf_dir).select(*_DRAWN), 100, 23)
+
+
+@query(
+    check(
+        *MEDIAN,
+        select="""select LAGR, DIM, round(quantile_disc(ECM, 0.5), 6) as ECM_MEDIAN,
+  case when DIM < 15 then 1.5e0 else 1e0 end as SIGMA from with_history group by LAGR, DIM""",
+    )
+)
+def exact_median_curve(spark, sf_dir):
+    """Median yield per group and day by rank, without a sketch."""
+    return rounded(median_model.exact_medians(median_model.records_of(mapped_test_days(spark, sf_dir))))
+
+
+@query(
+    check(
+        *MEDIAN,
+        select="""select LAGR, share, round(case share when 0 then min(ECM) when 0.25 then quantile_disc(ECM, 0.25) when 0.9 then quantile_disc(ECM, 0.9) else max(ECM) end, 6) as ECM
+from with_history, (values (0e0), (0.25e0), (0.9e0), (1e0)) s(share) group by LAGR, share""",
+    )
+)
+def exact_quantiles_of_groups(spark, sf_dir):
+    """Quantiles of all yields of a group, a few groups that hold all rows."""
+    records = median_model.records_of(mapped_test_days(spark, sf_dir))
+    return rounded(quantiles.exact_quantiles(records, "ECM", [0.0, 0.25, 0.9, 1.0], ["LAGR"]).withColumnRenamed("value", "ECM"))
+
+
+@query(
+    check(
+        *MEDIAN,
+        "means as (select BDAT, ID, LAGR, avg(ECM) as ecm_avg from with_history group by BDAT, ID, LAGR)",
+        select="""select b.bucket, n.n > 0 as within_error, n.n from (values (0e0), (1e0), (2e0), (3e0)) b(bucket), (select count(*) as n from means) n""",
+    )
+)
+def quartiles_at_default_accuracy(spark, sf_dir):
+    """Whether each bucket of the default sketch holds a quarter of the animals to its stated error, two cuts each."""
+    quartiles = median_model.animal_quartiles(median_model.filled_records(mapped_test_days(spark, sf_dir)))
+    counts = quartiles.groupBy(F.col("ecm_qtile").alias("bucket")).agg(F.count(F.lit(1)).alias("held"))
+    total = F.sum("held").over(W.partitionBy(F.lit(0)))
+    near = F.abs(F.col("held") - total / 4) <= 2 * 0.01 * total + 1
+    return counts.select("bucket", near.alias("within_error"), total.alias("n"))
 
 
 @query(

@@ -250,8 +250,11 @@ def _solve_batch(batch: pa.RecordBatch, key_count: int, settings: SimpleNamespac
         t, y, weight = matrix("t")[enough], mean[enough], (n / sigma**2)[enough]
         lower, upper = np.asarray(settings.lower), np.asarray(settings.upper)
         everywhere = settings.everywhere and projection.solvable(lower, upper)
-        solve = projection.fit_projected if everywhere else solver.fit_batch
-        fitted, mean_loss, used, converged, jacobian = solve(t, y, weight, start, lower, upper, settings.max_iterations)
+        if everywhere:
+            found = projection.fit_projected(t, y, weight, start, lower, upper, settings.max_iterations, settings.product_limit)
+        else:
+            found = solver.fit_batch(t, y, weight, start, lower, upper, settings.max_iterations)
+        fitted, mean_loss, used, converged, jacobian = found
         within = within[enough]
         pure[rows] = (within / sigma[enough] ** 2).sum(axis=1)
         total = mean_loss + pure[rows]

@@ -29,6 +29,8 @@ STEPS, LEAST_STEPS = (0.2, 1e-4), 24
 VALLEYS = 5
 # The second look at an end: rounds of steps, and how often it may be followed by a descent.
 ROUNDS, AGAIN = 8, 3
+# Places on the curve b * d = limit, and rounds that look closer at the best of them.
+EDGE, EDGE_ROUNDS = 257, 12
 _CELLS = 1 << 21
 _LARGEST = 300.0
 
@@ -135,12 +137,33 @@ def _around(t, y, w, u, d, steps, bounds, lower, upper):
     return u, d, loss
 
 
-def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500):
+def _along_limit(t, y, w, limit, bounds, lower, upper):
+    """Least loss with d as large as the limit on b * d and its own bound allow: log b, d and loss per row."""
+    (u_low, u_high), (d_low, d_high) = bounds
+    n, width = len(t), (u_high - u_low) / (EDGE - 1)
+    u = np.tile(np.linspace(u_low, u_high, EDGE), (n, 1))
+    best_u, best_loss = np.full(n, u_low), np.full(n, np.inf)
+    for _ in range(EDGE_ROUNDS):
+        d = np.minimum(limit / np.exp(u), d_high)
+        many = u.shape[1]
+        rows = [np.repeat(x, many, axis=0) for x in (t, y, w)]
+        loss = inner(*rows, np.exp(u).reshape(-1, 1), d.reshape(-1, 1), lower, upper)[2].reshape(n, many)
+        loss = np.where(np.isfinite(loss) & (d >= d_low), loss, np.inf)
+        at = loss.argmin(axis=1)
+        better = loss[np.arange(n), at] < best_loss
+        best_u, best_loss = np.where(better, u[np.arange(n), at], best_u), np.where(better, loss[np.arange(n), at], best_loss)
+        u, width = np.clip(best_u[:, None] + width * np.linspace(-1, 1, 17), u_low, u_high), width / 8
+    return best_u, np.minimum(limit / np.exp(best_u), d_high), best_loss
+
+
+def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500, limit: float | None = None):
     """Fit every row of ``t, y, w`` (groups x points; weight 0 marks padding) inside bounds.
 
     Returns parameters (n, 4), loss, iterations, converged and the weighted Jacobian, as the
     general solver does. Rows with values that are not finite do not converge. ``start``
-    gives c where the level is 0 and so any c does.
+    gives c where the level is 0 and so any c does. ``limit`` bounds b * d: where the least
+    end would break it, the least of the ends that keep it and of the curve b * d = limit is
+    the fit.
     """
     lower, upper = np.array(lower, dtype=float), np.asarray(upper, dtype=float)
     lower[1] = max(lower[1], LEAST_B)
@@ -165,15 +188,19 @@ def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500):
             grid = inner(tr, yr, wr, np.tile(np.exp(us), (len(rows), 1)), np.tile(ds, (len(rows), 1)), lower, upper)[2]
             whose, i, d = _valleys(np.where(np.isfinite(grid), grid, np.finfo(float).max / 8), ds, VALLEYS)
 
-            def gone_down(who, u, d):
-                """Ends of the general solver from places (log b, d), the rest in closed form."""
-                tw, yw, ww = tr[who], yr[who], wr[who]
-                alpha, beta, _ = (x[:, 0, 0] for x in inner(tw, yw, ww, np.exp(u)[:, None], d[:, None], lower, upper))
-                c = np.exp(u) * np.log(np.maximum(2.0 * beta, 1e-300) / np.where(alpha > 0, alpha, 1.0)) + tw[:, 0]
+            def closed(who, u, d):
+                """Parameters at places (log b, d), the rest in closed form."""
+                alpha, beta, _ = (x[:, 0, 0] for x in inner(tr[who], yr[who], wr[who], np.exp(u)[:, None], d[:, None], lower, upper))
+                c = np.exp(u) * np.log(np.maximum(2.0 * beta, 1e-300) / np.where(alpha > 0, alpha, 1.0)) + tr[who, 0]
                 c = np.where(alpha > 0, np.clip(c, lower[2], upper[2]), start[rows[who], 2])
-                return solver.fit_batch(tw, yw, ww, np.column_stack([alpha, np.exp(u), c, d]), lower, upper, max_iterations)
+                return np.column_stack([alpha, np.exp(u), c, d])
 
-            ends = gone_down(whose, us[i], d)
+            def gone_down(who, u, d):
+                return solver.fit_batch(tr[who], yr[who], wr[who], closed(who, u, d), lower, upper, max_iterations)
+
+            ends = list(gone_down(whose, us[i], d))
+            if limit is not None:
+                ends[1] = np.where(ends[0][:, 1] * ends[0][:, 3] <= limit, ends[1], np.inf)
             # Of each row the end of least loss.
             by_loss = np.lexsort((np.where(np.isfinite(ends[1]), ends[1], np.inf), whose))
             at = by_loss[np.searchsorted(whose[by_loss], np.arange(len(rows)))]
@@ -187,8 +214,17 @@ def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500):
                     break
                 further = gone_down(lower_still, u[lower_still], d[lower_still])
                 gains = further[1] < best[1][lower_still]
+                if limit is not None:
+                    gains &= further[0][:, 1] * further[0][:, 3] <= limit
+                if not gains.any():
+                    break
                 for target, end in zip(best, further):
                     target[lower_still[gains]] = end[gains]
+            if limit is not None:
+                u, d, loss = _along_limit(tr, yr, wr, limit, ((u_low, u_high), (lower[3], upper[3])), lower, upper)
+                edge = loss < best[1]
+                p = closed(np.arange(len(rows)), u, d)
+                best[0], best[1] = np.where(edge[:, None], p, best[0]), np.where(edge, loss, best[1])
             for target, end in zip(results, best):
                 target[rows] = end
     p, loss, used, _, jacobian = results

@@ -20,11 +20,6 @@ from lactoscope.settings import FitSettings
 from lactoscope.sources.tables import cut_lineage
 
 
-# The search along the limit: steps of its first grid, and rounds that halve them.
-EDGE_ROUNDS = 14
-EDGE_STEPS = 31
-
-
 @dataclass(frozen=True)
 class Grid:
     """Range and number of steps per parameter; ``product_limit`` bounds b * d.
@@ -71,16 +66,11 @@ def _axes(grid: Grid, names: Sequence[str], around: bool, round_: int) -> dict[s
 
 
 def _best(
-    points: DataFrame, keys: list[str], grid: Grid, loss: str, round_: int, per: Sequence[str] = (), edge: bool = False
+    points: DataFrame, keys: list[str], grid: Grid, loss: str, round_: int, per: Sequence[str] = ()
 ) -> DataFrame:
     around = round_ > 0
     if loss == "mse":
-        if edge:
-            free = _explode_axes(points, _axes(grid, ("b", "c"), around, round_), replace(grid, product_limit=None))
-            highest = F.least(F.lit(float(grid.product_limit)) / F.col("b"), F.lit(float(grid.d[1])))
-            cells = free.withColumn("d", highest).where(F.col("d") >= float(grid.d[0]))
-        else:
-            cells = _explode_axes(points, _axes(grid, ("b", "c", "d"), around, round_), grid)
+        cells = _explode_axes(points, _axes(grid, ("b", "c", "d"), around, round_), grid)
         unit = curve("t", F.lit(1.0))
         n, y = F.col("n"), F.col("mean")
         sums = cells.groupBy(*keys, "b", "c", "d").agg(
@@ -153,45 +143,16 @@ def constrained_minimum(
 ) -> DataFrame:
     """Least loss under the bounds and the limit on b * d.
 
-    The zoomed grid gives the answer for any loss. For the squared loss a fit from
-    the best cell replaces it where that fit is better and keeps the limit; where the
-    limit binds, the least loss lies on its edge, d = limit / b, which a search over b
-    and c follows ``EDGE_ROUNDS`` rounds deep. The best of the three is returned.
+    The squared loss is searched everywhere inside the bounds by projection onto b and d,
+    and along b * d = limit where the limit binds. For any other loss the zoomed grid gives
+    the answer.
     """
     keys = list(keys)
-    coarse = grid_search(records, keys, grid, loss, rounds, value, dim)
     if loss != "mse":
-        return coarse
-    coarse = cut_lineage(coarse)
-    fits = fit_points(_unweighted(records, keys, value, dim), keys, _bounds(grid), coarse)
-    fine = F.try_divide(F.col("fit.weighted_sse"), F.col("fit.npoints"))
-    better = F.coalesce(fine < F.col("loss"), F.lit(False))
-    if grid.product_limit is not None:
-        better = better & (F.col("fit.b") * F.col("fit.d") <= grid.product_limit)
-    joined = coarse.join(fits.select(*keys, F.struct(*PARAMETERS, "weighted_sse", "npoints").alias("fit")), keys)
-    found = joined.select(
-        *keys,
-        *[F.when(better, F.col(f"fit.{p}")).otherwise(F.col(p)).alias(p) for p in PARAMETERS],
-        F.when(better, fine).otherwise(F.col("loss")).alias("loss"),
-    )
-    if grid.product_limit is None:
-        return found
-    edge = _edge_search(_unweighted(records, keys, value, dim), keys, grid)
-    both = found.unionByName(edge)
-    least = F.min(F.struct("loss", *PARAMETERS)).alias("best")
-    return both.groupBy(*keys).agg(least).select(*keys, *[F.col(f"best.{p}").alias(p) for p in PARAMETERS], "best.loss")
-
-
-def _edge_search(points: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
-    """Least squared loss with d as large as the limit on b * d and its own bound allow."""
-    points = cut_lineage(points)
-    # A fine first grid: the valley along the edge is narrow, and zooming cannot leave it later.
-    fine = {p: (*getattr(grid, p)[:2], max(getattr(grid, p)[2], EDGE_STEPS)) for p in ("b", "c")}
-    grid, best = replace(grid, **fine), None
-    for round_ in range(EDGE_ROUNDS):
-        known = points if best is None else points.join(cut_lineage(best), keys)
-        best = _best(known, keys, grid, "mse", round_, edge=True)
-    return best.select(*keys, *[F.col(f"best.{p}").alias(p) for p in PARAMETERS], F.col("best.loss").alias("loss"))
+        return grid_search(records, keys, grid, loss, rounds, value, dim)
+    settings = replace(_bounds(grid), everywhere=True, product_limit=grid.product_limit)
+    fits = fit_points(_unweighted(records, keys, value, dim), keys, settings)
+    return fits.select(*keys, *PARAMETERS, F.try_divide("weighted_sse", "npoints").alias("loss"))
 
 
 def _bounds(grid: Grid) -> FitSettings:

@@ -17,6 +17,7 @@ from lactoscope.operators.history import (
     with_history_bounds,
 )
 from lactoscope.operators.profile import mean_of, median_by_day, quantile_buckets
+from lactoscope.operators.quantiles import exact_quantiles
 from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, FitSettings
 from lactoscope.sources.tables import cut_lineage, rename_test_days
 
@@ -98,6 +99,12 @@ def animal_quartiles(records: DataFrame, relative_error: float = 0.01) -> DataFr
     return quantile_buckets(cut_lineage(means), "ecm_avg", 4, relative_error, "ecm_qtile")
 
 
+def exact_medians(records: DataFrame) -> DataFrame:
+    """Exact median yield per group and day, with its error weight."""
+    found = exact_quantiles(records, "ECM", [0.5], ["LAGR", "DIM"]).withColumnRenamed("value", "ECM_MEDIAN")
+    return found.drop("share").withColumn("SIGMA", error_sigma("DIM", MEDIAN_SIGMA_DAYS, strict=True))
+
+
 def records_with_quartile(records: DataFrame, relative_error: float = 0.01) -> DataFrame:
     """Records beside the yield quartile of their animal."""
     quartiles = animal_quartiles(records, relative_error).select(*KEYS, "DIM_MIN", "DIM_MAX", "ecm_qtile")

@@ -37,6 +37,7 @@ class FitSettings:
     max_iterations: int = 500
     # Few points allow several minima: search all of b and d for the least, whatever the start.
     everywhere: bool = False
+    product_limit: float | None = None  # bounds b * d of a search everywhere
 
 
 _INF = math.inf
