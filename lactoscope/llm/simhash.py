@@ -20,17 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lactoscope.llm.components import components
-from lactoscope.llm.stages import numbered, stored
-from lactoscope.llm.words import as_bytes, mixed
+from lactoscope.llm.stages import numbered, shielded, stored
+from lactoscope.llm.words import as_bytes
 
 SEED = 42
 # Fingerprints in a block: two blocks meet in one NumPy comparison, 64 rows at a time.
 BLOCK = 2048
-WIDE_BLOCK = 4096
 _AT_ONCE = 1 << 20
 _SHINGLES = 1 << 16
-# Word i of a wide fingerprint is the majority over hashes mixed with i times this number.
-_SALT = 0x9E3779B97F4A7C15
 _BYTE_ROWS = 128
 
 
@@ -63,32 +60,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(
-    docs: DataFrame, shingle: int = 3, width: int = 1, keys: Sequence[str] = ("doc_id",), distinct: bool = False
-) -> DataFrame:
-    """``keys``, fingerprint words ``w0..`` (64 bits each) and the number of shingles ``n``.
-
-    Further words are majorities over remixed shingle hashes. With ``distinct`` a repeated
-    shingle counts once. A null or empty text has no shingle and the fingerprint zero.
-    """
-    names = [f"w{i}" for i in range(width)]
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keys`` and the fingerprint ``w0`` as a long; a null or empty text has no shingle and the fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = [], []
-            for text in batch.column("text_"):
-                h = shingle_hashes(text.as_py(), shingle)
-                h = np.unique(h) if distinct else h
-                salts = [np.uint64(i * _SALT % (1 << 64)) for i in range(width)]
-                words.append([majority_bits(h if not i else mixed(h ^ salt)) for i, salt in enumerate(salts)])
-                counts.append(len(h))
-            table = np.array(words, dtype=np.uint64).reshape(-1, width).view(np.int64)
-            columns = [pa.array(table[:, i]) for i in range(width)] + [pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, *names, "n"])
-
-    schema = docs.select(*keys).schema
-    for name in [*names, "n"]:
-        schema = schema.add(name, "long")
+            words = [majority_bits(shingle_hashes(text.as_py(), shingle)) for text in batch.column("text_")]
+            column = pa.array(np.array(words, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), column], [*keys, "w0"])
+
+    schema = docs.select(*keys).schema.add("w0", "long")
     return docs.select(*keys, F.col("text").alias("text_")).mapInArrow(run, schema)
 
 
@@ -109,9 +90,8 @@ def quarter_steps(radius: int) -> list[int]:
     return sorted(s for m in moves if (s := sum(v * 64**i for i, v in enumerate(m))) >= 0)
 
 
-def _blocks(classes: DataFrame, width: int, size: int) -> DataFrame:
+def _blocks(classes: DataFrame, size: int) -> DataFrame:
     """Distinct fingerprints in order of tile, as blocks of bounded size."""
-    names = [f"w{i}" for i in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,7 +109,7 @@ def _blocks(classes: DataFrame, width: int, size: int) -> DataFrame:
 
         for batch in batches:
             tiles = batch.column("tile").to_numpy()
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("node", *names, "n")]).astype(np.int64)
+            rows = np.column_stack([batch.column(c).to_numpy() for c in ("node", "w0")]).astype(np.int64)
             at = 0
             while at < len(tiles):
                 if tile is not None and (tiles[at] != tile or sum(map(len, held)) >= size):
@@ -141,8 +121,8 @@ def _blocks(classes: DataFrame, width: int, size: int) -> DataFrame:
         if held:
             yield block()
 
-    ordered = classes.repartitionByRange("tile", "n", "node").sortWithinPartitions("tile", "n", "node")
-    return ordered.select("tile", "node", *names, "n").mapInArrow(run, "tile int, block long, rows binary")
+    ordered = classes.repartitionByRange("tile", "node").sortWithinPartitions("tile", "node")
+    return ordered.select("tile", "node", "w0").mapInArrow(run, "tile int, block long, rows binary")
 
 
 class _Forest:
@@ -163,31 +143,18 @@ class _Forest:
                 self.up[further] = self.up[self.up[further]]
 
 
-def _compared(a: np.ndarray, b: np.ndarray, same: bool, width: int, radius: int, total: int, ratio: float):
+def _compared(a: np.ndarray, b: np.ndarray, same: bool, radius: int):
     """Star of links between the rows of two blocks: (node, local root) pairs."""
-    ones = [np.bitwise_count(x[:, 1].view(np.uint64)).astype(int) for x in (a, b)]
+    words_a, words_b = (np.ascontiguousarray(x[:, 1]).view(np.uint64) for x in (a, b))
+    ones = [np.bitwise_count(x).astype(int) for x in (words_a, words_b)]
     if max(ones[0].min() - ones[1].max(), ones[1].min() - ones[0].max()) > radius:
         return None
-    forest, step = _Forest(len(a) + len(b)), max(1, _AT_ONCE // (len(b) * width))
-    words_a, words_b = (x[:, 1 : 1 + width].astype(np.int64).view(np.uint64) for x in (a, b))
-    first_b = np.ascontiguousarray(words_b[:, 0])
-    n_a, n_b = a[:, 1 + width], b[:, 1 + width]
+    forest, step = _Forest(len(a) + len(b)), max(1, _AT_ONCE // len(b))
     for at in range(0, len(a), step):
-        end = min(at + step, len(a))
-        # Rows of a block are in order of n, and similar texts have similar numbers of shingles.
-        low = np.searchsorted(n_b, np.ceil(n_a[at] * ratio - 1e-9))
-        high = np.searchsorted(n_b, np.floor(n_a[end - 1] / ratio + 1e-9), side="right") if ratio else len(b)
-        if low >= high:
-            continue
-        near = np.bitwise_count(words_a[at:end, :1] ^ first_b[None, low:high]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + low
+        i, j = np.nonzero(np.bitwise_count(words_a[at : at + step, None] ^ words_b) <= radius)
+        i = i + at
         if same:
             i, j = i[j > i], j[j > i]
-        if width > 1 and len(i):
-            close = np.bitwise_count(words_a[i] ^ words_b[j]).sum(axis=1) <= total
-            close &= np.minimum(n_a[i], n_b[j]) >= ratio * np.maximum(n_a[i], n_b[j])
-            i, j = i[close], j[close]
         if len(i):
             forest.join(i, j if same else j + len(a))
     nodes = np.concatenate([a[:, 0], b[:, 0]])
@@ -195,15 +162,12 @@ def _compared(a: np.ndarray, b: np.ndarray, same: bool, width: int, radius: int,
     return nodes[linked], nodes[forest.up[linked]]
 
 
-def links(classes: DataFrame, width: int, steps: Sequence[int], radius: int, total: int = 0, ratio: float = 0.0) -> DataFrame:
-    """Links ``a, b`` that connect all ``node``s whose fingerprints are near.
+def links(classes: DataFrame, steps: Sequence[int], radius: int) -> DataFrame:
+    """Links ``a, b`` that connect all ``node``s whose fingerprints differ in ``radius`` bits or fewer.
 
-    ``classes`` has ``node, tile, w0.., n``. Fingerprints of one word are near at
-    ``radius`` differing bits or fewer. Of wider ones the first word is compared so,
-    then all words have to be within ``total`` bits and the numbers of shingles within
-    ``ratio`` of each other.
+    ``classes`` has ``node, tile, w0``.
     """
-    blocks = stored(_blocks(classes, width, BLOCK if width == 1 else WIDE_BLOCK))
+    blocks = stored(_blocks(classes, BLOCK))
     visiting = blocks.select(
         F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"),
         F.col("tile").alias("from_"),
@@ -215,8 +179,8 @@ def links(classes: DataFrame, width: int, steps: Sequence[int], radius: int, tot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = (np.frombuffer(row[c], dtype=np.int64).reshape(-1, width + 2) for c in ("rows", "other_rows"))
-                found = _compared(a, b, row["block"] == row["other"], width, radius, total, ratio)
+                a, b = (np.frombuffer(row[c], dtype=np.int64).reshape(-1, 2) for c in ("rows", "other_rows"))
+                found = _compared(a, b, row["block"] == row["other"], radius)
                 if found is not None and len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
@@ -224,6 +188,12 @@ def links(classes: DataFrame, width: int, steps: Sequence[int], radius: int, tot
     return stored(made, batch_rows=64)
 
 
+def _roots(classes: DataFrame, radius: int) -> DataFrame:
+    """``w0, root`` of the fingerprints that have a link."""
+    tiled = classes.select(F.col("w0").alias("node"), quarter_tile().alias("tile"), "w0")
+    return components(links(tiled, quarter_steps(radius), radius)).withColumnRenamed("node", "w0")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
@@ -232,40 +202,28 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     and are linked like others. Repeated rows are in one component and all returned; a
     null ``doc_id`` never names a component unless nothing else is in it.
     """
-    prints = stored(fingerprints(docs, shingle).select("doc_id", "w0"))
+    prints = stored(fingerprints(docs, shingle))
     classes = stored(prints.groupBy("w0").agg(F.min("doc_id").alias("first_doc")))
-    tiled = classes.select(F.col("w0").alias("node"), quarter_tile().alias("tile"), "w0", F.lit(0).cast("long").alias("n"))
-    roots = components(links(tiled, 1, quarter_steps(radius), radius)).withColumnRenamed("node", "w0")
+    roots = _roots(classes, radius)
     grouped = stored(classes.join(roots, "w0", "left").select("w0", "first_doc", F.coalesce("root", "w0").alias("root")))
     least = stored(grouped.groupBy("root").agg(F.min("first_doc").alias("component_id")))
     named = stored(grouped.join(least, "root").select("w0", "component_id"))
     return prints.join(named, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def size_class(n: str, ratio: float) -> Column:
-    """Numbers within the ratio of each other have equal or neighbouring classes."""
-    return F.when(F.col(n) > 0, F.floor(F.log(F.col(n)) / -np.log(ratio) + 1e-9)).otherwise(-2).cast("int")
-
-
-def keep_first(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 17, total: int = 172, width: int = 16
-) -> DataFrame:
-    """One row of each group of near copies, with all its columns.
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of near copies, with all its columns.
 
-    Fingerprints of 1,024 bits over distinct ``shingle``-word shingles estimate the similarity
-    of two texts: at a Jaccard similarity of 0.8 some 155 bits differ, at 0.7 some 197, with
-    standard deviations of 12 and 13; ``total`` lies between. Tiles are classes of the number of shingles, as
-    texts of that similarity have numbers within ``similarity`` of each other. Of a group
-    the row with the least ``doc_id`` (null last) stays. Texts without a word are copies
-    of each other; ``docs`` has to be a stored table.
+    Components are those of ``near_groups``. Of each the row with the least ``doc_id`` (null
+    last, then the first in the table) stays. Texts without a word are copies of each
+    other; ``docs`` has to be a stored table.
     """
-    rows = numbered(docs)
-    words = [f"w{i}" for i in range(width)]
-    prints = stored(fingerprints(rows, shingle, width, ("doc_id", "row_number_"), distinct=True))
+    shield = shielded(docs)
+    rows = numbered(shield.rows)
+    prints = stored(fingerprints(rows, shingle, ("doc_id", "row_number_")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_number_")
-    classes = stored(prints.groupBy(*words, "n").agg(F.min(order).alias("first_row")).select("*", F.xxhash64(*words, "n").alias("node")))
-    tiled = classes.select("node", size_class("n", similarity).alias("tile"), *words, "n")
-    roots = components(links(tiled, width, (0, 1), radius, total, similarity))
-    grouped = stored(classes.join(roots, "node", "left").select("first_row", F.coalesce("root", "node").alias("root")))
-    firsts = grouped.groupBy("root").agg(F.min("first_row").alias("first_row")).select("first_row.row_number_")
-    return rows.join(firsts, "row_number_", "left_semi").drop("row_number_").select(*docs.columns)
+    classes = stored(prints.groupBy("w0").agg(F.min(order).alias("first_row")))
+    roots = _roots(classes, radius)
+    grouped = classes.join(roots, "w0", "left").groupBy(F.coalesce("root", "w0").alias("root"))
+    firsts = stored(grouped.agg(F.min("first_row").alias("first_row")).select("first_row.row_number_"))
+    return shield.restored(rows.join(firsts, "row_number_", "left_semi"))

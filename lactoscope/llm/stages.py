@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,22 +47,44 @@ def discard(*stages: DataFrame) -> None:
             path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@dataclass(frozen=True)
+class Shielded:
+    """Rows whose columns have names that operators do not use inside."""
+
+    rows: DataFrame
+    names: dict[str, str]
+
+    def restored(self, frame: DataFrame) -> DataFrame:
+        """The same columns of a frame under their own names and in their own order."""
+        return frame.select(*[F.col(inside).alias(name) for name, inside in self.names.items()])
+
+
+def shielded(docs: DataFrame, known: Sequence[str] = ("doc_id", "text", "n_chars")) -> Shielded:
+    """Columns that an operator only hands on get names of their own while it works."""
+    names = {c: c if c in known else f"handed_on_{i}_" for i, c in enumerate(docs.columns)}
+    return Shielded(docs.select(*[F.col(f"`{c}`").alias(inside) for c, inside in names.items()]), names)
+
+
 def numbered(docs: DataFrame, name: str = "row_number_") -> DataFrame:
     """Rows of a stored table with a number each, the same on every scan of it.
 
     Keys of the data may be null or repeated; this one is neither. It is made of the file's
-    place among the table's files by name and of the row's place in the file, which Parquet
-    scans give however a file is split. Rows from anywhere else are stored once with their
-    numbers.
+    place among the table's files by name, of which the driver has a list for every scan in
+    any case, and of the row's place in the file, which Parquet scans give however a file is
+    split. Rows from anywhere else are stored once with their numbers. Columns of ``docs``
+    may have any name but ``name``.
     """
+    own = uuid.uuid4().hex
+    file, place, nth = (f"{part}_{own}" for part in ("file", "place", "nth"))
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("place_"))
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
         placed.schema  # fails without these columns
     except AnalysisException:
         return stored(docs.withColumn(name, F.monotonically_increasing_id()))
-    files = sorted(r.file_ for r in placed.select("file_").distinct().collect())
+    files = sorted(r[0] for r in placed.select(file).distinct().collect())
     if not files:
         return docs.withColumn(name, F.monotonically_increasing_id())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "nth_ long, file_ string")
-    number = F.shiftleft("nth_", 40) + F.col("place_")
-    return placed.join(F.broadcast(numbers), "file_").select(*docs.columns, number.alias(name))
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{nth} long, {file} string")
+    number = F.shiftleft(nth, 40) + F.col(place)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return placed.join(F.broadcast(numbers), file).select(*columns, number.alias(name))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lactoscope.llm.stages import discard, numbered, stored
+from lactoscope.llm.stages import discard, numbered, shielded, stored
 from lactoscope.llm.words import as_bytes, covered, hashed_words, sliding, window_hashes, word_spans
 
 MIN_WORDS = 50
@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     Runs that overlap are one passage. Null, empty and short texts have none; repeated rows repeat each other;
     ``docs`` has to be a stored table.
     """
-    rows = numbered(docs)
+    rows = numbered(docs.select("doc_id", "text"))
     spans = stored(_spans(rows, min_words, window, gram, False))
     return rows.select("doc_id", "row_number_").join(spans, "row_number_").select(
         "doc_id", F.col("start").cast("long").alias("start_word"), (F.col("end") - F.col("start")).cast("long").alias("n_words")
@@ -206,11 +206,12 @@ def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WIND
     the white space after it; ``n_chars``, if there, is counted anew. Rows
     that had words and are left without any go; all others stay, with all their columns.
     """
-    rows = numbered(docs)
+    shield = shielded(docs)
+    rows = numbered(shield.rows)
     spans = _spans(rows, min_words, window, gram, True)
     cuts = stored(spans.groupBy("row_number_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts_")))
     joined = rows.join(cuts, "row_number_", "left").drop("row_number_")
-    at = docs.columns.index("text")
+    at = shield.rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,8 +231,8 @@ def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WIND
             columns[at] = pa.array(texts, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(kept, pa.bool_()))
 
-    cut = joined.mapInArrow(run, docs.schema)
+    cut = joined.mapInArrow(run, shield.rows.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
-    return cut.select(*docs.columns)
+    return shield.restored(cut)

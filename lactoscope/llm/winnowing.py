@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lactoscope.llm.stages import numbered, stored
+from lactoscope.llm.stages import numbered, shielded, stored
 from lactoscope.llm.words import NOT_ALNUM, as_bytes, hashed_words, sliding, window_hashes
 
 WINDOW = 10
@@ -156,7 +156,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     windows count as hits. Null and empty texts have no words; items without words have
     no window. ``docs`` has to be a stored table; repeated rows are judged one by one.
     """
-    probed, windows, hits = _matched(numbered(docs), items, ("doc_id", "row_number_"), window, gram)
+    probed, windows, hits = _matched(numbered(docs.select("doc_id", "text")), items, ("doc_id", "row_number_"), window, gram)
     starts = F.array_sort(F.collect_set(F.struct("start", "size")))
     # Words covered: each window adds what lies beyond the end of those before it.
     cover = F.aggregate(
@@ -195,7 +195,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
-    rows = numbered(docs)
+    shield = shielded(docs)
+    rows = numbered(shield.rows)
     _, _, hits = _matched(rows, items, ("row_number_",), window, gram)
     dirty = hits.select("row_number_").distinct()
-    return rows.join(dirty, "row_number_", "left_anti").drop("row_number_").select(*docs.columns)
+    return shield.restored(rows.join(dirty, "row_number_", "left_anti"))

@@ -218,9 +218,9 @@ def test_tile_comparison_finds_every_link(spark):
     base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
     flips = [b ^ (np.uint64(1) << np.uint64(i % 64)) ^ (np.uint64(1) << np.uint64(7 * i % 64)) for i, b in enumerate(base)]
     values = np.unique(np.concatenate([base, flips])).view(np.int64)
-    frame = spark.createDataFrame([(int(v), int(v), 0) for v in values], "node long, w0 long, n long")
+    frame = spark.createDataFrame([(int(v), int(v)) for v in values], "node long, w0 long")
     tiled = frame.withColumn("tile", simhash.quarter_tile())
-    roots = {r.node: r.root for r in components(simhash.links(tiled, 1, simhash.quarter_steps(2), 2)).collect()}
+    roots = {r.node: r.root for r in components(simhash.links(tiled, simhash.quarter_steps(2), 2)).collect()}
     unsigned = values.view(np.uint64)
     for i, v in enumerate(values.tolist()):
         for j in np.flatnonzero(np.bitwise_count(unsigned ^ unsigned[i]) <= 2):
@@ -244,30 +244,42 @@ def test_components(spark):
 
 
 def test_near_copies_leave_one(spark, stored_docs, odd_rows):
-    base = words(1, 200)
-    changed = [*base[:100], "other", *base[101:]]
-    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(base)), (4, " ".join(words(2, 200))), (5, " ".join(words(3, 150)))]
-    kept = simhash.keep_first(stored_docs(rows))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and kept.columns == stored_docs(rows).columns
-    left = [r.doc_id for r in simhash.keep_first(stored_docs(odd_rows)).collect()]
-    assert sorted(left) == [1, 4, 5, 6, 7, 9]
+    """Of each component of the operator the row with the least doc_id stays, and no other goes."""
+    base = words(1, 2000)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(base)), (4, " ".join(words(2, 200))), (5, " ".join(words(3, 150)))]
+    for given in (rows, odd_rows, [(r.doc_id, r.text) for r in documents(spark).collect()]):
+        docs = stored_docs(given)
+        expected = {}
+        for i, fingerprint, component in simhash.near_groups(docs).collect():
+            expected[component] = min(expected.get(component, (True, 0)), (i is None, i or 0))
+        kept = simhash.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == Counter(expected.values())
+    assert sorted(r.doc_id for r in simhash.keep_first(stored_docs(rows)).collect()) == [1, 4, 5]
     assert simhash.keep_first(stored_docs(rows).where("false")).count() == 0
 
 
-def test_similar_but_distinct_texts_stay(spark, stored_docs):
-    """Texts well under the similarity stay and those over it go, also where lines are repeated."""
-    rows, stay = [], set()
-    for i in range(60):
-        base = words(100 + i, 400)
-        changes = 18 if i % 2 else 5
-        other = [f"new{i}x{k}" if k % (400 // changes) == 20 else w for k, w in enumerate(base)]
-        line = "the same short line stands here again and again "
-        rows += [(2 * i, line * 30 + " ".join(base)), (2 * i + 1, line * 30 + " ".join(other))]
-        a, b = (set(simhash.shingle_hashes(r[1], 5).tolist()) for r in rows[-2:])
-        share = len(a & b) / len(a | b)
-        assert share < 0.66 or share > 0.85
-        stay |= {2 * i} if share > 0.85 else {2 * i, 2 * i + 1}
-    assert {r.doc_id for r in simhash.keep_first(stored_docs(rows)).collect()} == stay
+INSIDE = "row_number_ file_ place_ nth_ part edge before after key places row cuts_ start end w0 root a b node tile size hash fp probes text_ starts near first_row none".split()
+
+
+def test_columns_with_the_names_used_inside(spark, tmp_path):
+    """Any other column may have any name; stages hand it on."""
+    base = " ".join(words(1, 120))
+    names = ["doc_id", "text", *INSIDE, "with.dot"]
+    given = [(1, base), (2, base + " more"), (3, " ".join(words(2, 90))), (4, " ".join(words(3, 90)) + " " + " ".join(words(2, 60)))]
+    frame = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names[2:]]) for r in given], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    frame.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([("i", " ".join(words(2, 12)))], "item_id string, text string")
+    for stage, left in ((simhash.keep_first, None), (suffixes.cut_passages, {1, 2, 3, 4}), (lambda d: winnowing.keep_clean(d, items), {1, 2})):
+        kept = stage(docs)
+        assert kept.columns == names
+        found = kept.collect()
+        assert all(r["with.dot"] == f"with.dot{r.doc_id}" and r["row_number_"] == f"row_number_{r.doc_id}" for r in found)
+        assert left is None or {r.doc_id for r in found} == left
+    assert suffixes.repeated_passages(docs).count() == 4
+    assert winnowing.decontaminate(docs, items).where("contaminated").count() == 2
+    assert compact_windows.near_passages(docs).count() >= 4
 
 
 def repeats_by_brute_force(rows, n):
