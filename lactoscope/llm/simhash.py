@@ -226,4 +226,6 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     roots = _roots(classes, radius)
     grouped = classes.join(roots, "w0", "left").groupBy(F.coalesce("root", "w0").alias("root"))
     firsts = stored(grouped.agg(F.min("first_row").alias("first_row")).select("first_row.row_number_"))
-    return shield.restored(rows.join(firsts, "row_number_", "left_semi"))
+    # Far fewer rows go than stay, so those that go are looked up.
+    gone = stored(prints.select("row_number_").join(firsts, "row_number_", "left_anti"))
+    return shield.restored(rows.join(gone, "row_number_", "left_anti"))

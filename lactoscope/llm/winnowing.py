@@ -198,5 +198,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: in
     shield = shielded(docs)
     rows = numbered(shield.rows)
     _, _, hits = _matched(rows, items, ("row_number_",), window, gram)
-    dirty = hits.select("row_number_").distinct()
+    # Stored, so that Spark knows how few they are.
+    dirty = stored(hits.select("row_number_").distinct())
     return shield.restored(rows.join(dirty, "row_number_", "left_anti"))
