@@ -516,6 +516,43 @@ def test_recall_of_near_passages(killed, least):
     assert near_passage_recall(compact_windows.FUNCTIONS, killed) >= least
 
 
+@pytest.mark.parametrize("n, changed, middle", [(50, [25], (26, 50)), (100, [30, 70], (34, 66))])
+def test_near_passages_with_other_texts_between(spark, stored_docs, n, changed, middle):
+    """Pairs of a passage and a copy of Jaccard similarity 0.80 or 0.81, and for each pair six texts with a part of it."""
+    rows, times = [], 100
+    for i in range(times):
+        passage = [f"p{i}x{k}" for k in range(n)]
+        copy = [f"other{k}" if k in changed else w for k, w in enumerate(passage)]
+        for j, part in enumerate((passage, *[passage[slice(*middle)]] * 6, copy)):
+            rows.append((10 * i + j, " ".join([*(f"a{i}y{j}x{k}" for k in range(40)), *part, *(f"b{i}y{j}x{k}" for k in range(40))])))
+    grams = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, t in rows for w in [t.split()]}
+    found = {(r.doc_id, r.other_doc_id) for r in compact_windows.near_passages(stored_docs(rows)).collect()}
+    truth = set()
+    for i in range(times):
+        for a in range(10 * i, 10 * i + 8):
+            for b in range(10 * i, 10 * i + 8):
+                known = set(grams[b]) if a != b else ()
+                shared = np.array([g in known for g in grams[a]])
+                truth |= {(a, b)} if compact_windows.dense_stretches(shared, 0.8, 46) else set()
+    assert found <= truth and len(truth) == 2 * times
+    assert len(found) >= 0.9 * len(truth)
+
+
+def test_near_passages_of_repetitive_texts(spark, stored_docs):
+    """Equal hashes in all of a text; each text finds the other one of its kind."""
+    rows = [(1, "la " * 30_000), (2, "la " * 20_000), (3, "tick tack " * 8000), (4, "x tick tack " + "tick tack " * 9000), (5, " ".join(words(5, 400)))]
+    found = defaultdict(int)
+    for r in compact_windows.near_passages(stored_docs(rows)).collect():
+        found[r.doc_id, r.other_doc_id] += r.n_words
+    assert set(found) == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    assert found[1, 2] == 30_000 and found[2, 1] == 20_000 and found[3, 4] == 16_000
+
+
+@pytest.mark.parametrize("values", [np.zeros(20_000, np.uint64), np.arange(20_000, dtype=np.uint64) % np.uint64(2)])
+def test_compact_windows_of_ties_stay_few(values):
+    assert len(compact_windows.cartesian_windows(values, 46)) <= 2 * len(values) / 46
+
+
 @pytest.mark.parametrize("parts", [[1000, -100, 60], [60, -40, 1000], [45, -5, 10], [300, -60, 50, -30, 46], [46], [45]])
 def test_every_dense_stretch_of_a_pair_is_found(parts):
     shared = np.concatenate([np.full(abs(n), n > 0) for n in parts])
