@@ -483,6 +483,10 @@ def test_near_passages_hold_every_exact_repeat(spark, stored_docs):
     assert {rows[i][0] for i, v in repeats_by_brute_force(low, 50).items() if v} <= found
 
 
+def windows_of_one(values, width):
+    return compact_windows.cartesian_windows(values, np.array([0]), np.array([len(values) - 1]), width)
+
+
 def near_passage_recall(functions, killed, times=400):
     """Share of planted 50-word passages that have a joint signature in common with a copy.
 
@@ -494,7 +498,7 @@ def near_passage_recall(functions, killed, times=400):
         hashes, fn, found, keys = compact_windows.shingles(" ".join(text)), [], [], []
         for f in range(functions):
             values = compact_windows.mixed(hashes ^ np.uint64(compact_windows._SEEDS[f]))
-            windows = np.array(compact_windows.cartesian_windows(values, 46))
+            windows = np.column_stack(windows_of_one(values, 46))
             fn.append(np.full(len(windows), f))
             found.append(windows)
             keys.append(values[windows[:, 1]])
@@ -550,7 +554,7 @@ def test_near_passages_of_repetitive_texts(spark, stored_docs):
 
 @pytest.mark.parametrize("values", [np.zeros(20_000, np.uint64), np.arange(20_000, dtype=np.uint64) % np.uint64(2)])
 def test_compact_windows_of_ties_stay_few(values):
-    assert len(compact_windows.cartesian_windows(values, 46)) <= 2 * len(values) / 46
+    assert len(windows_of_one(values, 46)[0]) <= 2 * len(values) / 46
 
 
 @pytest.mark.parametrize("parts", [[1000, -100, 60], [60, -40, 1000], [45, -5, 10], [300, -60, 50, -30, 46], [46], [45]])
@@ -566,14 +570,20 @@ def test_every_dense_stretch_of_a_pair_is_found(parts):
     assert covered.any() == (parts != [45])
 
 
-def test_cartesian_windows():
+@pytest.mark.parametrize("kinds", [60, 7, 1])
+def test_cartesian_windows(kinds):
+    """Each stretch has one window with its least hash; trees side by side are those of each alone."""
     draw = np.random.default_rng(8)
-    values = draw.permutation(60).astype(np.uint64)
-    windows = compact_windows.cartesian_windows(values, 5)
+    values = draw.permutation(60).astype(np.uint64) % np.uint64(kinds)
+    windows = list(zip(*windows_of_one(values, 5)))
     for low in range(60):
         for high in range(low + 4, 60):
-            at = low + int(values[low : high + 1].argmin())
-            assert sum(a <= low <= c <= high <= b and c == at for a, c, b in windows) == 1
+            held = [c for a, c, b in windows if a <= low <= c <= high <= b]
+            assert len(held) == 1 and values[held[0]] == values[low : high + 1].min()
+    lows, highs = np.array([0, 20, 23, 40]), np.array([19, 22, 39, 59])
+    both = sorted(zip(*compact_windows.cartesian_windows(values, lows, highs, 5)))
+    alone = [(a + low, c + low, b + low) for low, high in zip(lows, highs) for a, c, b in zip(*windows_of_one(values[low : high + 1], 5))]
+    assert both == sorted(alone)
 
 
 def contamination_by_brute_force(docs, items, n):
