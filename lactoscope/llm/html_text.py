@@ -87,6 +87,9 @@ class Page:
         self.tokens: list[tuple[str, str, int, bool]] = []
         # Elements by number: name, number of the parent, whether left out.
         self.elements: list[tuple[str, int, bool]] = [("", -1, False)]
+        # For each element, the nearest one that is not inline, and whether a link lies between.
+        self.blocks: list[tuple[int, bool]] = [(0, False)]
+        self.open: Counter[str] = Counter()
         stack, text = [0], source or ""
         at = 0
         while at < len(text):
@@ -106,55 +109,75 @@ class Page:
             self._add("tag", name, stack)
             if name in VOID or m[3].endswith("/") and name not in INLINE | ENDS_P:
                 continue
-            inside = any(self.elements[e][0] in CONTENT for e in stack)
+            inside = any(self.open[n] for n in CONTENT)
             out = self.elements[stack[-1]][2] or _is_out(name, m[3], inside)
+            block, linked = self.blocks[stack[-1]]
+            self.blocks.append((block, linked or name == "a") if name in INLINE else (len(self.elements), False))
             self.elements.append((name, stack[-1], out))
             stack.append(len(self.elements) - 1)
+            self.open[name] += 1
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(text, at)
                 self._add("word", text[at : end.start() if end else len(text)], stack)
                 at = end.end() if end else len(text)
-                stack.pop()
+                self._leave(stack, len(stack) - 1)
+        # Elements are numbered in page order, so those inside one follow it up to its last.
+        self.last = list(range(len(self.elements)))
+        for e in range(len(self.elements) - 1, 0, -1):
+            parent = self.elements[e][1]
+            self.last[parent] = max(self.last[parent], self.last[e])
 
     def _add(self, kind: str, value: str, stack: list[int]) -> None:
         self.tokens.append((kind, value, stack[-1], self.elements[stack[-1]][2]))
 
+    def _leave(self, stack: list[int], at: int) -> None:
+        for e in stack[at:]:
+            self.open[self.elements[e][0]] -= 1
+        del stack[at:]
+
     def _imply_ends(self, name: str, stack: list[int]) -> None:
-        names = [self.elements[e][0] for e in stack]
-        if name in ENDS_P and "p" in names:
-            at = len(names) - 1 - names[::-1].index("p")
-            if not any(n in ENDS_P for n in names[at + 1 :]):
-                del stack[at:]
-        elif name in ENDS_OWN and name in names:
-            at = len(names) - 1 - names[::-1].index(name)
-            if not any(n in ENDS_OWN[name] for n in names[at + 1 :]):
-                del stack[at:]
+        if name in ENDS_P and self.open["p"]:
+            ended, bounds = "p", ENDS_P
+        elif name in ENDS_OWN and self.open[name]:
+            ended, bounds = name, ENDS_OWN[name]
+        else:
+            return
+        for at in range(len(stack) - 1, 0, -1):
+            open_name = self.elements[stack[at]][0]
+            if open_name == ended:
+                self._leave(stack, at)
+                return
+            if open_name in bounds:
+                return
 
     def _close(self, name: str, stack: list[int]) -> None:
         self._add("end", name, stack)
+        if not self.open[name]:
+            return
         for at in range(len(stack) - 1, 0, -1):
             open_name = self.elements[stack[at]][0]
             if open_name == name:
-                del stack[at:]
+                self._leave(stack, at)
                 return
             if name in INLINE and open_name not in INLINE:
                 return  # an inline end tag does not end a block
 
-    def path(self, element: int) -> list[int]:
-        found = []
+    def holds(self, outer: int, element: int) -> bool:
+        return outer <= element <= self.last[outer]
+
+    def around(self, first: int, last: int) -> list[int]:
+        """The elements that hold both, innermost first."""
+        found, element = [], first
         while element >= 0:
-            found.append(element)
+            if self.holds(element, last):
+                found.append(element)
             element = self.elements[element][1]
-        return found[::-1]
+        return found
 
     def feature(self, element: int, out: bool) -> str:
         """Where a word stands: a left-out place or its nearest element that is not inline."""
-        linked = False
-        while element > 0 and self.elements[element][0] in INLINE:
-            linked |= self.elements[element][0] == "a"
-            element = self.elements[element][1]
-        name = self.elements[element][0]
-        return f"{'out' if out else 'in'} {name if len(name) < 12 else '*'}{' a' if linked else ''}"
+        block, linked = self.blocks[element]
+        return f"{'out' if out else 'in'} {self.elements[block][0]}{' a' if linked else ''}"
 
     def label(self) -> int | None:
         """The one element that marks the content, if the page has just one."""
@@ -175,18 +198,21 @@ def counted_features(pages: DataFrame, limit: int = LABELLED_PAGES) -> dict[str,
                 if content is None:
                     continue
                 for kind, value, element, out in page.tokens:
-                    key = page.feature(element, out) if kind == "word" else f"{kind} {value if len(value) < 12 else '*'}"
+                    key = page.feature(element, out) if kind == "word" else f"{kind} {value}"
                     n = len(value.split()) if kind == "word" else 1
-                    (inside if content in page.path(element) else outside)[key] += n
+                    (inside if page.holds(content, element) else outside)[key] += n
             keys = sorted(inside | outside)
             columns = [pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["feature", "inside", "outside"])
 
-    # The first such pages Spark comes by: collect() opens no more partitions than it needs.
-    sample = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]")).limit(limit).collect()
-    counts = pages.sparkSession.createDataFrame(sample, "html string").mapInArrow(run, "feature string, inside long, outside long").groupBy("feature")
-    # Features are made of HTML names; rare inventions of a page are not worth a weight.
-    found = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(2000)
+    # The labelled pages of least content hash, each once, so every run learns from the same pages.
+    marked = pages.select("html", F.xxhash64("html").alias("key")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    keys = [r.key for r in marked.select("key").distinct().orderBy("key").limit(limit).collect()]
+    if not keys:
+        return {}
+    sample = marked.where(F.col("key") <= max(keys)).dropDuplicates(["key"]).select("html")
+    counts = sample.mapInArrow(run, "feature string, inside long, outside long").groupBy("feature")
+    found = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     return {r.feature: (r.inside, r.outside) for r in found.collect()}
 
 
@@ -227,19 +253,16 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     first, last = best_stretch(_score(page, weights))
     if last < first:
         return ""
-    held = [page.path(t[2]) for t in page.tokens[first : last + 1] if t[0] == "word" and not t[3] and t[1].strip()]
+    held = [t[2] for t in page.tokens[first : last + 1] if t[0] == "word" and not t[3] and t[1].strip()]
     if not held:
         return ""
-    common = 0
-    while all(len(p) > common + 1 for p in held) and len({p[common + 1] for p in held}) == 1:
-        common += 1
     # The element that holds the stretch: an article or main around it, else the next that is no text block.
-    around = held[0][: common + 1]
+    around = page.around(min(held), max(held))
     marked = [e for e in around if page.elements[e][0] in CONTENT]
-    holder = marked[-1] if marked else next((e for e in reversed(around) if page.elements[e][0] in ("div", "section", "body", "html", "td", "")), 0)
+    holder = marked[0] if marked else next((e for e in around if page.elements[e][0] in ("div", "section", "body", "html", "td", "")), 0)
     pieces: list[str] = []
     for kind, value, element, out in page.tokens:
-        if holder not in page.path(element):
+        if not page.holds(holder, element):
             continue
         if kind == "word":
             if not out:

@@ -282,6 +282,29 @@ def test_columns_with_the_names_used_inside(spark, tmp_path):
     assert compact_windows.near_passages(docs).count() >= 4
 
 
+@pytest.mark.parametrize("page, n", [("<div>" * 50_000 + "word " * 50 + "</div>" * 50_000, 50), ("<p><span>a " * 50_000, 50_000), ("<article>" + "<li>x<b>" * 50_000, 50_000), ("<a>w " * 50_000, 50_000)])
+def test_deep_pages(page, n):
+    assert len(html_text.main_text(page, {}).split()) == n
+
+
+def test_labelled_pages_are_the_same_in_any_order(spark, tmp_path):
+    """The sample follows from the pages' content: other partitions, repeated rows and further columns change nothing."""
+    pages = [f"<body><nav-of-a-long-name>menu {i}</nav-of-a-long-name><article><p>{' '.join(words(i, 20 + i))}</p></article></body>" for i in range(60)]
+    rows = [(i, f"u{i}", h, "x", "y") for i, h in enumerate([*pages, None, "", "<p>no label</p>"])]
+    names = "page_id long, url string, html string, key string, feature string"
+    counts = []
+    for k, kept in enumerate((rows, [*rows[::-1], *rows[:20]])):
+        spark.createDataFrame(kept, names).repartition(2 + 3 * k).write.parquet(str(tmp_path / str(k)))
+        table = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(html_text.counted_features(table, 10))
+        found = Counter((r.page_id, r.text) for r in html_text.extract(table).collect())
+        expected = {i: " ".join(words(i, 20 + i)) for i in range(60)} | {60: "", 61: "", 62: "no label"}
+        assert found == Counter((r[0], expected[r[0]]) for r in kept)
+    assert counts[0] == counts[1] and counts[0]["in p"][0] >= 200
+    assert counts[0]["in nav-of-a-long-name"] == (0, 20)
+    assert html_text.counted_features(table.where("html is null"), 10) == {}
+
+
 def repeats_by_brute_force(rows, n):
     split = [(i, (t or "").encode().split()) for i, (_, t) in enumerate(rows)]
     holders = defaultdict(set)
