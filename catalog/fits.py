@@ -34,6 +34,7 @@ from catalog.base import (
 from lactoscope.functions.expressions import PARAMETERS, group_name, level_too_low, no_convergence
 from lactoscope.operators import fit, history
 from lactoscope.operators.profile import summary
+from lactoscope.operators.proof import proven_minimum
 from lactoscope.operators.score import predict_each, select_fits, with_residual
 from lactoscope.operators.search import Grid, constrained_minimum
 from lactoscope.operators.search import global_search as search_globally
@@ -708,6 +709,39 @@ def global_search(spark, sf_dir):
     return rounded(found.select("LAGR", *PARAMETERS, loss), 4, a=3, b=2, c=2, d=6)
 
 
+# Yields with a wave over the days: a short ramp and a long one both give a valley.
+_WAVE = "ECM + 5 * cos(DIM / 20e0)"
+_WAVE_BOUNDS = replace(_SEARCH_BOUNDS, b=(5.0, 200.0, 4))
+
+
+def _least_losses(value: str, settings: FitSettings) -> str:
+    """Groups with their least loss, all of them proven."""
+    search = projected_search(
+        f"select LAGR as g, DIM as t, count(*) as w, avg({value}) as y from inputs where ECM is not null group by LAGR, DIM", settings
+    )
+    within = f"select LAGR, count(ECM) as n, var_pop({value}) * count(ECM) as v from inputs where ECM is not null group by LAGR, DIM"
+    return "with recursive " + ",\n".join([*INPUTS, search]) + f"""
+select g as LAGR, round((loss + within) / n, 3) as loss, true as proven
+from least_loss join (select LAGR, sum(n) as n, sum(v) as within from ({within}) group by LAGR) s on g = s.LAGR"""
+
+
+def _proven(records, grid, tolerance):
+    found = proven_minimum(records, ["LAGR"], grid, tolerance)
+    return found.select("LAGR", F.round("loss", 3).alias("loss"), ((F.col("gap") <= tolerance) & (F.col("lower") <= F.col("loss"))).alias("proven"))
+
+
+@query(_least_losses("ECM", _SEARCH_FIT))
+def proven_global_minimum(spark, sf_dir):
+    """Least squared loss with a proof that no curve inside the bounds is better by two percent."""
+    return _proven(inputs_of(spark, sf_dir), _SEARCH_BOUNDS, 0.02)
+
+
+@query(_least_losses(_WAVE, replace(_SEARCH_FIT, upper=(150.0, 200.0, 5.0, 0.004))))
+def proven_minimum_of_two_valleys(spark, sf_dir):
+    """The same where the loss has two valleys."""
+    return _proven(inputs_of(spark, sf_dir).withColumn("ECM", F.expr(_WAVE)), _WAVE_BOUNDS, 0.02)
+
+
 _MODEL_YIELDS = "with recursive " + ",\n".join(
     [
         *INPUTS,
