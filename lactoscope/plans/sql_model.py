@@ -23,18 +23,19 @@ left semi join (
 where ECM is not null and DIM < 325
 """
 
-# Days are averaged before lists are made, so a list has one entry per day.
+# Records are reduced to days, and days of groups to days of the herd; the fit gets one row per day.
 PARAMETERS_SQL = """
 with days as (
-  select LAGR, DIM, SIGMA, count(*) as n, avg(ECM) as ecm from fit_rows group by LAGR, DIM, SIGMA
+  select LAGR, DIM, SIGMA, count(*) as n, avg(ECM) as ecm, var_pop(ECM) * count(*) as spread, max(ECM) as peak
+  from fit_rows group by LAGR, DIM, SIGMA
 ), levels as (
-  select case when grouping(LAGR) = 1 then 0 else LAGR end as LAGR, DIM, SIGMA,
-         sum(n) as n, sum(n * ecm) / sum(n) as ecm
+  select case when grouping(LAGR) = 1 then 0 else LAGR end as LAGR, DIM as t, double(SIGMA) as sigma, sum(n) as records, sum(n) as n,
+         sum(n * ecm) / sum(n) as mean, max(peak) as peak,
+         greatest(sum(spread) + sum(n * ecm * ecm) - sum(n * ecm) * sum(n * ecm) / sum(n), 0d) as spread
   from days group by grouping sets ((LAGR, DIM, SIGMA), (DIM, SIGMA))
 )
-select group_name(LAGR) as grp, LAGR,
-       fit_curve(collect_list(double(DIM)), collect_list(ecm), collect_list(SIGMA / sqrt(n))) as parameters
-from levels group by LAGR
+select group_name(LAGR) as grp, LAGR, case when a is not null then array(a, b, c, d) end as parameters, npoints, weighted_sse, status, covariance
+from fit_day_points(table(levels) partition by LAGR)
 """
 
 CURVES_SQL = """

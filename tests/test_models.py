@@ -346,6 +346,29 @@ def test_fit_in_sql_of_many_groups(spark):
         assert a * (1 - np.exp((c - t) / b) / 2) * np.exp(-d * t) == pytest.approx(expected, abs=0.02)
 
 
+def test_fit_as_a_table_function(spark, sample):
+    """One row for each partition, the same as by the DataFrame form; other partitionings are refused."""
+    points = fit.day_points(
+        primary_records(*sample, RUN).withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()}).where("LAGR < 4"), ["LAGR", "LACT"]
+    )
+    register_functions(spark)
+    tables.name_relation(points.unionByName(points.limit(2).withColumn("LACT", F.lit(None).cast("int"))), "some_points")
+    by_sql = spark.sql("select * from fit_day_points(table(some_points) partition by (LAGR, LACT))")
+    ours = {(r.LAGR, r.LACT): r for r in fit.fit_points(spark.table("some_points"), ["LAGR", "LACT"]).collect()}
+    theirs = {(r.LAGR, r.LACT): r for r in by_sql.collect()}
+    assert by_sql.columns == ["LAGR", "LACT", *[f.name for f in fit.FIT_FIELDS]] and sorted(map(str, ours)) == sorted(map(str, theirs))
+    for key, r in ours.items():
+        t = theirs[key]
+        assert (r.status, r.records, r.npoints, r.last_dim) == (t.status, t.records, t.npoints, t.last_dim)
+        for name in ("a", "b", "c", "d", "weighted_sse", "rmse"):
+            assert t[name] == (None if r[name] is None else pytest.approx(r[name], rel=1e-6, abs=1e-9))
+        assert (r.covariance is None) == (t.covariance is None)
+    with pytest.raises(Exception, match="partition the table by"):
+        spark.sql("select * from fit_day_points(table(some_points) partition by LAGR)").collect()
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("select * from fit_day_points(table(select 1 as t) partition by t)").collect()
+
+
 def test_stored_stages_go_to_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert tables.shared_folder(spark).startswith(base + "/") and tables.shared_folder(spark) != tables.shared_folder(spark)
