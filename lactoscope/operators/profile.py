@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DRAWS_IN_A_PASS = 128
+
 
 def null_profile(records: DataFrame, columns: Sequence[str] = ("MILK", "ECM", "PCTF", "PCTP")) -> DataFrame:
     """Row count and number of nulls per column, in one pass."""
@@ -90,16 +93,21 @@ def first_rows(frame: DataFrame, order: Sequence[str | Column], rows: int = 100)
 def random_rows(frame: DataFrame, rows: int = 100, seed: int = 23, keys: Sequence[str] | None = None) -> DataFrame:
     """Exactly ``rows`` draws with replacement, the same on every run.
 
-    Each draw takes the row whose keyed hash is least, so all draws are partial minima of one
-    pass, and parts of a table can be drawn from apart and merged. ``keys`` (all columns if
-    not given) name a row; rows alike in them are drawn as one. An empty input gives none.
+    Each draw takes the row whose keyed hash is least, so parts of a table can be drawn from
+    apart and merged. ``keys`` (all columns if not given) name a row; rows alike in them are
+    drawn as one. An empty input gives none. A draw is an aggregate of its own: tasks hold one
+    row for each and nothing is sorted. Above ``DRAWS_IN_A_PASS`` draws the input is read again.
     """
     names = list(keys or frame.columns)
     # A length before each key, so that no two rows have the same text.
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
     text = F.concat(*[F.concat(F.char_length(t).cast("string"), F.lit(":"), t) for t in texts])
-    drawn = frame.select(F.struct("*").alias("row"), text.alias("text")).select(
-        "row", "text", F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("draw")
-    )
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col("text")))
-    return drawn.groupBy("draw").agg(F.min_by("row", key).alias("row")).select("row.*")
+    keyed = frame.select(F.struct("*").alias("row"), text.alias("text"))
+
+    def pass_of(first: int, last: int) -> DataFrame:
+        least = [F.min_by("row", F.md5(F.concat(F.lit(f"{seed}:{draw}:"), F.col("text")))) for draw in range(first, last + 1)]
+        return keyed.agg(F.array(*least).alias("drawn")).select(F.explode("drawn").alias("row"))
+
+    passes = [pass_of(first, min(first + DRAWS_IN_A_PASS - 1, rows)) for first in range(1, rows + 1, DRAWS_IN_A_PASS)]
+    drawn = reduce(DataFrame.unionByName, passes) if passes else keyed.select("row").limit(0)
+    return drawn.where(F.col("row").isNotNull()).select("row.*")

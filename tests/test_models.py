@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 
 import duckdb
@@ -407,3 +408,17 @@ def test_sources_and_sinks(spark, sample, tmp_path):
     assert tables.save_table(herds.limit(2), "saved_herds").count() == 2
     grid = [r.DIM for r in tables.day_grid(spark, 0, 345, 5).collect()]
     assert grid == list(range(0, 350, 5))
+
+
+def test_random_rows_are_drawn_without_a_copy_of_the_input_per_draw(spark):
+    frame = spark.range(4000).selectExpr("id", "cast(id % 7 as string) as name", "nullif(id % 5, 0) as part")
+    drawn = profile.random_rows(frame, 140, 3)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" not in plan and "Sort" not in plan
+    least = {}
+    for row in frame.collect():
+        text = "".join(f"{len(t)}:{t}" for t in ("" if v is None else str(v) for v in row))
+        for draw in range(1, 141):
+            key = hashlib.md5(f"3:{draw}:{text}".encode()).hexdigest()
+            least[draw] = min(least.get(draw, ("g", None)), (key, tuple(row)), key=lambda found: found[0])
+    assert sorted(map(str, (tuple(r) for r in drawn.collect()))) == sorted(str(row) for _, row in least.values())
