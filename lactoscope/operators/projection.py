@@ -32,6 +32,8 @@ ROUNDS, AGAIN = 8, 3
 # Places on the curve b * d = limit, and rounds that look closer at the best of them.
 EDGE, EDGE_ROUNDS = 257, 12
 _CELLS = 1 << 21
+# Cells of a grid that are laid out at once; the many arrays over them stay in a core's cache.
+_CELLS_AT_ONCE = 1 << 14
 _LARGEST = 300.0
 
 
@@ -46,11 +48,26 @@ def _corner(t0: np.ndarray, b: np.ndarray, lower, upper) -> tuple[np.ndarray, np
     return span[0], span[1]
 
 
+def _finite(values: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(values), values, 0.0)
+
+
 def inner(t, y, w, b, d, lower, upper):
     """Best (a, a * k) and loss for every pair of the ``b`` (n, q) and ``d`` (n, r) of each row.
 
     Results have the shape (n, q, r).
     """
+    return _inner(t, y, w, b, d, lower, upper, True)
+
+
+def inner_loss(t, y, w, b, d, lower, upper):
+    """The loss alone, a few rows at a time."""
+    size = max(1, _CELLS_AT_ONCE // (b.shape[1] * d.shape[1]))
+    parts = [slice(begin, begin + size) for begin in range(0, len(t), size)]
+    return np.concatenate([_inner(*(x[part] for x in (t, y, w, b, d)), lower, upper, False)[2] for part in parts])
+
+
+def _inner(t, y, w, b, d, lower, upper, places: bool):
     t0 = t[:, :1]
     ramp = np.exp(-(t - t0)[:, None, :] / b[:, :, None])
     fall = np.exp(-t[:, None, :] * d[:, :, None])
@@ -64,29 +81,33 @@ def inner(t, y, w, b, d, lower, upper):
     r2 = ramp @ (fall_w * y[:, None, :]).transpose(0, 2, 1)
     low, high = (k[:, :, None] for k in _corner(t0, b, lower, upper))
     a_low, a_high = lower[0], upper[0]
+    twice_g12, twice_r1, twice_r2 = 2.0 * g12, 2.0 * r1, 2.0 * r2
 
     def loss_of(alpha, beta):
-        return alpha * (alpha * g11 - 2.0 * beta * g12 - 2.0 * r1) + beta * (beta * g22 + 2.0 * r2)
+        return alpha * (alpha * g11 - beta * twice_g12 - twice_r1) + beta * (beta * g22 + twice_r2)
 
     with np.errstate(all="ignore"):
         det = g11 * g22 - g12 * g12
         alpha = (r1 * g22 - r2 * g12) / det
         beta = (r1 * g12 - r2 * g11) / det
         free = (det > 1e-11 * g11 * g22) & (alpha >= a_low) & (alpha <= a_high) & (beta >= low * alpha) & (beta <= high * alpha)
-        best = [np.where(free, alpha, 0.0), np.where(free, beta, 0.0), np.where(free, loss_of(alpha, beta), np.inf)]
+        best = [np.where(free, alpha, 0.0), np.where(free, beta, 0.0)] if places else [None, None]
+        best.append(np.where(free, loss_of(alpha, beta), np.inf))
 
         def offer(alpha, beta):
             loss = loss_of(alpha, beta)
             better = loss < best[2]
-            best[0], best[1], best[2] = np.where(better, alpha, best[0]), np.where(better, beta, best[1]), np.where(better, loss, best[2])
+            if places:
+                best[0], best[1] = np.where(better, alpha, best[0]), np.where(better, beta, best[1])
+            best[2] = np.where(better, loss, best[2])
 
         for k in (low, high):
-            bottom = g11 - 2.0 * k * g12 + k * k * g22
-            on_edge = np.clip(np.nan_to_num((r1 - k * r2) / bottom, nan=0.0, posinf=0.0, neginf=0.0), a_low, a_high)
+            bottom = g11 - k * twice_g12 + k * k * g22
+            on_edge = np.clip(_finite((r1 - k * r2) / bottom), a_low, a_high)
             offer(on_edge, k * on_edge)
         for level in {a_low, a_high}:
-            across_it = np.nan_to_num((level * g12 - r2) / g22, nan=0.0, posinf=0.0, neginf=0.0)
-            offer(np.full_like(det, level), np.clip(across_it, low * level, high * level))
+            across_it = _finite((level * g12 - r2) / g22)
+            offer(level, np.clip(across_it, low * level, high * level))
     whole = (w * y * y).sum(axis=1)[:, None, None]
     return best[0], best[1], whole + best[2]
 
@@ -128,7 +149,7 @@ def _around(t, y, w, u, d, steps, bounds, lower, upper):
     for _ in range(ROUNDS):
         us = np.clip(u[:, None] + around * (size[:, None] * steps[0]), u_low, u_high)
         ds = np.clip(d[:, None] + around * (size[:, None] * steps[1]), d_low, d_high)
-        found = inner(t, y, w, np.exp(us), ds, lower, upper)[2].reshape(-1, 25)
+        found = inner_loss(t, y, w, np.exp(us), ds, lower, upper).reshape(-1, 25)
         found = np.where(np.isfinite(found), found, np.inf)
         at = found.argmin(axis=1)
         loss, stays = found[every, at], at == 12
@@ -147,7 +168,7 @@ def _along_limit(t, y, w, limit, bounds, lower, upper):
         d = np.minimum(limit / np.exp(u), d_high)
         many = u.shape[1]
         rows = [np.repeat(x, many, axis=0) for x in (t, y, w)]
-        loss = inner(*rows, np.exp(u).reshape(-1, 1), d.reshape(-1, 1), lower, upper)[2].reshape(n, many)
+        loss = inner_loss(*rows, np.exp(u).reshape(-1, 1), d.reshape(-1, 1), lower, upper).reshape(n, many)
         loss = np.where(np.isfinite(loss) & (d >= d_low), loss, np.inf)
         at = loss.argmin(axis=1)
         better = loss[np.arange(n), at] < best_loss
@@ -185,7 +206,7 @@ def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500, limit
         for begin in range(0, n, size):
             rows = np.arange(begin, min(begin + size, n))
             tr, yr, wr = t[rows], y[rows], w[rows]
-            grid = inner(tr, yr, wr, np.tile(np.exp(us), (len(rows), 1)), np.tile(ds, (len(rows), 1)), lower, upper)[2]
+            grid = inner_loss(tr, yr, wr, np.tile(np.exp(us), (len(rows), 1)), np.tile(ds, (len(rows), 1)), lower, upper)
             whose, i, d = _valleys(np.where(np.isfinite(grid), grid, np.finfo(float).max / 8), ds, VALLEYS)
 
             def closed(who, u, d):
