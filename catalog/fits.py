@@ -43,7 +43,7 @@ from lactoscope.plans import group_model as group_plan
 from lactoscope.plans import lactation_model, median_model, sql_model
 from lactoscope.settings import EARLY_MEDIAN_FIT, GROUP_FIT, LACTATION_FIT, SINGLE_ANIMAL_FIT, UNBOUNDED_FIT, FitSettings
 from lactoscope.sources.sample_mapping import mapped_test_days
-from lactoscope.sources.tables import rename_test_days
+from lactoscope.sources.tables import cut_lineage, rename_test_days
 
 LEVELS = """levels as (
   select LAGR, DIM, SIGMA, ECM from fit_rows union all select cast(0 as int), DIM, SIGMA, ECM from fit_rows)"""
@@ -566,7 +566,8 @@ from lactations where records >= {LACTATION_FIT.min_points} and npoints > 0""",
 def known_lactation_curves(spark, sf_dir):
     """Lactation fits of every lactation's own days and gaps, with yields on a known curve."""
     events = _known_test_days(spark, sf_dir)
-    fits = lactation_model.fit_lactations(events)
+    # Read twice, for the outcomes and for the residuals.
+    fits = cut_lineage(lactation_model.fit_lactations(events))
     return _with_worst_error(fits, lactation_model.fit_residuals(events, fits), lactation_model.KEYS)
 
 
