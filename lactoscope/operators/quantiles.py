@@ -39,8 +39,8 @@ def exact_quantiles(frame: DataFrame, column: str, shares: Sequence[float], by:
     """``by, share, value``: the least value with at least that share of the group's values at or below it.
 
     Nulls and values that are not numbers do not count; a group without values gives no row.
-    Infinite values are values. The rows are read four times, so a frame that is costly to
-    make should be stored.
+    Infinite values are values. The rows are read four times, so their keys and values are
+    stored first.
     """
     group = [f"by{i}_" for i in range(len(by))] + ["all_"]
     value = F.col(column).cast("double")
@@ -48,7 +48,7 @@ def exact_quantiles(frame: DataFrame, column: str, shares: Sequence[float], by:
     rows = frame.where(value.isNotNull() & ~F.isnan(value)).select(*keys, F.lit(0).alias("all_"), value.alias("x"))
     # Infinities have no place between bounds; they stand for the ends of all doubles.
     largest = F.lit(1.7976931348623157e308)
-    rows = rows.withColumn("v", F.greatest(F.least(F.col("x"), largest), -largest))
+    rows = cut_lineage(rows).withColumn("v", F.greatest(F.least(F.col("x"), largest), -largest))
     span = [F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")]
     whole = cut_lineage(rows.groupBy(*group).agg(*span))
     ranked = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share")) for s in shares])).alias("s")
