@@ -28,7 +28,8 @@ def fill_components(
 ) -> DataFrame:
     """Fill ``columns`` within each key; other columns are unchanged."""
     place = [*keys, dim]
-    days = records.groupBy(*place).agg(
+    # Dealt by lactation, as its days and then its windows need them.
+    days = records.select(*place, *columns).repartition(*keys).groupBy(*place).agg(
         *[F.max(c).alias(f"{c}_high") for c in columns], *[F.min(c).alias(f"{c}_low") for c in columns]
     )
     series = W.partitionBy(*keys).orderBy(dim)
