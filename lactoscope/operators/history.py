@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lactoscope.settings import Settings
@@ -55,20 +57,29 @@ def keep_accepted(records: DataFrame, accepted: DataFrame, keys: Sequence[str] =
     return records.join(accepted, list(keys), "left_semi")
 
 
+def of_accepted(records: DataFrame, row_rules: Sequence[str], count_rule: str, keys: Sequence[str]) -> DataFrame:
+    """Records of the lactations that ``accepted_lactations`` gives, counted beside the records.
+
+    The records are read and moved once; those without a key belong to no lactation.
+    """
+    meets = reduce(lambda x, y: x & y, [F.expr(f"({rule})") for rule in row_rules])
+    counted = records.dropna(subset=list(keys)).select("*", F.count_if(meets).over(W.partitionBy(*keys)).alias("count"))
+    # A lactation without a record under the rules is never accepted.
+    return counted.where(F.col("count") > 0).where(count_rule).select(*records.columns)
+
+
 def fit_records(records: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Records for the group fits: lactations seen late enough, inside the fit window."""
     keys = [*by, *settings.lactation_keys]
-    accepted = accepted_lactations(
-        records, (settings.accept_ecm, settings.accept_dim), settings.accept_count, keys
-    )
-    return keep_accepted(records.where(settings.fit_rows), accepted, keys)
+    rules = (settings.accept_ecm, settings.accept_dim)
+    return of_accepted(records, rules, settings.accept_count, keys).where(settings.fit_rows)
 
 
 def individual_records(records: DataFrame, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     """Records for individual scaling: lactations with enough usable test days."""
     keys = [*by, *settings.lactation_keys]
-    accepted = accepted_lactations(records, (settings.accept_ecm,), settings.individual_count, keys)
-    return keep_accepted(records.where(settings.individual_rows), accepted, keys)
+    rows = of_accepted(records, (settings.accept_ecm,), settings.individual_count, keys)
+    return rows.where(settings.individual_rows)
 
 
 def history_columns() -> list[Column]:
