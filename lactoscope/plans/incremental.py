@@ -97,8 +97,10 @@ def _in_look_back(date: Column, last: Column, settings: Settings) -> Column:
 
 def points_by_group(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Stored points as the points of each herd's groups, and of the herd as group 0."""
-    keys = [*BY, *settings.lactation_keys, "LAGR"]
-    days = merge_points(points, keys, [F.sum("accepted_rows").alias("accepted_rows")])
+    lactation = [*BY, *settings.lactation_keys]
+    keys = [*lactation, "LAGR"]
+    # Dealt by lactation, so that its days are merged and then accepted where they are.
+    days = merge_points(points.repartition(*lactation), keys, [F.sum("accepted_rows").alias("accepted_rows")])
     return with_herd_level(accept_days(days, "LAGR", settings, BY), BY)
 
 
