@@ -46,9 +46,10 @@ def _retained(words: np.ndarray, window: int, gram: int, head: int) -> tuple[np.
 
 
 def _listed(row: int, key: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """``row, key, places``: each distinct key of a text once, with all its places."""
+    """``row, key, places``: each distinct key of a text once, with all its places, four bytes each."""
     keys, offsets, order = _by_key(key)
-    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places[order].astype(np.int32)))
+    buffers = [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(places[order].astype("<i4"))]
+    lists = pa.Array.from_buffers(pa.binary(), len(keys), buffers)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row, dtype=np.int64)), pa.array(keys.view(np.int64)), lists], ["row", "key", "places"])
 
 
@@ -68,7 +69,12 @@ def suffixes(rows: DataFrame, window: int, gram: int, head: int) -> DataFrame:
             if found:
                 yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, key long, places array<int>")
+    return rows.select(F.col("row_number_").alias("row"), "text").mapInArrow(run, "row long, key long, places binary")
+
+
+def _unpacked(places: pa.Scalar) -> np.ndarray:
+    """The places of all keys found in one text."""
+    return np.frombuffer(b"".join(places.as_py()), dtype="<i4")
 
 
 def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +147,7 @@ def same_key(a: pa.Table, b: pa.Table) -> np.ndarray:
 
 def _passages(rows: DataFrame, found: DataFrame, min_words: int, window: int) -> DataFrame:
     """``row, key, places``: runs of ``min_words`` words that begin less than a window before a repeated suffix."""
-    whole = found.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("near"))
+    whole = found.groupBy("row").agg(F.collect_list("places").alias("near"))
     texts = rows.select(F.col("row_number_").alias("row"), "text").join(whole, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +155,14 @@ def _passages(rows: DataFrame, found: DataFrame, min_words: int, window: int) ->
             found = []
             for row, text, near in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("near")):
                 keys = window_hashes(hashed_words(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)), min_words)
-                pos = near.values.to_numpy()
+                pos = _unpacked(near).astype(np.int64)
                 starts = np.flatnonzero(covered(np.maximum(pos - window + 1, 0), np.minimum(pos + 1, window), len(keys) + window)[: len(keys)])
                 if len(starts):
                     found.append(_listed(row, keys[starts], starts))
             if found:
                 yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return texts.select("row", "text", "near").mapInArrow(run, "row long, key long, places array<int>")
+    return texts.select("row", "text", "near").mapInArrow(run, "row long, key long, places binary")
 
 
 def _spans(rows: DataFrame, min_words: int, window: int, gram: int, earlier_only: bool) -> DataFrame:
@@ -169,12 +175,12 @@ def _spans(rows: DataFrame, min_words: int, window: int, gram: int, earlier_only
     shared = with_neighbours(passages, ("key", "row"), same_key)
     known = stored((shared.where("before > 0") if earlier_only else shared).select("row", "places"))
     discard(passages, shared)
-    whole = known.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("starts"))
+    whole = known.groupBy("row").agg(F.collect_list("places").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, starts in zip(batch.column("row").to_pylist(), batch.column("starts")):
-                at = np.sort(starts.values.to_numpy())
+                at = np.sort(_unpacked(starts))
                 first = np.flatnonzero(np.concatenate([[True], np.diff(at) >= min_words]))
                 ends = at[np.append(first[1:], len(at)) - 1] + min_words
                 columns = [np.full(len(first), row, dtype=np.int64), at[first].astype(np.int32), ends.astype(np.int32)]

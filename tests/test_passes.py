@@ -86,3 +86,28 @@ def test_records_are_read_once_to_accept_their_lactations(shuffled_joins, rule):
     kept = rule(rows)
     assert len(exchanges(kept)) == 1 and kept.columns == rows.columns
     assert all(r.BDAT is not None and r.ECM is not None for r in kept.collect()) and kept.count() > 0
+
+
+def test_stored_points_move_once_to_their_lactation(spark):
+    from lactoscope.plans.incremental import _POINTS, points_by_group
+
+    points = spark.range(40).selectExpr(
+        "date '2020-01-01' + cast(id % 5 as int) as BDAT", "string(id % 5) as ID", "int(id % 5 + 1) as LACT", "int(id % 4 + 1) as LAGR",
+        "date '2021-01-01' + cast(id as int) as TestDate", "int(200 + id) as t", "1e0 as sigma", "id * 0 + 1 as records", "id * 0 + 1 as n",
+        "id * 1e0 as mean", "0e0 as spread", "id * 1e0 as peak", "id * 0 + 1 as accepted_rows", "int(1 + id % 2) as SourceCode", "int(id % 5) as SourceHerdID",
+    )
+    assert points.columns == _POINTS.fieldNames()
+    found = points_by_group(points)
+    moves = exchanges(found)
+    assert sum("hashpartitioning(BDAT" in m or "BDAT#" in m for m in moves) == 1
+    assert sum(r.n for r in found.collect()) == 80
+
+
+def test_places_of_passages_move_as_plain_bytes(spark):
+    from lactoscope.llm.suffixes import suffixes
+
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(90)))], "row_number_ long, text string")
+    found = suffixes(texts, 16, 5, 35)
+    assert dict(found.dtypes)["places"] == "binary"
+    places = [np.frombuffer(r.places, dtype="<i4") for r in found.collect()]
+    assert places and all(len(p) == 1 and 0 <= p[0] <= 55 for p in places)
