@@ -216,7 +216,8 @@ def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WIND
     rows = numbered(shield.rows)
     spans = _spans(rows, min_words, window, gram, True)
     cuts = stored(spans.groupBy("row_number_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts_")))
-    joined = rows.join(cuts, "row_number_", "left").drop("row_number_")
+    # The cuts grow with the table and are soon too many for a broadcast: one plan at every size.
+    joined = rows.join(cuts.hint("merge"), "row_number_", "left").drop("row_number_")
     at = shield.rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

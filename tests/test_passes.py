@@ -111,3 +111,17 @@ def test_places_of_passages_move_as_plain_bytes(spark):
     assert dict(found.dtypes)["places"] == "binary"
     places = [np.frombuffer(r.places, dtype="<i4") for r in found.collect()]
     assert places and all(len(p) == 1 and 0 <= p[0] <= 55 for p in places)
+
+
+def test_texts_meet_their_cuts_by_one_plan_at_every_size(spark, tmp_path):
+    """A small table is measured with the join that a large one gets."""
+    from lactoscope.llm.suffixes import cut_passages
+
+    text = " ".join(f"w{i}" for i in range(90))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, text), (2, f"first {text} last"), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    left = cut_passages(spark.read.parquet(path))
+    found = {r.doc_id: r.text for r in left.collect()}
+    plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan
+    assert found == {1: text, 2: "first last", 3: None}
