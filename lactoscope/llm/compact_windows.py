@@ -14,11 +14,13 @@ very many texts have one, and values that only one text has are dropped first. W
 left of a text is joined by intervals: two functions' windows that share a stretch of full
 width make a joint signature. Texts with a joint signature are sorted by what stands
 around the two least hashes, so copies stand side by side even where many texts have
-nothing but the signature in common, and each is paired with the next one: a passage in
-very many texts costs two partners in each, never a pair of any two. Places of a text and
-of its partner are merged, and the passage is verified shingle by shingle: it ends where
-fewer than four of five shingles are the partner's too. A stage is deleted once those that
-read it are stored.
+nothing but the signature in common, and each is paired with the next one. Places of a
+text and of its partner are merged, and the passage is verified shingle by shingle: it ends
+where fewer than four of five shingles are the partner's too. Texts with verified passages
+are joined to classes. Under each signature that texts of several classes have, all texts of
+different classes are then compared in blocks, so no third text between two hides their
+passage, and a passage in very many texts costs a chain of links, never a pair of any two.
+A stage is deleted once those that read it are stored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lactoscope.llm.components import components
 from lactoscope.llm.stages import discard, numbered, stored
 from lactoscope.llm.suffixes import same_key, with_neighbours
 from lactoscope.llm.words import as_bytes, hashed_words, mixed, sliding, window_hashes
@@ -45,6 +48,11 @@ _AROUND, _ORDER_SEED = 8, 0x452821E638D01377
 # Pairs of windows, shingles to be compared and shingles under trees that a task holds at once (or one text's).
 _PAIRS_AT_ONCE, _SHINGLES_AT_ONCE, _SHINGLES_IN_TREES = 1 << 20, 1 << 21, 1 << 17
 
+# Stretches and shingles of a signature in a block; a stretch alone may have more shingles.
+_BLOCK_ROWS, _BLOCK_SHINGLES = 256, 1 << 17
+# So many pairs of a block are scanned together before they are verified one by one.
+_SCANNED_FROM = 500
+
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     data = np.frombuffer(as_bytes(text).lower(), dtype=np.uint8)
@@ -195,12 +203,13 @@ def _meeting(fn, low, at, high, width) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def neighbour_pairs(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``row, other, mine, theirs``: texts that follow each other under one signature.
+    """``row, other, mine, theirs, sign``: texts that follow each other under one signature.
 
     The signatures are range partitioned and sorted, with what stands around the least
     hashes next and the text last, so one that very many texts have is spread over tasks. Two rows of each partition go to the driver,
     which pairs those on two sides of a partition bound. The stage they are read from is
-    returned beside them. ``row`` is the later text of a pair.
+    returned beside them. ``row`` is the later text of a pair; ``sign`` is null where no
+    third text has the signature.
     """
     schema = "row long, other long, mine binary, theirs binary, sign long, part int, edge int"
     kinds = [("row", pa.int64()), ("other", pa.int64()), ("mine", pa.binary()), ("theirs", pa.binary()), ("sign", pa.int64()), ("part", pa.int32()), ("edge", pa.int32())]
@@ -208,7 +217,7 @@ def neighbour_pairs(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held = TaskContext.get().partitionId(), None
+        part, held, third = TaskContext.get().partitionId(), None, True
 
         def marked(row: pa.Table, edge: int) -> list[pa.RecordBatch]:
             values = (row.column("row"), row.column("row"), row.column("places"), row.column("places"), row.column("sign"), [part], [edge])
@@ -223,10 +232,13 @@ def neighbour_pairs(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
             else:
                 table = pa.concat_tables([held, table]).combine_chunks()
             sign, n = table.column("sign").to_numpy(), table.num_rows
-            later = np.flatnonzero(sign[1:] == sign[:-1]) + 1
+            same = sign[1:] == sign[:-1]
+            # Rows beyond the batch or the partition are taken to have the signature too.
+            more = np.concatenate([[third], same[:-1]]) | np.append(same[1:], True) if n > 1 else same
+            later, third = np.flatnonzero(same) + 1, bool(same[-1]) if n > 1 else True
             mine, theirs = table.take(pa.array(later)), table.take(pa.array(later - 1))
             rest = [pa.array(np.full(len(later), v, dtype=np.int32)) for v in (part, 0)]
-            columns = [mine.column("row"), theirs.column("row"), mine.column("places"), theirs.column("places"), mine.column("sign"), *rest]
+            columns = [mine.column("row"), theirs.column("row"), mine.column("places"), theirs.column("places"), pa.array(sign[later], mask=~more[later - 1]), *rest]
             yield from pa.table(columns, schema=pa.schema(kinds)).to_batches()
             held = table.slice(n - 1)
         if held is not None:
@@ -236,13 +248,13 @@ def neighbour_pairs(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(signs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
     edges = found.where("edge > 0").orderBy("part", "edge").collect()
     across = [
-        (b.row, a.row, b.mine, a.mine) for a, b in zip(edges, edges[1:]) if a.part != b.part and a.edge == 2 and b.edge == 1 and a.sign == b.sign
+        (b.row, a.row, b.mine, a.mine, b.sign) for a, b in zip(edges, edges[1:]) if a.part != b.part and a.edge == 2 and b.edge == 1 and a.sign == b.sign
     ]
-    inner = found.where("edge = 0").select("row", "other", "mine", "theirs")
+    inner = found.where("edge = 0").select("row", "other", "mine", "theirs", "sign")
     pairs = inner.unionByName(signs.sparkSession.createDataFrame(across, inner.schema))
     later = F.col("row") > F.col("other")
     sides = [F.when(later, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("mine", "theirs"), ("theirs", "mine"))]
-    return pairs.select(F.greatest("row", "other").alias("row"), F.least("row", "other").alias("other"), *sides), found
+    return pairs.select(F.greatest("row", "other").alias("row"), F.least("row", "other").alias("other"), *sides, "sign"), found
 
 
 def _merged(places: list[bytes]) -> list[dict[str, int]]:
@@ -256,17 +268,17 @@ def _merged(places: list[bytes]) -> list[dict[str, int]]:
 
 
 def _regions(pairs: DataFrame) -> DataFrame:
-    """For each text and partner, the merged places of both: ``row, other, mine, theirs``."""
-    whole = pairs.groupBy("row", "other").agg(F.collect_list("mine").alias("mine"), F.collect_list("theirs").alias("theirs"))
+    """For each text and partner, the merged places of both and the signatures that a third text has: ``row, other, mine, theirs, signs``."""
+    whole = pairs.groupBy("row", "other").agg(*(F.collect_list(c).alias(f"{c}s" if c == "sign" else c) for c in ("mine", "theirs", "sign")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
         for batch in batches:
             merged = [pa.array([_merged(p) for p in batch.column(c).to_pylist()], kind) for c in ("mine", "theirs")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("other"), *merged], ["row", "other", "mine", "theirs"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("other"), *merged, batch.column("signs")], ["row", "other", "mine", "theirs", "signs"])
 
     ranges = "array<struct<low: int, high: int>>"
-    return whole.mapInArrow(run, f"row long, other long, mine {ranges}, theirs {ranges}")
+    return whole.mapInArrow(run, f"row long, other long, mine {ranges}, theirs {ranges}, signs array<long>")
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -326,16 +338,216 @@ def dense_stretches(shared: np.ndarray, similarity: float, width: int) -> list[t
     return found
 
 
+def verified_passages(sides: list[list[tuple[int, np.ndarray]]], similarity: float, width: int, size: int) -> list[tuple[int, int, int, float]]:
+    """``side, start_word, n_words, similarity``: passages of each of two texts that are near the other's stretches."""
+    out = []
+    for mine, theirs in ((0, 1), (1, 0)):
+        known = np.sort(np.concatenate([h for _, h in sides[theirs]]))
+        for low, hashes in sides[mine]:
+            shared = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+            for a, b in dense_stretches(shared, similarity, width):
+                share = float(shared[a:b].mean())
+                if share >= similarity:
+                    out.append((mine, low + a, b - a + size - 1, round(share, 4)))
+    return out
+
+
+def _dealt(row: Column, back: bool = False) -> Column:
+    """A number of its own for each row number, in an order unlike theirs, and back."""
+    low, high = row.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(row, 32)
+    for side in (1, 0) if back else (0, 1):
+        if side:
+            low = low.bitwiseXOR(F.xxhash64(high).bitwiseAND(0xFFFFFFFF))
+        else:
+            high = high.bitwiseXOR(F.xxhash64(low).bitwiseAND(0x7FFFFFFF))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    """``node, root`` of each row with a link ``a, b``; a chain in the order of rows would take a round for each of its links."""
+    found = components(links.select(_dealt(F.col("a")).alias("a"), _dealt(F.col("b")).alias("b")))
+    return found.select(*(_dealt(F.col(c), back=True).alias(c) for c in ("node", "root")))
+
+
+def _open_stretches(rows: DataFrame, signs: DataFrame, regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """``row, sign, places, root, rest``: texts under signatures that several classes have, one of equal texts of a class.
+
+    A signature of several classes has neighbours of two classes. ``rest`` are the texts outside
+    a signature's largest class.
+    """
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    apart = regions.where(F.size("signs") > 0).select("row", "other", "signs").join(of("row"), "row", "left").join(of("other"), "other", "left")
+    apart = apart.where(F.coalesce("row_root", "row") != F.coalesce("other_root", "other"))
+    wanted = stored(apart.select(F.explode("signs").alias("sign")).distinct())
+    texts = rows.select(F.col("row_number_").alias("row"), F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("l"))
+    texts = texts.join(of("row"), "row", "left").groupBy("k", "l", F.coalesce("row_root", "row").alias("root")).agg(F.min("row").alias("row"))
+    held = stored(signs.join(F.broadcast(wanted), "sign").select("row", "sign", "places").join(texts.select("row", "root"), "row"))
+    counts = held.groupBy("sign", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("sign").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    found = stored(held.join(largest.select("sign", "most.root").withColumnRenamed("root", "main"), "sign").select("row", "sign", "places", "root", (F.col("root") != F.col("main")).alias("rest")))
+    discard(wanted, held)
+    return found
+
+
+def _open_shingles(rows: DataFrame, found: DataFrame, width: int, size: int) -> DataFrame:
+    """``sign, row, root, rest, n, ranges, hashes``: shingles of each text's stretches under a signature, and of ``width`` places around.
+
+    A passage holds the two least hashes but may begin before one text's stretch or end behind it.
+    ``ranges`` are pairs of 32-bit numbers, the first place and the length of each stretch.
+    """
+    places = found.groupBy("row").agg(F.first("root").alias("root"), F.collect_list(F.struct("sign", "places", "rest")).alias("found"))
+    texts = rows.select(F.col("row_number_").alias("row"), "text").join(places, "row")
+    names = ["sign", "row", "root", "rest", "n", "ranges", "hashes"]
+    kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, root, text, found in zip(*(batch.column(c) for c in ("row", "root", "text", "found"))):
+                hashes, row, root, out, held = shingles(text.as_py(), size).astype("<u4"), row.as_py(), root.as_py(), [], 0
+                for one in found:
+                    bounds = np.frombuffer(one["places"].as_py(), dtype="<i4").reshape(-1, 2) + np.array([-width, width], dtype="<i4")
+                    ranges = [(r["low"], r["high"] - r["low"] + 1) for r in _merged([np.clip(bounds, 0, len(hashes) - 1).tobytes()])]
+                    cut = b"".join(hashes[low : low + n].tobytes() for low, n in ranges)
+                    out.append((one["sign"].as_py(), row, root, one["rest"].as_py(), len(cut) // 4, np.array(ranges, dtype="<i4").tobytes(), cut))
+                    held += len(cut) // 4
+                    if held >= _SHINGLES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return texts.select("row", "root", "text", "found").mapInArrow(run, "sign long, row long, root long, rest boolean, n long, ranges binary, hashes binary")
+
+
+class _Places:
+    """Which places of some stretches hold a shingle of each of some other ones."""
+
+    def __init__(self, mine: list[np.ndarray], theirs: list[np.ndarray]):
+        self.lengths, self.n = np.array([len(h) for h in mine]), len(theirs)
+        self.ends, hashes = np.cumsum(self.lengths), np.concatenate(mine)
+        keys, place = np.unique(np.concatenate(theirs), return_inverse=True)
+        self.has = np.zeros((len(keys) + 1, self.n), dtype=np.uint8)
+        self.has[place, np.repeat(np.arange(self.n), [len(h) for h in theirs])] = 1
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        # The last row is of shingles that no other stretch has.
+        self.at = np.where(keys[at] == hashes, at, len(keys))
+
+    def counts(self) -> np.ndarray:
+        """How many places each stretch shares with each other one."""
+        out, starts = [], self.ends - self.lengths
+        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(self.ends * self.n >> 24)) + 1):
+            low = starts[part[0]]
+            out.append(np.add.reduceat(self.has[self.at[low : self.ends[part[-1]]]], starts[part] - low, axis=0, dtype=np.int32))
+        return np.concatenate(out)
+
+    def dense(self, i: np.ndarray, j: np.ndarray, similarity: float, width: int) -> np.ndarray:
+        """Of pairs of a stretch and another one, all for which ``dense_stretches`` finds any, and few others: its scan over many pairs at once."""
+        found, order = np.zeros(len(i), dtype=bool), np.argsort(self.lengths[i], kind="stable")
+        for part in np.array_split(order, len(order) // 4096 + 1):
+            first, n = (self.ends - self.lengths)[i[part]], self.lengths[i[part]]
+            score, wide, ok = np.zeros(len(part)), np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=bool)
+            for k in range(n.max(initial=0)):
+                # Shorter stretches come first and end.
+                on = np.searchsorted(n, k, side="right")
+                shared = self.has[self.at[first[on:] + k], j[part[on:]]].astype(bool)
+                s, w = score[on:], wide[on:]
+                anew = shared & (s < -1e-9)
+                s[anew], w[anew] = 0, 0
+                s += shared - similarity
+                w += 1
+                ok[on:] |= shared & (w >= width) & (s > -1e-9)
+            found[part] = ok
+        return found
+
+
+def _links_of_block(left: list[dict], right: list[dict], similarity: float, width: int, size: int) -> Iterator[tuple]:
+    """``a, b, row, other, found``: links of texts of two classes, as many as join the classes of a block."""
+    cut = [[np.frombuffer(p["hashes"], dtype="<u4") for p in side] for side in (left, right)]
+    ours, theirs = _Places(*cut), _Places(*cut[::-1])
+    roots, at = ([np.array([p[c] for p in side]) for side in (left, right)] for c in ("root", "row"))
+    # A stretch with a passage has so many places with a shingle of the other one.
+    least = int(np.ceil(similarity * width - 1e-9))
+    likely = (ours.counts() >= least) | (theirs.counts() >= least).T
+    # Two texts outside the largest class meet twice.
+    rest = np.array([p["rest"] for p in left])[:, None]
+    likely &= (roots[0][:, None] != roots[1]) & (~rest | (at[0][:, None] < at[1]))
+    i, j = np.nonzero(likely)
+    if len(i) > _SCANNED_FROM:
+        dense = ours.dense(i, j, similarity, width) | theirs.dense(j, i, similarity, width)
+        i, j = i[dense], j[dense]
+    joined: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in joined:
+            root = joined[root]
+        return root
+
+    for i, j in zip(i.tolist(), j.tolist()):
+        a, b = top(left[i]["root"]), top(right[j]["root"])
+        if a == b:
+            continue
+        sides = []
+        for p, h in ((left[i], cut[0][i]), (right[j], cut[1][j])):
+            low, n = np.frombuffer(p["ranges"], dtype="<i4").reshape(-1, 2).T
+            sides.append(list(zip(low.tolist(), np.split(h, np.cumsum(n)[:-1]))))
+        found = verified_passages(sides, similarity, width, size)
+        if found:
+            joined[max(a, b)] = min(a, b)
+            yield min(left[i]["root"], right[j]["root"]), max(left[i]["root"], right[j]["root"]), left[i]["row"], right[j]["row"], found
+
+
+def links_between_classes(cut: DataFrame, similarity: float, width: int, size: int) -> DataFrame:
+    """``a, b, row, other, found``: links that join all classes with a near passage under one signature, one for each two classes.
+
+    Texts of a signature are dealt to blocks by their row. Each block meets those of the texts
+    outside the largest class, so copies in one class are moved once and not compared.
+    """
+    blocks = lambda n, length: F.ceil(F.greatest(n / _BLOCK_ROWS, length / _BLOCK_SHINGLES, F.lit(1))).cast("int")
+    rest = F.col("rest")
+    sizes = cut.groupBy("sign").agg(
+        blocks(F.count("*"), F.sum("n")).alias("all_blocks"), blocks(F.count_if(rest), F.sum(F.when(rest, F.col("n")))).alias("rest_blocks")
+    )
+    dealt = cut.join(sizes, "sign")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stretch = F.struct("row", "root", "rest", "ranges", "hashes").alias("stretch")
+    left = dealt.select("sign", block("all_blocks").alias("i"), every("rest_blocks").alias("j"), F.lit(0).alias("side"), stretch)
+    right = dealt.where(rest).select("sign", every("all_blocks").alias("i"), block("rest_blocks").alias("j"), F.lit(1).alias("side"), stretch)
+    met = left.unionByName(right).groupBy("sign", "i", "j").agg(F.collect_list(F.struct("side", "stretch")).alias("met"))
+    passage = pa.struct([("side", pa.int32()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for met in batch.column("met"):
+                sides = [[], []]
+                for one in met.as_py():
+                    sides[one["side"]].append(one["stretch"])
+                if all(sides):
+                    for side in sides:
+                        side.sort(key=lambda p: p["row"])
+                    out += _links_of_block(*sides, similarity, width, size)
+            columns = list(zip(*out)) or [()] * 5
+            found = pa.array([[dict(zip(("side", "start_word", "n_words", "similarity"), f)) for f in fs] for fs in columns[4]], pa.list_(passage))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), found], ["a", "b", "row", "other", "found"])
+
+    found = met.select("met").mapInArrow(run, "a long, b long, row long, other long, found array<struct<side: int, start_word: long, n_words: long, similarity: double>>")
+    return found.groupBy("a", "b").agg(F.min(F.struct("row", "other", "found")).alias("link")).select("a", "b", "link.*")
+
+
 def near_passages(
     docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS, size: int = SHINGLE
 ) -> DataFrame:
-    """``doc_id, other_doc_id, start_word, n_words, similarity``: passages near one of another row.
+    """``doc_id, other_doc_id, start_word, n_words, similarity, class_id``: passages near one of another row.
 
     A passage has ``min_words`` words or more, of whose shingles at least ``similarity``
-    are in the partner's passage. Partners are rows that follow each other among those with a
-    joint signature, ordered by what stands around it; a pair of rows is returned from both
-    sides, each with its own place. Null, empty and short texts have no passage; rows of one
-    ``doc_id``, null or not, are texts of their own. ``docs`` has to be a stored table.
+    are in the partner's passage. Any two rows with a joint signature and a near passage under
+    it have one ``class_id``, a row number that no other class has; rows not returned are
+    classes of their own. Partners are rows that follow each other among those with a joint
+    signature, ordered by what stands around it, and one pair of each two classes that a further
+    passage joins; a pair is returned from both sides, each with its own place. Null, empty
+    and short texts have no passage; rows of one ``doc_id``, null or not, are texts of their
+    own. ``docs`` has to be a stored table.
     """
     rows = numbered(docs.select("doc_id", "text"))
     width = min_words - size + 1
@@ -345,7 +557,6 @@ def near_passages(
     signs = stored(joint_signatures(left, width), batch_rows=1000)
     discard(left)
     pairs, found = neighbour_pairs(signs)
-    discard(signs)
     regions = stored(_regions(pairs), batch_rows=1000)
     discard(found)
     wanted = regions.select(F.col("row").alias("text_row"), "row", "other", F.lit(0).alias("side"), F.col("mine").alias("ranges")).unionByName(
@@ -358,14 +569,8 @@ def near_passages(
             out = []
             for row, other, parts in zip(*(batch.column(c).to_pylist() for c in ("row", "other", "parts"))):
                 sides = [[(p["low"], np.frombuffer(p["hashes"], dtype="<u4")) for p in parts if p["side"] == s] for s in (0, 1)]
-                for mine, theirs, here, there in ((0, 1, row, other), (1, 0, other, row)):
-                    known = np.sort(np.concatenate([h for _, h in sides[theirs]]))
-                    for low, hashes in sides[mine]:
-                        shared = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-                        for a, b in dense_stretches(shared, similarity, width):
-                            share = float(shared[a:b].mean())
-                            if share >= similarity:
-                                out.append((here, there, low + a, b - a + size - 1, round(share, 4)))
+                pair = (row, other)
+                out += [(pair[side], pair[1 - side], *found) for side, *found in verified_passages(sides, similarity, width, size)]
             names, kinds = ["row", "other", "start_word", "n_words", "similarity"], [pa.int64()] * 4 + [pa.float64()]
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -373,7 +578,22 @@ def near_passages(
     verified = stored(
         both.mapInArrow(run, "row long, other long, start_word long, n_words long, similarity double").distinct(), batch_rows=16
     )
-    discard(regions)
+    classes = _classes(verified.select(F.col("row").alias("a"), F.col("other").alias("b")))
+    between = _open_stretches(rows, signs, regions, classes)
+    discard(regions, signs)
+    cut = stored(_open_shingles(rows, between, width, size), batch_rows=1000)
+    discard(between)
+    links = stored(links_between_classes(cut, similarity, width, size), batch_rows=16)
+    discard(cut)
+    ends = F.col("side") == 0
+    further = links.select("row", "other", F.explode("found").alias("one")).select("row", "other", "one.*")
+    further = further.select(
+        F.when(ends, F.col("row")).otherwise(F.col("other")).alias("row"), F.when(ends, F.col("other")).otherwise(F.col("row")).alias("other"), "start_word", "n_words", "similarity"
+    )
+    joined = _classes(links.select("a", "b")).withColumnsRenamed({"node": "of", "root": "class_id"})
+    of = classes.select(F.col("node").alias("row"), F.col("root").alias("of"))
+    passages = verified.unionByName(further).join(of, "row", "left").withColumn("of", F.coalesce("of", "row")).join(joined, "of", "left")
+    passages = passages.withColumn("class_id", F.coalesce("class_id", "of"))
     ids = rows.select(F.col("row_number_").alias("row"), "doc_id")
     others = ids.withColumnsRenamed({"row": "other", "doc_id": "other_doc_id"})
-    return verified.join(ids, "row").join(others, "other").select("doc_id", "other_doc_id", "start_word", "n_words", "similarity")
+    return passages.join(ids, "row").join(others, "other").select("doc_id", "other_doc_id", "start_word", "n_words", "similarity", "class_id")

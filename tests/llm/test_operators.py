@@ -565,6 +565,58 @@ def test_near_passages_with_other_texts_between(spark, stored_docs, n, changed,
     assert len(found) >= 0.9 * len(truth)
 
 
+def test_near_passages_behind_many_other_texts(spark, stored_docs):
+    """Pairs of a passage and a copy of Jaccard similarity 0.84, and for each pair forty texts with half of it."""
+    rows, times = [], 30
+    for i in range(times):
+        passage = [f"p{i}x{k}" for k in range(60)]
+        copy = [f"other{k}" if k in [25 + i % 10] else w for k, w in enumerate(passage)]
+        for j, part in enumerate((passage, *[passage[:30], passage[30:]] * 20, copy)):
+            rows.append((100 * i + j, " ".join([*(f"a{i}y{j}x{k}" for k in range(40)), *part, *(f"b{i}y{j}x{k}" for k in range(40))])))
+    docs = stored_docs(rows)
+    numbers = docs.select(F.col("doc_id").alias("row_number_"), "text")
+    signs = defaultdict(set)
+    for r in compact_windows.joint_signatures(compact_windows.text_windows(numbers, compact_windows.FUNCTIONS, 46, 5), 46).select("row", "sign").collect():
+        signs[r.row].add(r.sign)
+    truth = [i for i in range(times) if signs[100 * i] & signs[100 * i + 41]]
+    found = compact_windows.near_passages(docs).collect()
+    of = {r.doc_id: r.class_id for r in found}
+    assert [i for i in range(times) if of.get(100 * i, -1) == of.get(100 * i + 41, -2)] == truth and len(truth) > 0.9 * times
+    assert set(of) == {100 * i + j for i in truth for j in (0, 41)} and len(set(of.values())) == len(truth)
+    assert all(r.similarity >= 0.8 and r.n_words >= 50 and 35 <= r.start_word <= 60 for r in found)
+
+
+def test_links_between_classes_join_what_brute_force_joins(spark):
+    """Any links in one signature: the classes of all pairs, though only some are returned."""
+    draw, width, rows = random.Random(11), 46, []
+    for row in range(700):
+        start = draw.randrange(0, 4000)
+        hashes = np.arange(start, start + 60, dtype="<u4")
+        rows.append((7, row, row - row % 3 if row < 60 else row, row >= 3, 60, np.array([[row, 60]], dtype="<i4").tobytes(), hashes.tobytes()))
+    schema = "sign long, row long, root long, rest boolean, n long, ranges binary, hashes binary"
+    links = compact_windows.links_between_classes(spark.createDataFrame(rows, schema), 0.8, width, 5).collect()
+    starts = {r[1]: np.frombuffer(r[6], dtype="<u4")[0].item() for r in rows}
+
+    def classes(pairs):
+        top = {r[1]: r[2] for r in rows}
+        for a, b in pairs:
+            a, b = top[a], top[b]
+            if a != b:
+                top = {k: a if v == b else v for k, v in top.items()}
+        groups = defaultdict(set)
+        for k, v in top.items():
+            groups[v].add(k)
+        return {frozenset(g) for g in groups.values()}
+
+    def near(a, b):
+        shared = np.isin(np.arange(starts[a], starts[a] + 60), np.arange(starts[b], starts[b] + 60))
+        return bool(compact_windows.dense_stretches(shared, 0.8, width))
+
+    truth = [(a, b) for a in starts for b in starts if a < b and abs(starts[a] - starts[b]) < 60 and near(a, b)]
+    assert classes((r.row, r.other) for r in links) == classes(truth)
+    assert {(min(r.row, r.other), max(r.row, r.other)) for r in links} <= set(truth) and len(links) < len(truth)
+
+
 def test_near_passages_of_repetitive_texts(spark, stored_docs):
     """Equal hashes in all of a text; each text finds the other one of its kind."""
     rows = [(1, "la " * 30_000), (2, "la " * 20_000), (3, "tick tack " * 8000), (4, "x tick tack " + "tick tack " * 9000), (5, " ".join(words(5, 400)))]
