@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ _PAIRS_AT_ONCE, _SHINGLES_AT_ONCE, _SHINGLES_IN_TREES = 1 << 20, 1 << 21, 1 << 1
 
 # Stretches and shingles of a signature in a block; a stretch alone may have more shingles.
 _BLOCK_ROWS, _BLOCK_SHINGLES = 256, 1 << 17
-# So many pairs of a block are scanned together before they are verified one by one.
-_SCANNED_FROM = 500
+# Cells of a block's tables, and places of its pairs, that are looked at together.
+_CELLS_AT_ONCE = 1 << 20
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -257,14 +258,26 @@ def neighbour_pairs(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.greatest("row", "other").alias("row"), F.least("row", "other").alias("other"), *sides, "sign"), found
 
 
-def _merged(places: list[bytes]) -> list[dict[str, int]]:
-    """Stretches that touch or overlap as one, in order."""
-    bounds = np.frombuffer(b"".join(places), dtype="<i4").reshape(-1, 2)
-    bounds = bounds[np.argsort(bounds[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(bounds[:, 1])
-    first = np.flatnonzero(np.concatenate([[True], bounds[1:, 0] > reach[:-1] + 1]))
-    last = np.append(first[1:], len(bounds)) - 1
-    return [{"low": a, "high": b} for a, b in zip(bounds[first, 0].tolist(), reach[last].tolist())]
+def _merged(of: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of one list that touch or overlap as one, in order: ``of, low, high``. Lists are numbered from 0 by ``of``."""
+    # Lists lie behind each other on one line, so stretches of two lists never meet.
+    low, high = ((of << 32) + bounds[:, i] for i in range(2))
+    order = np.argsort(low, kind="stable")
+    of, low, reach = of[order], low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1] + 1])) if len(of) else order
+    last = np.append(first[1:], len(of)) - 1 if len(of) else order
+    of = of[first]
+    return of, low[first] - (of << 32), reach[last] - (of << 32)
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+
+def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 32-bit numbers of a column of bytes, and how many each row has."""
+    counts = pc.binary_length(values).to_numpy(zero_copy_only=False) // 4
+    return np.frombuffer(b"".join(values.to_pylist()), dtype="<i4"), counts
 
 
 def _regions(pairs: DataFrame) -> DataFrame:
@@ -272,15 +285,44 @@ def _regions(pairs: DataFrame) -> DataFrame:
     whole = pairs.groupBy("row", "other").agg(*(F.collect_list(c).alias(f"{c}s" if c == "sign" else c) for c in ("mine", "theirs", "sign")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
         for batch in batches:
-            merged = [pa.array([_merged(p) for p in batch.column(c).to_pylist()], kind) for c in ("mine", "theirs")]
+            merged = []
+            for lists in (batch.column("mine"), batch.column("theirs")):
+                numbers, counts = _numbers(lists.flatten())
+                of = np.repeat(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), counts // 2)
+                of, low, high = _merged(of, numbers.reshape(-1, 2).astype(np.int64))
+                both = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["low", "high"])
+                merged.append(pa.ListArray.from_arrays(_offsets(np.bincount(of, minlength=len(lists))), both))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("other"), *merged, batch.column("signs")], ["row", "other", "mine", "theirs", "signs"])
 
     ranges = "array<struct<low: int, high: int>>"
     return whole.mapInArrow(run, f"row long, other long, mine {ranges}, theirs {ranges}, signs array<long>")
 
 
+def _texts_at_once(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``first, last, hashes, base``: 32 bits of each shingle of some texts that follow each other, and where each one's begin."""
+    held, first, n = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(shingles(text.as_py(), size).astype("<u4"))
+        n += len(held[-1])
+        if n >= _SHINGLES_IN_TREES or i + 1 == len(texts):
+            lengths = np.array([len(h) for h in held])
+            yield first, i + 1, np.concatenate(held), np.cumsum(lengths) - lengths
+            held, first, n = [], i + 1, 0
+
+
+def _cuts(hashes: np.ndarray, low: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Bytes of each stretch of the hashes."""
+    ends = np.cumsum(lengths)
+    cut = hashes[np.arange(lengths.sum()) + np.repeat(low - ends + lengths, lengths)]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(4 * _offsets(lengths)), pa.py_buffer(cut)])
+
+
+def _parts(lengths: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the lengths in parts of about so much in all, or of one length."""
+    return [p for p in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(np.cumsum(lengths) // most)) + 1) if len(p)]
+
+
 def _cut_out(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``row, other, side, low, hashes``: shingles of the wanted stretches of each text.
 
@@ -291,24 +333,51 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, places in zip(batch.column("text"), batch.column("places")):
-                hashes, places = shingles(text.as_py(), size).astype("<u4"), places.values
-                ranges = places.field(3)
-                low, high = (ranges.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
-                of = np.repeat(np.arange(len(places)), np.diff(ranges.offsets.to_numpy()))
-                keys = [places.field(i).to_numpy()[of] for i in range(3)]
-                lengths = high - low + 1
-                for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(lengths) // _SHINGLES_AT_ONCE)) + 1):
-                    n = lengths[part]
-                    ends = np.cumsum(n)
-                    cut = hashes[np.arange(n.sum()) + np.repeat(low[part] - ends + n, n)]
-                    buffers = [None, pa.py_buffer((4 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(cut)]
-                    columns = [*(pa.array(k[part]) for k in keys), pa.array(low[part].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(part), buffers)]
+            lists = batch.column("places")
+            places, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ranges = places.field(3)
+            at = ranges.offsets.to_numpy() - ranges.offsets[0].as_py()
+            low, high = (ranges.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+            of = np.repeat(np.arange(len(places)), np.diff(at))
+            keys = [places.field(i).to_numpy()[of] for i in range(3)]
+            text, lengths = np.repeat(np.arange(len(lists)), np.diff(offsets))[of], high - low + 1
+            for first, last, hashes, base in _texts_at_once(batch.column("text"), size):
+                inside = np.arange(at[offsets[first]], at[offsets[last]])
+                for part in _parts(lengths[inside], _SHINGLES_AT_ONCE):
+                    part = inside[part]
+                    cut = _cuts(hashes, low[part] + base[text[part] - first], lengths[part])
+                    columns = [*(pa.array(k[part]) for k in keys), pa.array(low[part].astype(np.int32)), cut]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "other", "side", "low", "hashes"])
 
     return texts.select("text", "places").mapInArrow(run, "row long, other long, side int, low int, hashes binary")
 
 
+def has_dense(shared: np.ndarray, lengths: np.ndarray, similarity: float, width: int) -> np.ndarray:
+    """For stretches behind each other, whether ``dense_stretches`` finds any; of few others too.
+
+    Scores are summed along all stretches at once. The scan begins anew where a sum is less
+    than all before it, and finds a stretch at a shared place as far as the width behind that.
+    """
+    found = np.zeros(len(lengths), dtype=bool)
+    if not len(shared):
+        return found
+    # Each stretch has a place before its first one; its sums begin below all those before it.
+    loss = int(similarity * 10**9) - 1
+    begin = np.cumsum(lengths) - lengths + np.arange(len(lengths))
+    inside = np.ones(len(shared) + len(lengths), dtype=bool)
+    inside[begin] = False
+    on = np.zeros(len(inside), dtype=bool)
+    on[inside] = shared
+    sums = np.where(on, 10**9 - loss, -loss)
+    sums[begin[1:]] = -(10**9) * (lengths[:-1] + 1)
+    sums[0] = 0
+    sums = np.cumsum(sums)
+    index, fresh = np.arange(len(sums)), np.ones(len(sums), dtype=bool)
+    fresh[1:] = sums[1:] < np.minimum.accumulate(sums)[:-1]
+    since = index - np.maximum.accumulate(np.where(fresh, index, 0))
+    return np.logical_or.reduceat(on & (since >= width), begin)
+
+
 def dense_stretches(shared: np.ndarray, similarity: float, width: int) -> list[tuple[int, int]]:
     """Stretches of at least ``width`` in which at least ``similarity`` of the places are shared.
 
@@ -398,83 +467,102 @@ def _open_shingles(rows: DataFrame, found: DataFrame, width: int, size: int) ->
     places = found.groupBy("row").agg(F.first("root").alias("root"), F.collect_list(F.struct("sign", "places", "rest")).alias("found"))
     texts = rows.select(F.col("row_number_").alias("row"), "text").join(places, "row")
     names = ["sign", "row", "root", "rest", "n", "ranges", "hashes"]
-    kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, root, text, found in zip(*(batch.column(c) for c in ("row", "root", "text", "found"))):
-                hashes, row, root, out, held = shingles(text.as_py(), size).astype("<u4"), row.as_py(), root.as_py(), [], 0
-                for one in found:
-                    bounds = np.frombuffer(one["places"].as_py(), dtype="<i4").reshape(-1, 2) + np.array([-width, width], dtype="<i4")
-                    ranges = [(r["low"], r["high"] - r["low"] + 1) for r in _merged([np.clip(bounds, 0, len(hashes) - 1).tobytes()])]
-                    cut = b"".join(hashes[low : low + n].tobytes() for low, n in ranges)
-                    out.append((one["sign"].as_py(), row, root, one["rest"].as_py(), len(cut) // 4, np.array(ranges, dtype="<i4").tobytes(), cut))
-                    held += len(cut) // 4
-                    if held >= _SHINGLES_AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            lists, row, root = batch.column("found"), batch.column("row").to_numpy(), batch.column("root").to_numpy()
+            found, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sign, rest = found.field(0).to_numpy(), found.field(2).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            for first, last, hashes, base in _texts_at_once(batch.column("text"), size):
+                a, b = int(offsets[first]), int(offsets[last])
+                numbers, counts = _numbers(found.field(1).slice(a, b - a))
+                of = np.repeat(np.arange(b - a), counts // 2)
+                ends = np.append(base[1:], len(hashes)) - base
+                bounds = numbers.reshape(-1, 2).astype(np.int64) + np.array([-width, width])
+                of, low, high = _merged(of, np.clip(bounds, 0, (ends[text[a:b] - first] - 1)[of, None]))
+                n = np.bincount(of, weights=high - low + 1, minlength=b - a).astype(np.int64)
+                ranges, starts = np.column_stack([low, high - low + 1]).astype("<i4"), _offsets(np.bincount(of, minlength=b - a))
+                for part in _parts(n, _SHINGLES_AT_ONCE):
+                    inside = np.arange(starts[part[0]], starts[part[-1] + 1])
+                    cut = _cuts(hashes, low[inside] + base[text[a:b][of[inside]] - first], ranges[inside, 1].astype(np.int64))
+                    # One row has all of its stretches.
+                    whole = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(4 * _offsets(n[part])), cut.buffers()[2]])
+                    bounds = [None, pa.py_buffer(8 * _offsets(np.diff(starts)[part])), pa.py_buffer(np.ascontiguousarray(ranges[inside]))]
+                    at = part + a
+                    columns = [sign[at], row[text[at]], root[text[at]], rest[at], n[part]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.Array.from_buffers(pa.binary(), len(part), bounds), whole], names)
 
     return texts.select("row", "root", "text", "found").mapInArrow(run, "sign long, row long, root long, rest boolean, n long, ranges binary, hashes binary")
 
 
-class _Places:
-    """Which places of some stretches hold a shingle of each of some other ones."""
-
-    def __init__(self, mine: list[np.ndarray], theirs: list[np.ndarray]):
-        self.lengths, self.n = np.array([len(h) for h in mine]), len(theirs)
-        self.ends, hashes = np.cumsum(self.lengths), np.concatenate(mine)
-        keys, place = np.unique(np.concatenate(theirs), return_inverse=True)
-        self.has = np.zeros((len(keys) + 1, self.n), dtype=np.uint8)
-        self.has[place, np.repeat(np.arange(self.n), [len(h) for h in theirs])] = 1
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        # The last row is of shingles that no other stretch has.
-        self.at = np.where(keys[at] == hashes, at, len(keys))
-
-    def counts(self) -> np.ndarray:
-        """How many places each stretch shares with each other one."""
-        out, starts = [], self.ends - self.lengths
-        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(self.ends * self.n >> 24)) + 1):
-            low = starts[part[0]]
-            out.append(np.add.reduceat(self.has[self.at[low : self.ends[part[-1]]]], starts[part] - low, axis=0, dtype=np.int32))
-        return np.concatenate(out)
-
-    def dense(self, i: np.ndarray, j: np.ndarray, similarity: float, width: int) -> np.ndarray:
-        """Of pairs of a stretch and another one, all for which ``dense_stretches`` finds any, and few others: its scan over many pairs at once."""
-        found, order = np.zeros(len(i), dtype=bool), np.argsort(self.lengths[i], kind="stable")
-        for part in np.array_split(order, len(order) // 4096 + 1):
-            first, n = (self.ends - self.lengths)[i[part]], self.lengths[i[part]]
-            score, wide, ok = np.zeros(len(part)), np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=bool)
-            for k in range(n.max(initial=0)):
-                # Shorter stretches come first and end.
-                on = np.searchsorted(n, k, side="right")
-                shared = self.has[self.at[first[on:] + k], j[part[on:]]].astype(bool)
-                s, w = score[on:], wide[on:]
-                anew = shared & (s < -1e-9)
-                s[anew], w[anew] = 0, 0
-                s += shared - similarity
-                w += 1
-                ok[on:] |= shared & (w >= width) & (s > -1e-9)
-            found[part] = ok
+class _Met:
+    """Stretches of two sides, and which shingles each stretch has of those that both sides have."""
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray]):
+        sides = left, right
+        self.lengths = [np.array([len(h) for h in side]) for side in sides]
+        self.starts = [np.cumsum(n) - n for n in self.lengths]
+        cut = [np.concatenate(side) for side in sides]
+        keys, place = np.unique(np.concatenate(cut), return_inverse=True)
+        place, of = np.split(place, [len(cut[0])]), [np.repeat(np.arange(len(n)), n) for n in self.lengths]
+        both = np.ones(len(keys), dtype=bool)
+        for at in place:
+            both &= np.bincount(at, minlength=len(keys)) > 0
+        self.n_keys = int(both.sum())
+        # The last number is of all shingles that one side alone has.
+        number = np.where(both, np.cumsum(both) - 1, self.n_keys)
+        self.at, self.has = [number[at] for at in place], []
+        for at, one, n in zip(self.at, of, self.lengths):
+            has = np.zeros((self.n_keys + 1, len(n)), dtype=np.uint8)
+            has[at, one] = 1
+            has[self.n_keys] = 0
+            self.has.append(has)
+        self.of = of
+
+    def counts(self, side: int) -> np.ndarray:
+        """How many places each stretch of a side shares with each one of the other side: ``left, right``."""
+        n, found = len(self.lengths[side]), np.zeros((len(self.lengths[0]), len(self.lengths[1])), dtype=np.float32)
+        at, of, step = self.at[side], self.of[side], max(1, _CELLS_AT_ONCE // max(found.shape))
+        if step < self.n_keys:
+            order = np.argsort(at, kind="stable")
+            at, of = at[order], of[order]
+        for low in range(0, self.n_keys, step):
+            high = min(low + step, self.n_keys)
+            a, b = np.searchsorted(at, [low, high]) if step < self.n_keys else (0, len(at))
+            times = np.bincount((at[a:b] - low) * n + of[a:b], minlength=(high - low) * n)[: (high - low) * n].reshape(-1, n).astype(np.float32)
+            other = self.has[1 - side][low:high].astype(np.float32)
+            found += other.T @ times if side else times.T @ other
+        return found
+
+    def dense(self, side: int, i: np.ndarray, j: np.ndarray, similarity: float, width: int) -> np.ndarray:
+        """Of pairs of a side's stretch ``i`` and the other's ``j``, those whose stretch may have a passage."""
+        n, found = self.lengths[side][i], np.zeros(len(i), dtype=bool)
+        for part in _parts(n, _CELLS_AT_ONCE):
+            ends = np.cumsum(n[part])
+            place = np.arange(ends[-1]) + np.repeat(self.starts[side][i[part]] - ends + n[part], n[part])
+            shared = self.has[1 - side][self.at[side][place], np.repeat(j[part], n[part])]
+            found[part] = has_dense(shared, n[part], similarity, width)
         return found
 
 
 def _links_of_block(left: list[dict], right: list[dict], similarity: float, width: int, size: int) -> Iterator[tuple]:
     """``a, b, row, other, found``: links of texts of two classes, as many as join the classes of a block."""
     cut = [[np.frombuffer(p["hashes"], dtype="<u4") for p in side] for side in (left, right)]
-    ours, theirs = _Places(*cut), _Places(*cut[::-1])
     roots, at = ([np.array([p[c] for p in side]) for side in (left, right)] for c in ("root", "row"))
-    # A stretch with a passage has so many places with a shingle of the other one.
-    least = int(np.ceil(similarity * width - 1e-9))
-    likely = (ours.counts() >= least) | (theirs.counts() >= least).T
     # Two texts outside the largest class meet twice.
     rest = np.array([p["rest"] for p in left])[:, None]
-    likely &= (roots[0][:, None] != roots[1]) & (~rest | (at[0][:, None] < at[1]))
-    i, j = np.nonzero(likely)
-    if len(i) > _SCANNED_FROM:
-        dense = ours.dense(i, j, similarity, width) | theirs.dense(j, i, similarity, width)
-        i, j = i[dense], j[dense]
+    apart = (roots[0][:, None] != roots[1]) & (~rest | (at[0][:, None] < at[1]))
+    if not apart.any():
+        return
+    met = _Met(*cut)
+    # A stretch with a passage has so many places with a shingle of the other one.
+    least = int(np.ceil(similarity * width - 1e-9))
+    likely = [apart & (met.counts(side) >= least) for side in (0, 1)]
+    for side in (0, 1):
+        i, j = np.nonzero(likely[side])
+        likely[side][i, j] = met.dense(side, *((i, j) if side == 0 else (j, i)), similarity, width)
+    i, j = np.nonzero(likely[0] | likely[1])
     joined: dict[int, int] = {}
 
     def top(root: int) -> int:
@@ -507,13 +595,15 @@ def links_between_classes(cut: DataFrame, similarity: float, width: int, size: i
     sizes = cut.groupBy("sign").agg(
         blocks(F.count("*"), F.sum("n")).alias("all_blocks"), blocks(F.count_if(rest), F.sum(F.when(rest, F.col("n")))).alias("rest_blocks")
     )
-    dealt = cut.join(sizes, "sign")
+    # Only a signature of more than 256 texts or 131,072 shingles has several blocks, so the small side is far smaller than the input.
+    dealt = cut.join(F.broadcast(sizes.where("all_blocks > 1")), "sign", "left").fillna(1, ["all_blocks", "rest_blocks"])
     block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stretch = F.struct("row", "root", "rest", "ranges", "hashes").alias("stretch")
     left = dealt.select("sign", block("all_blocks").alias("i"), every("rest_blocks").alias("j"), F.lit(0).alias("side"), stretch)
     right = dealt.where(rest).select("sign", every("all_blocks").alias("i"), block("rest_blocks").alias("j"), F.lit(1).alias("side"), stretch)
-    met = left.unionByName(right).groupBy("sign", "i", "j").agg(F.collect_list(F.struct("side", "stretch")).alias("met"))
+    # Dealt by block: all blocks of a signature in one task would be more than its share.
+    met = left.unionByName(right).repartition("sign", "i", "j").groupBy("sign", "i", "j").agg(F.collect_list(F.struct("side", "stretch")).alias("met"))
     passage = pa.struct([("side", pa.int32()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,7 +642,7 @@ def near_passages(
     rows = numbered(docs.select("doc_id", "text"))
     width = min_words - size + 1
     windows = stored(text_windows(rows, functions, width, size))
-    left = with_neighbours(windows, ("key", "row"), same_key).drop("before", "after")
+    left = with_neighbours(windows, ("key", "row"), same_key, within=("key",)).drop("before", "after")
     discard(windows)
     signs = stored(joint_signatures(left, width), batch_rows=1000)
     discard(left)
@@ -565,13 +655,24 @@ def near_passages(
     both = _cut_out(rows, wanted, size).groupBy("row", "other").agg(F.collect_list(F.struct("side", "low", "hashes")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["row", "other", "start_word", "n_words", "similarity"], [pa.int64()] * 4 + [pa.float64()]
         for batch in batches:
-            out = []
-            for row, other, parts in zip(*(batch.column(c).to_pylist() for c in ("row", "other", "parts"))):
-                sides = [[(p["low"], np.frombuffer(p["hashes"], dtype="<u4")) for p in parts if p["side"] == s] for s in (0, 1)]
-                pair = (row, other)
-                out += [(pair[side], pair[1 - side], *found) for side, *found in verified_passages(sides, similarity, width, size)]
-            names, kinds = ["row", "other", "start_word", "n_words", "similarity"], [pa.int64()] * 4 + [pa.float64()]
+            out, pairs = [], [batch.column(c).to_numpy() for c in ("row", "other")]
+            lists = batch.column("parts")
+            parts, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            pair, side, low = np.repeat(np.arange(len(lists)), counts), parts.field(0).to_numpy(), parts.field(1).to_numpy()
+            numbers, n = _numbers(parts.field(2))
+            # A shingle is looked up among those of its pair's other side.
+            own = np.repeat((2 * pair + side).astype(np.uint64) << np.uint64(32), n)
+            hashes, ends = numbers.view("<u4").astype(np.uint64), np.cumsum(n)
+            known, wanted = np.sort(own | hashes), (own ^ np.uint64(1 << 32)) | hashes
+            shared = known[np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))] == wanted
+            for i in np.flatnonzero(has_dense(shared, n, similarity, width)).tolist():
+                mine, here = shared[ends[i] - n[i] : ends[i]], int(side[i])
+                for a, b in dense_stretches(mine, similarity, width):
+                    share = float(mine[a:b].mean())
+                    if share >= similarity:
+                        out.append((pairs[here][pair[i]], pairs[1 - here][pair[i]], low[i] + a, b - a + size - 1, round(share, 4)))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

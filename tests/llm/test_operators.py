@@ -617,6 +617,49 @@ def test_links_between_classes_join_what_brute_force_joins(spark):
     assert {(min(r.row, r.other), max(r.row, r.other)) for r in links} <= set(truth) and len(links) < len(truth)
 
 
+@pytest.mark.parametrize("similarity, width", [(0.8, 46), (0.75, 10), (0.9, 5)])
+def test_scan_over_many_stretches_finds_those_with_a_dense_one(similarity, width):
+    draw, stretches = np.random.default_rng(4), []
+    for i in range(600):
+        runs = draw.integers(1, 30, 12)
+        stretches.append(np.concatenate([np.full(n // (1 + 3 * ((k + i) % 2)) + 1, (k + i) % 2 == 0) for k, n in enumerate(runs)])[: draw.integers(0, 200)])
+    found = compact_windows.has_dense(np.concatenate(stretches), np.array([len(x) for x in stretches]), similarity, width)
+    truth = np.array([bool(compact_windows.dense_stretches(x, similarity, width)) for x in stretches])
+    assert 0 < truth.sum() < len(truth)
+    assert (found | ~truth).all() and found.sum() <= truth.sum() + 12
+
+
+def test_pairs_without_a_dense_stretch_are_not_verified_one_by_one(monkeypatch):
+    """Many shingles in common, but never four of five side by side."""
+    calls, real = [], compact_windows.verified_passages
+    monkeypatch.setattr(compact_windows, "verified_passages", lambda *a: calls.append(1) or real(*a))
+    common, rows = np.arange(100), []
+    for i in range(12):
+        hashes = np.where(common % 10 < 5, common, 1000 * (i + 1) + common).astype("<u4")
+        rows.append({"row": i, "root": i, "rest": i > 0, "ranges": np.array([[0, 100]], dtype="<i4").tobytes(), "hashes": hashes.tobytes()})
+    assert not list(compact_windows._links_of_block(rows, rows[1:], 0.8, 46, 5)) and not calls
+    rows[3] = rows[3] | {"hashes": rows[7]["hashes"]}
+    found = list(compact_windows._links_of_block(rows, rows[1:], 0.8, 46, 5))
+    assert [f[:4] for f in found] == [(3, 7, 3, 7)] and len(calls) == 1
+
+
+def test_blocks_of_one_signature_are_dealt_to_many_tasks(spark):
+    one = np.arange(60, dtype="<u4").tobytes()
+    rows = [(7, i, i, i > 0, 60, np.array([[0, 60]], dtype="<i4").tobytes(), one) for i in range(1000)]
+    cut = spark.createDataFrame(rows, "sign long, row long, root long, rest boolean, n long, ranges binary, hashes binary")
+    links = compact_windows.links_between_classes(cut, 0.8, 46, 5)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(sign#\d+L, i#\d+, j#\d+", plan)
+    assert links.count() >= 999
+
+
+def test_merged_stretches_of_many_lists():
+    of, bounds = np.array([0, 2, 0, 2, 0]), np.array([[5, 9], [0, 3], [0, 4], [1, 2], [11, 12]])
+    found = compact_windows._merged(of, bounds)
+    assert [x.tolist() for x in found] == [[0, 0, 2], [0, 11, 0], [9, 12, 3]]
+    assert [len(x) for x in compact_windows._merged(of[:0], bounds[:0])] == [0, 0, 0]
+
+
 def test_near_passages_of_repetitive_texts(spark, stored_docs):
     """Equal hashes in all of a text; each text finds the other one of its kind."""
     rows = [(1, "la " * 30_000), (2, "la " * 20_000), (3, "tick tack " * 8000), (4, "x tick tack " + "tick tack " * 9000), (5, " ".join(words(5, 400)))]
