@@ -31,10 +31,11 @@ VALLEYS = 5
 ROUNDS, AGAIN = 8, 3
 # Places on the curve b * d = limit, and rounds that look closer at the best of them.
 EDGE, EDGE_ROUNDS = 257, 12
-_CELLS = 1 << 21
+_CELLS = 1 << 18
 # Cells of a grid that are laid out at once; the many arrays over them stay in a core's cache.
-_CELLS_AT_ONCE = 1 << 14
-_LARGEST = 300.0
+_CELLS_AT_ONCE = 1 << 15
+_KEPT = 30 << 17
+_LARGEST, _NOTHING = 300.0, 1e-60
 
 
 def solvable(lower: np.ndarray, upper: np.ndarray) -> bool:
@@ -44,8 +45,8 @@ def solvable(lower: np.ndarray, upper: np.ndarray) -> bool:
 
 def _corner(t0: np.ndarray, b: np.ndarray, lower, upper) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest k for the bounds of c."""
-    span = [np.exp(np.clip((c - t0) / b, -_LARGEST, _LARGEST)) / 2.0 for c in (lower[2], upper[2])]
-    return span[0], span[1]
+    low, high = (np.exp(np.minimum(np.maximum((c - t0) / b, -_LARGEST), _LARGEST)) / 2.0 for c in (lower[2], upper[2]))
+    return low, high
 
 
 def _finite(values: np.ndarray) -> np.ndarray:
@@ -70,46 +71,103 @@ def inner_loss(t, y, w, b, d, lower, upper):
 def _inner(t, y, w, b, d, lower, upper, places: bool):
     t0 = t[:, :1]
     ramp = np.exp(-(t - t0)[:, None, :] / b[:, :, None])
+    # Beside the first day's 1 such a value is lost in every sum, and its square is slow to reckon with.
+    ramp[ramp < _NOTHING] = 0.0
     fall = np.exp(-t[:, None, :] * d[:, :, None])
     fall_w = fall * w[:, None, :]
     square = fall_w * fall
+    fall_y = fall_w * y[:, None, :]
     g11 = square.sum(axis=2)[:, None, :]
-    r1 = (fall_w * y[:, None, :]).sum(axis=2)[:, None, :]
-    across = square.transpose(0, 2, 1)
-    g12 = ramp @ across
-    g22 = (ramp * ramp) @ across
-    r2 = ramp @ (fall_w * y[:, None, :]).transpose(0, 2, 1)
+    r1 = fall_y.sum(axis=2)[:, None, :]
     low, high = (k[:, :, None] for k in _corner(t0, b, lower, upper))
     a_low, a_high = lower[0], upper[0]
-    twice_g12, twice_r1, twice_r2 = 2.0 * g12, 2.0 * r1, 2.0 * r2
-
-    def loss_of(alpha, beta):
-        return alpha * (alpha * g11 - beta * twice_g12 - twice_r1) + beta * (beta * g22 + twice_r2)
-
-    with np.errstate(all="ignore"):
-        det = g11 * g22 - g12 * g12
-        alpha = (r1 * g22 - r2 * g12) / det
-        beta = (r1 * g12 - r2 * g11) / det
-        free = (det > 1e-11 * g11 * g22) & (alpha >= a_low) & (alpha <= a_high) & (beta >= low * alpha) & (beta <= high * alpha)
-        best = [np.where(free, alpha, 0.0), np.where(free, beta, 0.0)] if places else [None, None]
-        best.append(np.where(free, loss_of(alpha, beta), np.inf))
-
-        def offer(alpha, beta):
-            loss = loss_of(alpha, beta)
-            better = loss < best[2]
-            if places:
-                best[0], best[1] = np.where(better, alpha, best[0]), np.where(better, beta, best[1])
-            best[2] = np.where(better, loss, best[2])
-
-        for k in (low, high):
-            bottom = g11 - k * twice_g12 + k * k * g22
-            on_edge = np.clip(_finite((r1 - k * r2) / bottom), a_low, a_high)
-            offer(on_edge, k * on_edge)
-        for level in {a_low, a_high}:
-            across_it = _finite((level * g12 - r2) / g22)
-            offer(level, np.clip(across_it, low * level, high * level))
     whole = (w * y * y).sum(axis=1)[:, None, None]
-    return best[0], best[1], whole + best[2]
+    with np.errstate(all="ignore"):
+        # Sums over days in parts of g11 and r1: g12 = p * g11, g22 = q * g11, r2 = s * r1.
+        across = (square / g11[:, 0, :, None]).transpose(0, 2, 1)
+        p, q, s = ramp @ across, (ramp * ramp) @ across, ramp @ (fall_y / r1[:, 0, :, None]).transpose(0, 2, 1)
+        # For a ratio k = beta / alpha the best alpha is r1 / g11 * n / m, and the loss falls by r1 * n times it.
+        # Where the free solution has alpha > 0 that has one peak over k, at the free solution's ratio, so
+        # the best k is that ratio moved into the corner.
+        below = s * p
+        np.subtract(q, below, out=below)
+        plain = below > 0
+        k = p - s
+        k /= below
+        np.maximum(k, low, out=k)
+        np.minimum(k, high, out=k)
+        n = k * s
+        np.subtract(1.0, n, out=n)
+        m = np.multiply(k, q, out=below)
+        m -= p
+        m -= p
+        m *= k
+        m += 1.0
+        part = np.divide(n, m, out=m)
+        level = r1 / g11
+        too_high = part > a_high / level
+        plain &= r1 > 0
+        if a_low > 0:
+            plain &= part >= a_low / level
+        np.maximum(part, 0.0, out=part)
+        alpha = part * level if places else None
+        beta = k * alpha if places else None
+        n *= part
+        n *= r1 * level
+        loss = np.subtract(whole, n, out=n)
+        plain &= np.multiply(p, p, out=part) < np.multiply(q, 1 - 1e-11, out=k)
+        # The loss is convex: an alpha above its bound ends on it. All other cells go by their edges.
+        too_high &= plain
+        for which, solved in ((too_high, _at_level), (~plain, _on_edges)):
+            at = np.flatnonzero(which)
+            if len(at):
+                line, j = np.divmod(at, d.shape[1])
+                row = line // b.shape[1]
+                by_d = row * d.shape[1] + j
+                g, r = g11.take(by_d), r1.take(by_d)
+                r2 = s.take(at) * r
+                if not r.all():
+                    # Nothing can be taken in parts of 0.
+                    r2 = (ramp.reshape(-1, t.shape[1])[line] * fall_y[row, j]).sum(axis=1)
+                found = solved(g, p.take(at) * g, q.take(at) * g, r, r2, low.take(line), high.take(line), a_low, a_high)
+                loss.reshape(-1)[at] = whole.take(row) + found[2]
+                if places:
+                    alpha.reshape(-1)[at], beta.reshape(-1)[at] = found[:2]
+    return alpha, beta, loss
+
+
+def _loss_of(alpha, beta, g11, g12, g22, r1, r2):
+    return alpha * (alpha * g11 - beta * 2.0 * g12 - 2.0 * r1) + beta * (beta * g22 + 2.0 * r2)
+
+
+def _at_level(g11, g12, g22, r1, r2, low, high, a_low, a_high):
+    """Best (alpha, beta) and loss with alpha at its upper bound."""
+    beta = np.minimum(np.maximum(_finite((a_high * g12 - r2) / g22), low * a_high), high * a_high)
+    return a_high, beta, _loss_of(a_high, beta, g11, g12, g22, r1, r2)
+
+
+def _on_edges(g11, g12, g22, r1, r2, low, high, a_low, a_high):
+    """Best (alpha, beta) and loss: the free solution if it lies in the corner, else the best point of its four edges."""
+    sums = g11, g12, g22, r1, r2
+    det = g11 * g22 - g12 * g12
+    alpha = (r1 * g22 - r2 * g12) / det
+    beta = (r1 * g12 - r2 * g11) / det
+    free = (det > 1e-11 * g11 * g22) & (alpha >= a_low) & (alpha <= a_high) & (beta >= low * alpha) & (beta <= high * alpha)
+    best = [np.where(free, alpha, 0.0), np.where(free, beta, 0.0), np.where(free, _loss_of(alpha, beta, *sums), np.inf)]
+
+    def offer(alpha, beta):
+        loss = _loss_of(alpha, beta, *sums)
+        better = loss < best[2]
+        best[:] = [np.where(better, new, old) for new, old in zip((alpha, beta, loss), best)]
+
+    for k in (low, high):
+        bottom = g11 - k * 2.0 * g12 + k * k * g22
+        on_edge = np.clip(_finite((r1 - k * r2) / bottom), a_low, a_high)
+        offer(on_edge, k * on_edge)
+    for level in {a_low, a_high}:
+        across_it = _finite((level * g12 - r2) / g22)
+        offer(level, np.clip(across_it, low * level, high * level))
+    return best
 
 
 def _valleys(loss: np.ndarray, ds: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,54 +258,60 @@ def fit_projected(t, y, w, start, lower, upper, max_iterations: int = 500, limit
     us, ds = np.linspace(u_low, u_high, sizes[0]), np.linspace(lower[3], upper[3], sizes[1])
     steps = (us[1] - us[0]) / 2, (ds[1] - ds[0]) / 2
     start = np.clip(np.broadcast_to(np.asarray(start, dtype=float), (n, 4)), lower, upper)
-    results = [np.full((n, 4), np.nan), np.full(n, np.nan), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.full((*t.shape, 4), np.nan)]
     size = max(1, _CELLS // (sizes[0] * sizes[1]))
+    # Once a block of this size was freed, glibc keeps freed memory of the small arrays instead of fetching it anew.
+    np.empty(_KEPT)
     with np.errstate(all="ignore"):
+        found = []
         for begin in range(0, n, size):
-            rows = np.arange(begin, min(begin + size, n))
-            tr, yr, wr = t[rows], y[rows], w[rows]
-            grid = inner_loss(tr, yr, wr, np.tile(np.exp(us), (len(rows), 1)), np.tile(ds, (len(rows), 1)), lower, upper)
+            part = slice(begin, begin + size)
+            many = len(t[part])
+            grid = inner_loss(t[part], y[part], w[part], np.tile(np.exp(us), (many, 1)), np.tile(ds, (many, 1)), lower, upper)
             whose, i, d = _valleys(np.where(np.isfinite(grid), grid, np.finfo(float).max / 8), ds, VALLEYS)
-
-            def closed(who, u, d):
-                """Parameters at places (log b, d), the rest in closed form."""
-                alpha, beta, _ = (x[:, 0, 0] for x in inner(tr[who], yr[who], wr[who], np.exp(u)[:, None], d[:, None], lower, upper))
-                c = np.exp(u) * np.log(np.maximum(2.0 * beta, 1e-300) / np.where(alpha > 0, alpha, 1.0)) + tr[who, 0]
-                c = np.where(alpha > 0, np.clip(c, lower[2], upper[2]), start[rows[who], 2])
-                return np.column_stack([alpha, np.exp(u), c, d])
-
-            def gone_down(who, u, d):
-                return solver.fit_batch(tr[who], yr[who], wr[who], closed(who, u, d), lower, upper, max_iterations)
-
-            ends = list(gone_down(whose, us[i], d))
-            if limit is not None:
-                ends[1] = np.where(ends[0][:, 1] * ends[0][:, 3] <= limit, ends[1], np.inf)
-            # Of each row the end of least loss.
-            by_loss = np.lexsort((np.where(np.isfinite(ends[1]), ends[1], np.inf), whose))
-            at = by_loss[np.searchsorted(whose[by_loss], np.arange(len(rows)))]
-            best = [end[at] for end in ends]
-            best[2] = np.bincount(whose, ends[2], len(rows)).astype(np.int32)
-            # An end on a bound of c may hide a way down that the closed form sees.
-            for _ in range(AGAIN):
-                u, d, loss = _around(tr, yr, wr, np.log(best[0][:, 1]), best[0][:, 3], steps, ((u_low, u_high), (lower[3], upper[3])), lower, upper)
-                lower_still = np.flatnonzero(loss < best[1] * (1 - 1e-9) - 1e-9)
-                if not len(lower_still):
-                    break
-                further = gone_down(lower_still, u[lower_still], d[lower_still])
-                gains = further[1] < best[1][lower_still]
-                if limit is not None:
-                    gains &= further[0][:, 1] * further[0][:, 3] <= limit
-                if not gains.any():
-                    break
-                for target, end in zip(best, further):
-                    target[lower_still[gains]] = end[gains]
+            found.append((whose + begin, i, d))
+        whose, i, d = (np.concatenate(x) for x in zip(*found))
+
+        def closed(who, u, d):
+            """Parameters at places (log b, d), the rest in closed form."""
+            alpha, beta, _ = (x[:, 0, 0] for x in inner(t[who], y[who], w[who], np.exp(u)[:, None], d[:, None], lower, upper))
+            c = np.exp(u) * np.log(np.maximum(2.0 * beta, 1e-300) / np.where(alpha > 0, alpha, 1.0)) + t[who, 0]
+            c = np.where(alpha > 0, np.clip(c, lower[2], upper[2]), start[who, 2])
+            return np.column_stack([alpha, np.exp(u), c, d])
+
+        def gone_down(who, u, d):
+            return solver.fit_batch(t[who], y[who], w[who], closed(who, u, d), lower, upper, max_iterations)
+
+        ends = list(gone_down(whose, us[i], d))
+        if limit is not None:
+            ends[1] = np.where(ends[0][:, 1] * ends[0][:, 3] <= limit, ends[1], np.inf)
+        # Of each row the end of least loss.
+        by_loss = np.lexsort((np.where(np.isfinite(ends[1]), ends[1], np.inf), whose))
+        at = by_loss[np.searchsorted(whose[by_loss], np.arange(n))]
+        best = [end[at] for end in ends]
+        best[2] = np.bincount(whose, ends[2], n).astype(np.int32)
+        bounds = ((u_low, u_high), (lower[3], upper[3]))
+        # An end on a bound of c may hide a way down that the closed form sees. A row that gains nothing by it is done.
+        again = np.arange(n)
+        for _ in range(AGAIN):
+            u, d, loss = _around(t[again], y[again], w[again], np.log(best[0][again, 1]), best[0][again, 3], steps, bounds, lower, upper)
+            lower_still = np.flatnonzero(loss < best[1][again] * (1 - 1e-9) - 1e-9)
+            again, u, d = again[lower_still], u[lower_still], d[lower_still]
+            if not len(again):
+                break
+            further = gone_down(again, u, d)
+            gains = further[1] < best[1][again]
             if limit is not None:
-                u, d, loss = _along_limit(tr, yr, wr, limit, ((u_low, u_high), (lower[3], upper[3])), lower, upper)
-                edge = loss < best[1]
-                p = closed(np.arange(len(rows)), u, d)
-                best[0], best[1] = np.where(edge[:, None], p, best[0]), np.where(edge, loss, best[1])
-            for target, end in zip(results, best):
-                target[rows] = end
-    p, loss, used, _, jacobian = results
+                gains &= further[0][:, 1] * further[0][:, 3] <= limit
+            again = again[gains]
+            if not len(again):
+                break
+            for target, end in zip(best, further):
+                target[again] = end[gains]
+        if limit is not None:
+            u, d, loss = _along_limit(t, y, w, limit, bounds, lower, upper)
+            edge = loss < best[1]
+            p = closed(np.arange(n), u, d)
+            best[0], best[1] = np.where(edge[:, None], p, best[0]), np.where(edge, loss, best[1])
+    p, loss, used, _, jacobian = best
     # The least of many ends is the answer, whether or not its own last steps were still gaining.
     return p, loss, used, usable & np.isfinite(loss), jacobian

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import QUERIES
-from lactoscope import LACTATION_FIT
-from lactoscope.operators import history, projection
+from lactoscope import HERD_FILE_FIT, LACTATION_FIT
+from lactoscope.operators import history, projection, solver
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.quantiles import exact_quantiles
 from lactoscope.sources.sample_mapping import mapped_test_days
@@ -78,6 +78,74 @@ def test_grids_are_laid_out_in_parts(monkeypatch):
     assert np.array_equal(parts, whole(t, y, w, b, d, *bounds, True)[2])
 
 
+def test_long_series_do_not_widen_many_short_ones():
+    lengths = np.array([4] * 3000 + [9] * 3000 + [49] * 20)
+    groups = list(solver.chunks(lengths))
+    assert sorted(np.concatenate(groups)) == list(range(len(lengths)))
+    assert sum(len(rows) * lengths[rows].max() for rows in groups) <= 1.6 * lengths.sum()
+
+
+def test_descents_go_on_in_parts_and_end_alike(monkeypatch):
+    sizes, take = [], solver._Steps.take
+
+    def seen(self, most):
+        sizes.append(self.t.size)
+        return take(self, most)
+
+    monkeypatch.setattr(solver._Steps, "take", seen)
+    random = np.random.default_rng(9)
+    t = np.sort(random.uniform(1, 399, (120, 8)), axis=1)
+    y, w = random.uniform(10, 60, t.shape), (random.random(t.shape) < 0.8).astype(float)
+    fit = (LACTATION_FIT.start, LACTATION_FIT.lower, LACTATION_FIT.upper)
+    whole = solver.fit_batch(t, y, w, *fit, 60)
+    monkeypatch.setattr(solver, "_CELLS_AT_ONCE", 80)
+    sizes.clear()
+    parts = solver.fit_batch(t, y, w, *fit, 60)
+    assert max(sizes) <= 80 and np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+    assert np.array_equal(whole[2], parts[2]) and np.array_equal(whole[3], parts[3])
+
+
+def test_few_cells_of_a_grid_go_by_their_edges(monkeypatch):
+    """The others have one best ratio, and no place inside the bounds is better than it."""
+    cells, on_edges = [], projection._on_edges
+    monkeypatch.setattr(projection, "_on_edges", lambda *sums: (cells.append(len(sums[1])), on_edges(*sums))[1])
+    random = np.random.default_rng(6)
+    t = np.sort(random.choice(np.arange(1, 380), (40, 9)), axis=1).astype(float)
+    y, w = random.uniform(10, 90, t.shape), np.ones(t.shape)
+    y[0], y[1], t[2] = 0.0, -y[1], 7.0
+    lower, upper = np.asarray(HERD_FILE_FIT.lower), np.asarray(HERD_FILE_FIT.upper)
+    b, d = np.tile(np.geomspace(1, 500, 25), (40, 1)), np.tile(np.linspace(0, 0.01, 25), (40, 1))
+    alpha, beta, loss = projection.inner(t, y, w, b, d, lower, upper)
+    assert sum(cells) <= 0.15 * loss.size
+    with np.errstate(all="ignore"):
+        c = np.where(alpha > 0, b[:, :, None] * np.log(2 * beta / alpha) + t[:, :1, None], 0.0)
+    assert (alpha >= 0).all() and (alpha <= upper[0]).all() and (c > lower[2] - 1e-6).all() and (c < upper[2] + 1e-6).all()
+    for _ in range(200):
+        level, c = random.uniform(0, 500) * random.integers(0, 2), random.uniform(-250, 200)
+        p = np.stack(np.broadcast_arrays(level, b[:, :, None], c, d[:, None, :]), axis=-1).reshape(-1, 4)
+        with np.errstate(all="ignore"):
+            gap = np.repeat(y, 625, axis=0) - solver.curve_values(p, np.repeat(t, 625, axis=0))
+            other = (gap * gap).sum(axis=1).reshape(loss.shape)
+        assert not (other < loss * (1 - 1e-9) - 1e-6).any()
+
+
+def test_only_ends_that_gained_are_looked_at_again(monkeypatch):
+    rows, around = [], projection._around
+
+    def seen(t, y, w, u, d, *rest):
+        rows.append(len(t))
+        u, d, loss = around(t, y, w, u, d, *rest)
+        # One row seems to have a lower place near its end.
+        return u, d, np.where(np.arange(len(t)) == 0, loss - 1.0, loss)
+
+    monkeypatch.setattr(projection, "_around", seen)
+    random = np.random.default_rng(4)
+    t = np.sort(random.uniform(1, 380, (50, 9)), axis=1)
+    y, w = random.uniform(40, 60, t.shape), np.ones(t.shape)
+    projection.fit_projected(t, y, w, LACTATION_FIT.start, LACTATION_FIT.lower, LACTATION_FIT.upper)
+    assert rows[0] == 50 and sum(rows[1:]) <= 2
+
+
 @pytest.mark.parametrize("rule", [history.fit_records, history.individual_records])
 def test_records_are_read_once_to_accept_their_lactations(shuffled_joins, rule):
     rows = shuffled_joins.sql(
