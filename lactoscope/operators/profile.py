@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DRAWS_IN_A_PASS = 128
+from lactoscope.operators import digests
+
+# Executors get it with the task and need no installed copy.
+cloudpickle.register_pickle_by_value(digests)
 
 
 def null_profile(records: DataFrame, columns: Sequence[str] = ("MILK", "ECM", "PCTF", "PCTP")) -> DataFrame:
@@ -95,19 +100,34 @@ def random_rows(frame: DataFrame, rows: int = 100, seed: int = 23, keys: Sequenc
 
     Each draw takes the row whose keyed hash is least, so parts of a table can be drawn from
     apart and merged. ``keys`` (all columns if not given) name a row; rows alike in them are
-    drawn as one. An empty input gives none. A draw is an aggregate of its own: tasks hold one
-    row for each and nothing is sorted. Above ``DRAWS_IN_A_PASS`` draws the input is read again.
+    drawn as one. An empty input gives none. The input is read once: a task holds one row for
+    each draw, hashes a batch of rows for some draws at a time, and gives its rows at the end.
     """
     names = list(keys or frame.columns)
     # A length before each key, so that no two rows have the same text.
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
     text = F.concat(*[F.concat(F.char_length(t).cast("string"), F.lit(":"), t) for t in texts])
     keyed = frame.select(F.struct("*").alias("row"), text.alias("text"))
-
-    def pass_of(first: int, last: int) -> DataFrame:
-        least = [F.min_by("row", F.md5(F.concat(F.lit(f"{seed}:{draw}:"), F.col("text")))) for draw in range(first, last + 1)]
-        return keyed.agg(F.array(*least).alias("drawn")).select(F.explode("drawn").alias("row"))
-
-    passes = [pass_of(first, min(first + DRAWS_IN_A_PASS - 1, rows)) for first in range(1, rows + 1, DRAWS_IN_A_PASS)]
-    drawn = reduce(DataFrame.unionByName, passes) if passes else keyed.select("row").limit(0)
-    return drawn.where(F.col("row").isNotNull()).select("row.*")
+    prefixes = [f"{seed}:{draw}:".encode() for draw in range(1, rows + 1)]
+    schema = T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("digest", T.StringType()), keyed.schema["row"]])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[str | None] = [None] * len(prefixes)
+        held, places = None, {}
+        for batch in batches:
+            found = digests.least(prefixes, batch.column(1), known)
+            if found:
+                taken = pa.table([batch.column(0).take(pa.array([row for _, row in found.values()]))], names=["row"])
+                begin = 0 if held is None else len(held)
+                places |= {draw: begin + i for i, draw in enumerate(found)}
+                both = taken if held is None else pa.concat_tables([held, taken])
+                held = both.take(pa.array(list(places.values()))).combine_chunks()
+                places = {draw: i for i, draw in enumerate(places)}
+                for draw, (digest, _) in found.items():
+                    known[draw] = digest
+        if held is not None:
+            given = pa.array([draw + 1 for draw in places], pa.int32()), pa.array([known[draw] for draw in places])
+            yield pa.RecordBatch.from_arrays([*given, held.column(0).combine_chunks()], names=["draw", "digest", "row"])
+
+    least = keyed.mapInArrow(drawn, schema).groupBy("draw").agg(F.min_by("row", "digest").alias("row"))
+    return least.select("row.*")

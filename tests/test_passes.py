@@ -1,12 +1,15 @@
 """How often rows move, are read and are laid out."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import QUERIES
 from lactoscope import HERD_FILE_FIT, LACTATION_FIT
-from lactoscope.operators import history, projection, solver
+from lactoscope.operators import digests, history, profile, projection, solver
 from lactoscope.operators.fill import fill_components
 from lactoscope.operators.quantiles import exact_quantiles
 from lactoscope.sources.sample_mapping import mapped_test_days
@@ -193,3 +196,27 @@ def test_texts_meet_their_cuts_by_one_plan_at_every_size(spark, tmp_path):
     plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin" in plan
     assert found == {1: text, 2: "first last", 3: None}
+
+
+def test_draws_of_any_number_read_their_input_once(spark):
+    """Of an input in parts each task gives a row for a draw, and digests are those of the library."""
+    rows = spark.range(0, 900, 1, 3).selectExpr("id", "if(id % 7 = 0, null, repeat('é', int(id % 90))) as name", "id % 3 = 0 as third")
+    drawn = profile.random_rows(rows, 300, 5, ["id", "name"])
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and drawn.columns == rows.columns
+    texts = {r: "".join(f"{len(t)}:{t}" for t in (str(r.id), r.name or "")) for r in rows.collect()}
+    expected = [min(texts, key=lambda r: hashlib.md5(f"5:{draw}:{texts[r]}".encode()).hexdigest()) for draw in range(1, 301)]
+    assert sorted(map(str, drawn.collect())) == sorted(map(str, expected))
+    assert profile.random_rows(rows, 0).count() == 0
+
+
+@pytest.mark.parametrize("shortest, longest, rows", [(0, 3, 700), (20, 60, 700), (100, 260, 600), (50, 58, 20)])
+def test_least_digests_of_short_long_and_repeated_texts(shortest, longest, rows):
+    random = np.random.default_rng(longest)
+    texts = ["".join(random.choice(list("ab:é"), random.integers(shortest, longest + 1))) for _ in range(rows + 1)]
+    prefixes = [f"{seed}:{draw}:".encode() for seed in (3, 12345678901) for draw in (1, 12, 123)]
+    found = digests.least(prefixes, pa.array(texts)[1:], [None] * len(prefixes))
+    for nth, prefix in enumerate(prefixes):
+        keys = [hashlib.md5(prefix + text.encode()).hexdigest() for text in texts[1:]]
+        assert found[nth][0] == min(keys) == keys[found[nth][1]]
+    assert digests.least(prefixes, pa.array(texts)[1:], [found[nth][0] for nth in range(len(prefixes))]) == {}
