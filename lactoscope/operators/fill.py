@@ -3,7 +3,9 @@
 A missing value takes the last known one before it, then the first known one
 after it (or the other way round). The known values are first reduced to one row
 per lactation and day, which bounds what a window has to hold; only records with
-a missing value are then joined to it. Complete records are not moved at all.
+a missing value are then joined to it. Complete records are not moved at all. Where records
+are costly to make, they can all be moved to their lactation and filled there instead, which
+makes them once and not three times.
 
 Records of one day are ordered so that known values come before missing ones when
 filling forward first, and after them when filling backward first.
@@ -25,8 +27,14 @@ def fill_components(
     columns: Sequence[str] = ("PCTF", "PCTP"),
     dim: str = "DIM",
     backward_first: bool = False,
+    beside: bool = False,
 ) -> DataFrame:
-    """Fill ``columns`` within each key; other columns are unchanged."""
+    """Fill ``columns`` within each key; other columns are unchanged.
+
+    With ``beside`` all records are read once and moved to their key, as what follows may need them anyway.
+    """
+    if beside:
+        return _filled_beside(records, keys, columns, dim, backward_first)
     place = [*keys, dim]
     # Dealt by lactation, as its days and then its windows need them.
     days = records.select(*place, *columns).repartition(*keys).groupBy(*place).agg(
@@ -50,3 +58,17 @@ def fill_components(
         *[F.coalesce(c, f"{c}_fill").alias(c) if c in columns else F.col(c) for c in records.columns]
     )
     return records.where(~incomplete).unionByName(filled)
+
+
+def _filled_beside(records: DataFrame, keys: Sequence[str], columns: Sequence[str], dim: str, backward_first: bool) -> DataFrame:
+    series = W.partitionBy(*keys)
+    # By range, so that all records of a day have part in it; each frame grows by a day and is never begun again.
+    so_far = series.orderBy(F.asc(dim)).rangeBetween(W.unboundedPreceding, W.currentRow)
+    from_here = series.orderBy(F.desc(dim)).rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(dim).alias("day"), F.col(c).alias("value"))) for c in columns}
+    # The last known day so far with its highest value, the first one from here with its lowest.
+    before = {f"{c}_before": F.max(known[c]).over(so_far)["value"] for c in columns}
+    after = {f"{c}_after": F.min(known[c]).over(from_here)["value"] for c in columns}
+    order = ("after", "before") if backward_first else ("before", "after")
+    filled = {c: F.coalesce(c, *[F.col(f"{c}_{way}") for way in order]) for c in columns}
+    return records.withColumns(before | after).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in records.columns])

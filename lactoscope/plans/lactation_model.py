@@ -59,9 +59,10 @@ def fit_residuals(events: DataFrame, fits: DataFrame) -> DataFrame:
 def herd_file_fits(records: DataFrame, settings: FitSettings = HERD_FILE_FIT, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fits of the lactations of a herd file, filled backward first.
 
-    All lactations give a row; those with too few records say so in the status.
+    All lactations give a row; those with too few records say so in the status. Records are
+    moved to their lactation once, and are filled, reduced to points and fitted there.
     """
-    rows = fill_components(records.dropna(subset=list(keys)), keys, backward_first=True)
+    rows = fill_components(records.dropna(subset=list(keys)), keys, backward_first=True, beside=True)
     rows = rows.withColumns({"ECM": energy_corrected(), "SIGMA": error_sigma()})
     return fit_records_by(rows, keys, settings)
 

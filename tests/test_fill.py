@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lactoscope.operators.fill import fill_components
 
@@ -87,3 +88,39 @@ def test_complete_records_do_not_move(spark):
     complete = plan[union + 1 : next(i for i, line in enumerate(plan) if "Join" in line) - 1]
     assert any("Filter" in line for line in complete)
     assert not any(word in line for line in complete for word in ("Join", "Window", "Aggregate"))
+
+
+@pytest.mark.parametrize("backward_first", [False, True])
+def test_records_filled_beside_each_other_are_filled_alike(spark, backward_first):
+    """Days that come again, days and keys that are unknown, values that are no numbers."""
+    rows = spark.sql(
+        """select id as row, nullif(id % 5, 4) as BDAT, if(id % 11 = 1, null, string(id % 3)) as ID, 1 as LACT, if(id % 23 = 0, null, int(xxhash64(id) % 12)) as DIM,
+        if(xxhash64(id, 1) % 3 = 0, null, if(id % 31 = 0, double('nan'), double(id % 17))) as PCTF,
+        if(xxhash64(id, 2) % 5 <> 0, null, double(id % 13)) as PCTP from range(600)"""
+    )
+    apart = fill_components(rows, backward_first=backward_first)
+    beside = fill_components(rows, backward_first=backward_first, beside=True)
+    assert beside.columns == apart.columns
+    assert sorted(map(str, beside.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_herd_file_is_read_and_moved_once(spark):
+    from lactoscope.plans.lactation_model import herd_file_fits
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x)
+
+    counted = counted.asNondeterministic()
+    rows = spark.range(0, 120, 1, 4).selectExpr(
+        "date '2020-01-01' + cast(id % 5 as int) as BDAT", "string(id % 5) as EarTag", "1 as LACT", "int(id * 3 + 1) as DIM", "id",
+        "if(id % 4 = 0, null, 3e0) as PCTF", "if(id % 7 = 0, null, 4e0) as PCTP",
+    )
+    fits = herd_file_fits(rows.withColumn("MILK", counted(F.col("id") + 30)).drop("id"))
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert sum(" Exchange " in line for line in plan.splitlines()) == 1
+    assert sorted((r.records, r.npoints, r.status) for r in fits.collect()) == [(24, 24, 0)] * 5
+    assert made.value == 120
