@@ -21,7 +21,7 @@ _FEW, _NEAR = 1024, 1.6
 _CELLS_AT_ONCE = 1 << 15
 
 
-def chunks(lengths: np.ndarray, cells: int = 1 << 19):
+def chunks(lengths: np.ndarray, cells: int = 1 << 17):
     """Row numbers in groups of like length, so that padding and memory stay small."""
     order, begin = np.argsort(lengths, kind="stable"), 0
     while begin < len(order):
